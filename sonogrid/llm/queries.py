@@ -13,6 +13,7 @@ from sonogrid.llm.packing import packing
 from sonogrid.llm.quality_classifier import quality_classifier
 from sonogrid.llm.quality_rules import quality_rules
 from sonogrid.llm.simhash import simhash_groups
+from sonogrid.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op4_language_id": lambda s, d: language_id(documents(s, d)),
     "op5_decontamination": lambda s, d: decontamination.decontamination(documents(s, d), table(s, d, "benchmark")),
     "op6_packing": lambda s, d: packing(documents(s, d)),
+    "op7_suffix_dedup": lambda s, d: suffix_dedup(documents(s, d)),
     "op8_simhash": lambda s, d: simhash_groups(documents(s, d)),
     "op9_license_scans": lambda s, d: licenses.license_scans(documents(s, d)),
     "op10_secret_scans": lambda s, d: secrets.secret_scans(documents(s, d)),
