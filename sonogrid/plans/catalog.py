@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "A08_macro_f1"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from sonogrid.plans import timeline
+
+FLAGSHIP = "A08_resolution_limit_f1"
+_PLANS = [timeline]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for p in _PLANS for k, s in p.ORACLES.items()}
