@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once for the row, not once for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -31,14 +38,12 @@ def zscore(a: Column, mean_: Column, std: Column) -> Column:
 def patch_norm(a: Column, eps: float = 1e-6) -> Column:
     """Less the mean, over the root of the sample variance and eps."""
     d = a.cast("array<double>")
-    m = mean(d)
-    var = total(F.transform(d, lambda x: (x - m) * (x - m))) / (F.size(d) - 1)
-    return F.when(F.size(d) > 1, F.transform(d, lambda x: (x - m) / F.sqrt(var + eps)))
+    centred = let(mean(d), lambda m: F.transform(d, lambda x: x - m))
+    return F.when(F.size(d) > 1, let(centred, lambda c: let(F.sqrt(dot(c, c) / (F.size(c) - 1) + eps), lambda s: F.transform(c, lambda x: x / s))))
 
 
 def min_max(a: Column, eps: float = 1e-8) -> Column:
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: (x - lo) / (hi - lo + eps))
+    return let(F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi")), lambda r: F.transform(a, lambda x: (x - r["lo"]) / (r["hi"] - r["lo"] + eps)))
 
 
 def pad_right(a: Column, n: int, value: Column) -> Column:
@@ -46,8 +51,8 @@ def pad_right(a: Column, n: int, value: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return let(e, lambda y: let(total(y), lambda s: F.transform(y, lambda x: x / s)))
 
 
 def argmax(a: Column) -> Column:
