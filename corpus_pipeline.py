@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonogrid.llm import simhash
 from sonogrid.llm.common import documents, written
 from sonogrid.llm.decontamination import decontamination
 from sonogrid.llm.packing import packing
 from sonogrid.llm.quality_classifier import quality_classifier
 from sonogrid.llm.secrets import ledger_scan, redact
-from sonogrid.llm.simhash import simhash_groups
+
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    return without(docs, simhash_groups(docs).where("doc_id > component_id"))
+    """One document, that of the smallest id, of each group of near-duplicates: shingles of five words, a similarity of 0.8."""
+    return without(docs, simhash.near_duplicates(docs).where("doc_id > component_id"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,56 +6,86 @@ of equal bits. Within a bucket the distinct fingerprints, sorted by their popula
 count, are compared tile by tile by exclusive-or and bit counts; tiles whose counts
 differ by more than the radius are skipped. Buckets with more than TILE rows are dealt
 out as pairs of tiles. What a task finds leaves it as a forest of its links.
+
+For similarities that need a radius of many bits, near_duplicates() takes wide
+fingerprints, whose share of differing bits tells the similarity closely, and buckets
+of equal 16-bit lanes: a pair at the similarity asked for shares one of LANES lanes
+with a chance of 0.95 and more similar pairs with a higher one; links found are exact
+in the fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonogrid.llm.common import LOWER, blocks, whole, written
 from sonogrid.llm.components import components
 
 SHINGLE, RADIUS, EQUAL, TILE, SEED = 3, 3, 2, 4096, 42
-
-
-def fingerprint_of(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints of texts, unsigned."""
-    digest, hashes, lengths = xxhash.xxh64_intdigest, [], []
+#: Words of 64 bits in a wide fingerprint; each gives four lanes of 16 bits.
+WIDE = 10
+
+
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """XXH64 of the shingles of a text, repeats included; of all its words if they are fewer."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return [digest(joined, SEED)] if words else []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1)
+    return [digest(joined[a:b], SEED) for a, b in zip((ends - lengths - 1)[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash made of a hash; that of 0 is itself."""
+    if k:
+        h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h = h ^ h >> np.uint64(31)
+    return h
+
+
+def fingerprint_of(texts: list[str], shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
+    """Fingerprints of texts, unsigned: rows of `width` 64-bit words."""
+    hashes, lengths = [], []
     for text in texts:
-        words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            found = [digest(joined, SEED)] if words else []
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
-            found = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        found = shingle_hashes(text, shingle)
         hashes += found
         lengths.append(len(found))
-    n, out = np.array(lengths), np.zeros(len(texts), np.uint64)
+    n, out = np.array(lengths, dtype=np.int64), np.zeros((len(texts), width), np.uint64)
     if hashes:
-        some = np.flatnonzero(n)
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8)).reshape(-1, 64)
-        ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel()
+        some, h = np.flatnonzero(n), np.array(hashes, dtype=np.uint64)
+        for k in range(width):
+            bits = np.unpackbits(mixed(h, k).astype(">u8").view(np.uint8)).reshape(-1, 64)
+            ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
+            out[some, k] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+def names(width: int) -> list[str]:
+    return [f"fp{k}" for k in range(width)]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> DataFrame:
+    """doc_id and fp0, fp1 and so on (the fingerprint as signed longs) of each row."""
+    columns = names(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches):
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fingerprint_of(texts, shingle).view(np.int64))], ["doc_id", "fp"])
+        for part, texts in blocks(batches, most=1 << 20):
+            fp = fingerprint_of(texts, shingle, width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(width))], ["doc_id", *columns])
 
-    return whole(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return whole(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in columns))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,70 +126,104 @@ class Links:
         return forest(np.concatenate([*self.a, np.zeros(0, np.int64)]), np.concatenate([*self.b, np.zeros(0, np.int64)]))
 
 
-def compare_tiles(fps: np.ndarray, radius: int, links: Links, tile: int = 1024) -> None:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; the words are in the last axis."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., k] ^ b[..., k])
+    return out
+
+
+def compare_tiles(ids: np.ndarray, fps: np.ndarray, radius: int, links: Links, tile: int = 1024) -> None:
     """All pairs of distinct fingerprints within the radius."""
-    counts = np.bitwise_count(fps.view(np.uint64))
+    counts = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(counts, kind="stable")
-    fps, counts = fps[order], counts[order].astype(int)
+    ids, fps, counts = ids[order], fps[order], counts[order]
     for i in range(0, len(fps), tile):
         a = fps[i : i + tile]
         for j in range(i, len(fps), tile):
             if counts[j] - counts[i + len(a) - 1] > radius:
                 break
-            b = fps[j : j + tile]
-            x, y = np.nonzero(np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= radius)
+            x, y = np.nonzero(distances(a[:, None, :], fps[None, j : j + tile, :]) <= radius)
             if i == j:
                 x, y = x[x < y], y[x < y]
-            links.add(a[x], b[y])
+            links.add(ids[i + x], ids[j + y])
+
+
+BUCKET = ["t", "key", "lo", "hi"]
 
 
 def compare_buckets(radius: int, few: int = 32):
-    """For mapInArrow over partitions sorted by bucket (four columns, then fp): the links within buckets."""
+    """For mapInArrow over partitions sorted by bucket (four columns, then id and fingerprint): the links within buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, rest = Links(), None
+        links, rest, n = Links(), None, len(BUCKET)
 
         def whole_buckets(rows: np.ndarray) -> None:
-            change = np.flatnonzero((rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)) + 1
+            change = np.flatnonzero((rows[1:, :n] != rows[:-1, :n]).any(axis=1)) + 1
             starts = np.concatenate(([0], change))
             sizes = np.diff(np.concatenate((starts, [len(rows)])))
-            bucket, fp = np.repeat(np.arange(len(starts)), sizes), rows[:, -1]
+            bucket, ids, fp = np.repeat(np.arange(len(starts)), sizes), rows[:, n], rows[:, n + 1 :].view(np.uint64)
             small = np.repeat(sizes <= few, sizes)
             for k in range(1, min(few, int(sizes.max(initial=0)))):
                 at = np.flatnonzero((bucket[k:] == bucket[:-k]) & small[k:])
                 if not len(at):
                     break
-                at = at[np.bitwise_count((fp[at] ^ fp[at + k]).view(np.uint64)) <= radius]
-                links.add(fp[at], fp[at + k])
+                at = at[distances(fp[at], fp[at + k]) <= radius]
+                links.add(ids[at], ids[at + k])
             for i in np.flatnonzero(sizes > few):
-                compare_tiles(np.ascontiguousarray(fp[starts[i] : starts[i] + sizes[i]]), radius, links)
+                own = slice(starts[i], starts[i] + sizes[i])
+                compare_tiles(ids[own], fp[own], radius, links)
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             rows = rows if rest is None else np.concatenate([rest, rows])
             if len(rows):
-                last = len(rows) - int(np.argmax((rows[::-1, :-1] != rows[-1, :-1]).any(axis=1))) if (rows[:, :-1] != rows[-1, :-1]).any() else 0
+                other = np.flatnonzero((rows[:, :n] != rows[-1, :n]).any(axis=1))
+                last = int(other[-1]) + 1 if len(other) else 0
                 if last:
-                    whole_buckets(rows[:last])
+                    whole_buckets(np.ascontiguousarray(rows[:last]))
                 rest = rows[last:]
         if rest is not None and len(rest):
-            whole_buckets(rest)
+            whole_buckets(np.ascontiguousarray(rest))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in links.forest()], ["a", "b"])
 
     return run
 
 
-def close(fps: DataFrame, radius: int = RADIUS, equal: int = EQUAL, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that join the same distinct fingerprints of fps (fp) as all pairs within the radius do."""
+def block_keys(radius: int, equal: int) -> list[Column]:
+    """The bits of fp0 in each choice of `equal` of the radius + equal blocks."""
     n = radius + equal
     edges = [64 * i // n for i in range(n + 1)]
     masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen) for chosen in combinations(range(n), equal)]
-    rows = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks)))).select(F.col("pos").cast("long").alias("t"), F.col("col").alias("key"), "fp")
+    return [F.col("fp0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks]
+
+
+def lane_keys(width: int) -> list[Column]:
+    return [F.shiftrightunsigned(c, 16 * j).bitwiseAND(F.lit(0xFFFF)) for c in names(width) for j in range(4)]
+
+
+def close(fps: DataFrame, keys: list[Column], width: int, radius: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that join the same ids of fps (id and a fingerprint that no other row has) as all pairs within the radius that share a key do."""
+    columns = ["id", *names(width)]
+    rows = fps.select(*columns, F.posexplode(F.array(*keys))).select(F.col("pos").cast("long").alias("t"), F.col("col").cast("long").alias("key"), *columns)
     large = rows.groupBy("t", "key").agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1")
-    dealt = rows.join(large, ["t", "key"], "left").withColumn("tile", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tiles", F.lit(1)) - 1)))
-    pairs = pairs.select("t", "key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "fp")
-    return pairs.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi").mapInArrow(compare_buckets(radius), "a long, b long")
+    tiles = F.coalesce("tiles", F.lit(1).cast("long"))
+    dealt = rows.join(large, ["t", "key"], "left").withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    pairs = dealt.select("t", "key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), *columns)
+    return pairs.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(compare_buckets(radius), "a long, b long")
+
+
+def grouped(own: DataFrame, keys: list[Column], width: int, radius: int, tile: int) -> DataFrame:
+    """own (doc_id and a fingerprint) with component_id, the smallest doc_id that links of distinct fingerprints reach."""
+    columns = names(width)
+    number = F.col("fp0") if width == 1 else F.xxhash64(*columns)
+    fps = written(own.groupBy(*columns).agg(F.min("doc_id").alias("first")).withColumn("id", number))
+    members = components(written(close(fps, keys, width, radius, tile)))
+    members = fps.select("id", "first").join(members, F.col("id") == F.col("vertex"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = members.join(smallest, "root").select("id", "component_id")
+    return own.withColumn("id", number).join(found, "id")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal: int = EQUAL, tile: int = TILE) -> DataFrame:
@@ -170,10 +234,18 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     is never the smallest, and a component of null ids only has a null component_id.
     Other columns are not read.
     """
-    own = written(fingerprints(docs, shingle))
-    fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    members = components(written(close(fps, radius, equal, tile)))
-    members = fps.join(members, F.col("fp") == F.col("vertex"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = members.join(smallest, "root").select("fp", "component_id")
-    return own.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = grouped(written(fingerprints(docs, shingle)), block_keys(radius, equal), 1, radius, tile)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = WIDE, tile: int = TILE) -> DataFrame:
+    """One row for each document: doc_id and component_id, by wide fingerprints.
+
+    A Jaccard similarity s of equally large sets of shingles is a cosine of 2s / (1 + s);
+    the angle's share of a half turn is the expected share of differing bits, which is
+    the radius, with a standard deviation more so that few pairs at the similarity itself
+    are missed. Nulls, repeats and empty texts are as in simhash_groups().
+    """
+    bits, p = 64 * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return grouped(written(fingerprints(docs, shingle, width)), lane_keys(width), width, radius, tile).select("doc_id", "component_id")
