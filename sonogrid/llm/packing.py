@@ -13,6 +13,7 @@ task gives the same windows again.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,37 +38,68 @@ RESERVE, FINE = 48, (32, 8, 4, 2, 1, 1)
 Piece = tuple[int, int, int]
 
 
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes as letters: printable ones as themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit integers.
 
     Pre-tokens never cross a space that a non-space follows, so a text is cut at its
-    spaces and the ids of each part are remembered, the latest `most` of them. Texts
-    in which white space surrounds a space are encoded as a whole.
+    spaces and the ids of each part are remembered, the latest `most` of them. Parts of
+    letters, with signs after them or a line break among them, are pre-tokens as they
+    stand and go to the vocabulary's model directly; others, and texts in which white
+    space follows a space, are encoded in full.
     """
 
-    ODD = re.compile(r"\s \s|  |  $")
+    ODD = re.compile(r" \s")
+    SIGNS = ".,;:!?#*$%&|<>"
 
     def __init__(self, name: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.most, self.known = most, {}
+        self.line = self.whole(["\n"])[0]
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pretoken(self, text: str) -> bytes:
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return b"".join([x.id.to_bytes(4, "little") for x in found])
+
+    def part(self, space: str, text: str) -> bytes:
+        """Ids of a part without spaces, with the space before it if there is one."""
+        if text.isalpha():
+            return self.pretoken(space + text)
+        word = text.rstrip(self.SIGNS)
+        if word.isalpha():
+            return self.pretoken(space + word) + self.pretoken(text[len(word) :])
+        left, line, right = text.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return self.part(space, left) + self.line + self.part("", right)
+        return self.whole([space + text])[0]
+
     def __call__(self, text: str) -> bytes:
         if self.ODD.search(text):
-            return self.encoded([text])[0]
+            return self.whole([text])[0]
         first, *parts = text.split(" ")
-        if len(self.known) > self.most:
-            self.known.clear()
         known = self.known
+        if len(known) > self.most:
+            known.clear()
         try:
-            return b"".join([*self.encoded([first]), *[known[p] for p in parts]])
+            rest = b"".join([known[p] for p in parts])
         except KeyError:
-            new = list({p for p in parts if p not in known})
-            known.update(zip(new, self.encoded([" " + p for p in new]), strict=True))
-            return b"".join([*self.encoded([first]), *[known[p] for p in parts]])
+            for p in parts:
+                if p not in known:
+                    known[p] = self.part(" ", p)
+            rest = b"".join([known[p] for p in parts])
+        return (self.part("", first) if first else b"") + rest
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
