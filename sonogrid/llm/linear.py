@@ -76,12 +76,15 @@ def word_families(codes: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarr
 
 
 def char_family(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the four-byte strings of each text with a space before and after it."""
+    """Buckets of the four-byte strings of each text with a space before and some after it; strings that would run into the next text are spaces."""
     raw = [b" " + t.encode("utf-8", "surrogatepass") + b" " * 4 for t in texts]
     b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    grams = b[:-3] | b[1:-2] << np.uint64(8) | b[2:-1] << np.uint64(16) | b[3:] << np.uint64(24)
+    grams = np.zeros(len(b), np.uint64)
+    grams[:-3] = b[:-3] | b[1:-2] << np.uint64(8) | b[2:-1] << np.uint64(16) | b[3:] << np.uint64(24)
     lengths = np.array([len(x) for x in raw], dtype=np.int64)
-    return bucket(np.concatenate([grams, np.zeros(3, np.uint64)]), 3), lengths
+    for k in (1, 2, 3):
+        grams[np.cumsum(lengths) - k] = 0x20202020
+    return bucket(grams, 3), lengths
 
 
 class Features:
