@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonogrid.plans import arrays, sampling, tables, timeline
+from sonogrid.plans import arrays, sampling, settings, tables, timeline
 
 FLAGSHIP = "A08_resolution_limit_f1"
-_PLANS = [timeline, arrays, tables, sampling]
+_PLANS = [timeline, arrays, tables, sampling, settings]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for p in _PLANS for k, s in p.ORACLES.items()}
