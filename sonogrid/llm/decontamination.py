@@ -5,22 +5,25 @@ hash of those picked is a seed: a substituted word that the mask ignores doesn't
 the passage. Seeds of the benchmark are joined with seeds of the documents; a hit
 gives a place in both, around which the words are then compared one by one.
 
-The seeds of the benchmark are broadcast while they are few (SEEDS_BROADCAST); beyond
-that, the join shuffles.
+The seeds of the benchmark are broadcast while they are few (SEEDS_BROADCAST), and a
+bit filter made of them leaves out most places before rows are made; beyond that, the
+join shuffles all places.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonogrid.llm.common import LOWER_AZ, SPACE, UPPER_AZ, whole
+from sonogrid.llm.common import whole, written
 
-# The masks (1: the word counts) and the signs that count as spaces.
+# The masks (1: the word counts; all count their first and last word) and what stands between words.
 MASKS = ("110110101", "111001011", "101101101")
-SIGNS = ".,;:!?\"'()[]{}|#*$%&<>-_"
+BETWEEN = r"""[\x20\x09-\x0D.,;:!?"'()\[\]{}|#*$%&<>_-]+"""
 #: Overlaps are judged over so many words, of which this share must be equal.
 WORDS, SHARE = 13, 0.8
 SEEDS_BROADCAST = 200_000
@@ -28,19 +31,60 @@ SEEDS_BROADCAST = 200_000
 
 def hashed(text: Column) -> Column:
     """The hashes of the words of a text: lower case, signs as spaces."""
-    plain = F.translate(text, UPPER_AZ + SIGNS, LOWER_AZ + " " * len(SIGNS))
-    return F.transform(F.filter(F.split(plain, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.array_remove(F.transform(F.split(F.lower(text), BETWEEN), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
-def seeds(masks: list[str]) -> Column:
-    """The seeds at place i of words h, one for each mask; null where the words end before the mask."""
-    made = [F.when(F.col("i") + len(m) <= F.size("h"), F.xxhash64(F.lit(k), *(F.get("h", F.col("i") + j) for j, x in enumerate(m) if x == "1"))) for k, m in enumerate(masks)]
-    return F.explode(F.array(*made))
+def seed(h: Column, i: Column, k: int, mask: str) -> Column:
+    """The seed of mask k at place i of the words h; null where the words end before the mask."""
+    return F.when(i + len(mask) <= F.size(h), F.xxhash64(F.lit(k), *(F.get(h, i + j) for j, x in enumerate(mask) if x == "1")))
 
 
-def at_each_word(df: DataFrame, shortest: int) -> DataFrame:
-    last = F.size("h") - shortest
-    return df.withColumn("i", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
+def around(h: Column, words: int, span: int, takes: Callable[[Column], Column] | None = None) -> Column:
+    """For each place i of h that `takes` takes: the words from `words` before it to `words` after the mask, and where i is among them."""
+    places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+    if takes is not None:
+        places = F.filter(places, takes)
+    low = lambda i: F.greatest(i - words, F.lit(0))
+    return F.transform(places, lambda i: F.struct(i.alias("i"), (i - low(i)).alias("back"), F.slice(h, low(i) + 1, F.least(F.size(h), i + span + words) - low(i)).alias("near")))
+
+
+def with_seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """A row for each place (i, back, near) and seed."""
+    made = F.array(*(seed(F.col("near"), F.col("back"), k, m) for k, m in enumerate(masks)))
+    return df.withColumn("seed", F.explode(F.array_compact(made)))
+
+
+class Bits:
+    """A set of 64-bit hashes as a literal, 64 bits and more for each: never misses one, and takes few others."""
+
+    def __init__(self, hashes: DataFrame, n: int):
+        self.log = 6 + max(0, (max(1, n) - 1).bit_length())
+        at = F.col("hash").bitwiseAND(F.lit((1 << self.log) - 1))
+        words = dict(hashes.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))")).collect())
+        self.column = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << self.log - 6))), ",").cast("array<bigint>")
+
+    def has(self, hash_: Column) -> Column:
+        word = F.get(self.column, F.shiftright(hash_.bitwiseAND(F.lit((1 << self.log) - 1)), 6).cast("int"))
+        return F.call_function("getbit", word, hash_.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def ends(h: Column, i: Column, length: int) -> Column:
+    """A hash of the first and last word under a mask."""
+    return F.xxhash64(F.lit(length), F.get(h, i), F.get(h, i + (length - 1)))
+
+
+def likely(h: Column, listed: DataFrame, n: int, masks: list[str]) -> Callable[[Column], Column]:
+    """Whether a place of h can be a seed of the benchmark: first by the ends of the masks, then by the seeds."""
+    lengths = sorted({len(m) for m in masks})
+    pairs = F.array(*(ends(F.col("item_near"), F.col("item_back"), k) for k in lengths))
+    firsts, seeds = Bits(listed.select(F.explode(pairs).alias("hash")), n * len(lengths)), Bits(listed.select(F.col("seed").alias("hash")), n)
+
+    def takes(i: Column) -> Column:
+        made = lambda: F.array_compact(F.array(*(seed(h, i, k, m) for k, m in enumerate(masks))))
+        near = reduce(lambda a, b: a | b, [F.exists(F.array(ends(h, i, k)), firsts.has) for k in lengths])
+        return near & F.exists(made(), seeds.has)
+
+    return takes
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, words: int = WORDS, share: float = SHARE, broadcast_seeds: int = SEEDS_BROADCAST) -> DataFrame:
@@ -56,33 +100,32 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...
     items = whole(benchmark.where(F.col("item_id").isNotNull()), "item_id").select("item_id", hashed(F.col("text")).alias("h")).where(F.size("h") > 0)
     short = sorted(r[0] for r in items.select(F.size("h").alias("n")).where(F.col("n") < span).distinct().collect())
     all_masks = [*masks, *("1" * n for n in short)]
-    listed = at_each_word(items, min(map(len, all_masks))).withColumn("n", F.size("h")).select("item_id", "i", "n", "h", seeds(all_masks).alias("seed"))
-    low = F.greatest(F.col("i") - words, F.lit(0))
-    near = F.slice("h", low + 1, F.least(F.col("n"), F.col("i") + span + words) - low)
-    # A short item's mask belongs to items of its length alone, which have no other place than 0.
-    listed = listed.where(F.col("seed").isNotNull() & ((F.col("n") >= span) | (F.col("i") == 0)))
-    listed = listed.select("seed", "item_id", F.col("n").alias("item_n"), (F.col("i") - low).alias("back"), near.alias("near"))
-    if listed.count() <= broadcast_seeds:
-        listed = F.broadcast(listed)
-    own = at_each_word(whole(docs, "doc_id").select("doc_id", hashed(F.col("text")).alias("h")), min(map(len, all_masks)))
-    hits = own.select("doc_id", "h", "i", seeds(all_masks).alias("seed")).join(listed, "seed")
-    start = F.col("i") - F.col("back")
-    same = F.transform("near", lambda w, j: F.when(F.get("h", start + j) == w, 1).otherwise(0))
+    listed = with_seeds(items.select("item_id", F.size("h").alias("item_n"), F.explode(around(F.col("h"), words, span)).alias("p")).select("item_id", "item_n", "p.*"), all_masks)
+    # A short item is asked for as a whole only.
+    listed = listed.where((F.col("item_n") >= span) | (F.col("i") == 0)).select("seed", "item_id", "item_n", F.col("back").alias("item_back"), F.col("near").alias("item_near"))
+    listed = written(listed)
+    n = listed.count()
+    own = whole(docs, "doc_id").select("doc_id", hashed(F.col("text")).alias("h"))
+    takes = likely(F.col("h"), listed, n, all_masks) if n <= broadcast_seeds else None
+    places = own.select("doc_id", F.explode(around(F.col("h"), words, span, takes)).alias("p")).select("doc_id", "p.*")
+    hits = with_seeds(places, all_masks).join(F.broadcast(listed) if n <= broadcast_seeds else listed, "seed")
+    shift = F.col("back") - F.col("item_back")
+    same = F.transform("item_near", lambda w, j: F.when((shift + j >= 0) & (F.get("near", shift + j) == w), 1).otherwise(0))
     window = F.least(F.lit(words), F.col("item_n"))
     least = F.when(F.col("item_n") < span, F.col("item_n")).otherwise(F.ceil(window * share - 1e-9))
     agree = F.exists(F.sequence(F.lit(1), F.size("same") - window + 1), lambda k: F.aggregate(F.slice("same", k, window), F.lit(0), lambda a, x: a + x) >= least)
     held = hits.withColumn("same", same).where(agree).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     ids, held = docs.select(F.col("doc_id")), held.withColumnRenamed("doc_id", "held_id")
     out = ids.join(held, ids["doc_id"].eqNullSafe(held["held_id"]), "left")
-    found = F.coalesce(F.size("items"), F.lit(0))
-    return out.select("doc_id", (F.col("items").isNotNull()).alias("contaminated"), F.when(F.col("items").isNull(), 0).otherwise(found).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"))
+    number = F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long")
+    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), number.alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"))
 
 
 def sql(masks: tuple[str, ...] = MASKS, words: int = WORDS, share: float = SHARE) -> str:
     """DuckDB's SQL for decontamination(), for items that are no shorter than the masks."""
     span = max(map(len, masks))
-    signs = SIGNS.replace("'", "''")
-    cut = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER_AZ}{signs}', '{LOWER_AZ}{' ' * len(SIGNS)}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    between = BETWEEN.replace("'", "''")
+    cut = f"list_filter(string_split_regex(lower(coalesce(text, '')), '{between}'), lambda x: x <> '')"
     made = ", ".join("CASE WHEN i + {n} <= len(h) THEN '{k} ' || {key} END".format(n=len(m), k=k, key=" || ' ' || ".join(f"h[i + {j + 1}]" for j, x in enumerate(m) if x == "1")) for k, m in enumerate(masks))
 
     def seeds_of(table: str, key: str) -> str:
