@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,17 @@ def concatenated(*tables: DataFrame) -> DataFrame:
             raise ValueError(f"columns differ: {out.columns} and {t.columns}")
         out = out.union(t)
     return out
+
+
+def with_reason(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
+    """df with skip_reason: the first reason that holds, null for rows to keep. A condition that is null doesn't hold."""
+    out = F.lit(None).cast("string")
+    for name, condition in reversed(reasons.items()):
+        out = F.when(condition, name).otherwise(out)
+    return df.withColumn("skip_reason", out)
+
+
+def counted(df: DataFrame, observation: Observation) -> DataFrame:
+    """The rows of with_reason() to keep; once they have been written, the observation tells how many were processed and skipped."""
+    seen = df.observe(observation, F.count_if(F.col("skip_reason").isNull()).alias("processed"), F.count("skip_reason").alias("skipped"))
+    return seen.where("skip_reason IS NULL").drop("skip_reason")

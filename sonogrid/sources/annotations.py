@@ -158,3 +158,18 @@ def label_map(labels: DataFrame, label: str) -> DataFrame:
     top = F.coalesce(F.max("value").over(Window.partitionBy()), F.lit(-1))
     k = F.row_number().over(Window.orderBy(F.col("value").isNotNull(), "label"))
     return d.select("label", F.coalesce("value", (top + k).cast("int")).alias("id"))
+
+
+def read_wav_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Stem and path from a JSON object of stems, a JSON list of objects or pairs, or lines of stem, tab and path; '#' starts a comment, a line without a tab is a path. Two paths for a stem are an error."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+    as_map = F.map_entries(F.from_json(F.when(F.col("t").startswith("{"), F.col("t")), "map<string,string>"))
+    listed = F.when(F.col("t").startswith("["), F.col("t"))
+    as_rows = F.transform(F.from_json(listed, "array<struct<stem:string,path:string>>"), lambda x: F.struct(x["stem"].alias("key"), x["path"].alias("value")))
+    as_pairs = F.transform(F.from_json(F.when(F.regexp_like("t", F.lit(r"^\[\s*\[")), F.col("t")), "array<array<string>>"), lambda x: F.struct(F.get(x, F.lit(0)).alias("key"), F.get(x, F.lit(1)).alias("value")))
+    lines = F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", ""))), lambda x: x != "")
+    as_lines = F.transform(lines, lambda x: F.struct(F.when(x.contains("\t"), F.trim(F.get(F.split(x, "\t"), F.lit(0)))).otherwise(names.stem(x)).alias("key"), F.trim(F.element_at(F.split(x, "\t"), -1)).alias("value")))
+    entries = F.when(F.col("t").startswith("{"), as_map).when(F.regexp_like("t", F.lit(r"^\[\s*\[")), as_pairs).when(F.col("t").startswith("["), as_rows).otherwise(as_lines)
+    out = text.select(F.explode(entries).alias("e")).select(F.col("e.key").alias("stem"), F.col("e.value").alias("path"))
+    n = out.groupBy("stem").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
+    return n.where(F.assert_true(F.col("n") == 1, F.concat(F.lit("two paths for "), "stem")).isNull()).select("stem", "path")

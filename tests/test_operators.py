@@ -178,3 +178,19 @@ def test_train_seconds(spark, text, want):
 @pytest.mark.parametrize(("last", "want"), [(None, "unknown"), (-9, "none"), (0, "0"), (1, "0,1"), (9, "all"), (-1, "all"), (-3, "0,1")])
 def test_frozen_layers(spark, last, want):
     assert one(spark, names.frozen_layers(F.lit(last).cast("int"), 4)) == want
+
+
+def test_skipped_rows_are_counted(spark):
+    from pyspark.sql import Observation
+
+    df = tables.with_reason(spark.range(10).withColumn("ms", F.col("id") * 10), {"short": F.col("ms") < 30, "odd": F.col("id") % 2 == 1})
+    assert {r.skip_reason for r in df.collect()} == {"short", "odd", None}
+    seen = Observation()
+    assert tables.counted(df, seen).count() == 3 and seen.get == {"processed": 3, "skipped": 7}
+
+
+def test_encoder_hook(spark):
+    from sonogrid.operators.models import encoded
+
+    df = spark.createDataFrame([(1, [[1.0, 3.0], [5.0, 7.0]])], "w long, spec array<array<float>>")
+    assert encoded(df, "w", "spec", lambda x: x.mean(axis=1)).first()["h"] == [2.0, 6.0]

@@ -178,3 +178,15 @@ def test_stream_ingests_each_unit_once(spark, tmp_path):
 def test_losses_by_minute(spark):
     df = spark.createDataFrame([("r", 1.0, "2024-01-01 00:00:10"), ("r", 3.0, "2024-01-01 00:00:50"), ("r", 5.0, "2024-01-01 00:01:10")], "run string, loss double, at string").withColumn("at", F.to_timestamp("at"))
     assert [(r.loss, r.n) for r in ingest.losses_by_minute(df).orderBy("start").collect()] == [(2.0, 2), (5.0, 1)]
+
+
+@pytest.mark.parametrize("text", ['{"a": "/x/a.wav", "b": "/y/b.wav"}', '[{"stem": "a", "path": "/x/a.wav"}, {"stem": "b", "path": "/y/b.wav"}]', '[["a", "/x/a.wav"], ["b", "/y/b.wav"]]', "# wavs\na\t/x/a.wav\n\n/y/b.wav  # second\n"])
+def test_wav_manifests(spark, tmp_path, text):
+    (tmp_path / "m").write_text(text)
+    assert {tuple(r) for r in annotations.read_wav_manifest(spark, str(tmp_path / "m")).collect()} == {("a", "/x/a.wav"), ("b", "/y/b.wav")}
+
+
+def test_wav_manifest_with_two_paths(spark, tmp_path):
+    (tmp_path / "m").write_text("a\t/x/a.wav\na\t/y/a.wav\n")
+    with pytest.raises(Exception, match="two paths"):
+        annotations.read_wav_manifest(spark, str(tmp_path / "m")).collect()
