@@ -1,13 +1,15 @@
 """Operator 7: removal of repeated byte strings by suffix arrays.
 
-Documents are dealt into shards. Anchors are chosen by content, so that equal strings
-of LENGTH bytes have the same anchors: of the hashes of GRAM bytes in the string, the
-smallest. Anchors that one document alone has can't lie in a repeated string; around
-the others each shard cuts out contexts, as far as strings with that anchor reach, and
-contexts with the same anchor meet in a suffix shard. It sorts their suffixes by
+Documents are dealt into shards; copies of a whole text by a larger doc_id are removed
+as such. Anchors are chosen by content, so that equal strings of LENGTH bytes have the
+same anchors: of the hashes of GRAM bytes in the string, the smallest. The context of an
+anchor is as far as such strings with it reach. Anchors with their contexts' hashes meet
+in one shuffle: an anchor that one document alone has can't lie in a repeated string; a
+context that a smaller document has is a range to remove; and where an anchor has
+several contexts, one of each goes to a suffix shard. That sorts their suffixes by
 Larsson-Sadakane refinement, finds common prefixes by Kasai's rule, and each run of
 suffixes that share LENGTH bytes tells the smallest document. An anchor of very many
-documents is dealt over several suffix shards; their sorted strings are merged, and
+contexts is dealt over several suffix shards; their sorted strings are merged, and
 each shard finds the smallest document of its own strings in the merged ones by binary
 search. The ranges found go back to the documents' shards.
 
@@ -18,33 +20,46 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonogrid.llm.common import written
+
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a shard, and documents of an anchor in a suffix shard.
+#: Bytes of text in a shard, and contexts of an anchor in a suffix shard.
 SHARD_BYTES, HOT = 4 << 20, 8192
 #: Suffix shards of hot anchors have numbers from here on.
 HOT_BUCKET = 1 << 62
-MASK = (1 << 24) - 1
 PRIMES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Hashes of the GRAM (20) bytes from each place on."""
-    x1 = b.astype(np.uint64)
-    x2 = x1[:-1] * PRIMES[0] + x1[1:]
-    x4 = x2[:-2] * PRIMES[1] + x2[2:]
-    x8 = x4[:-4] * PRIMES[2] + x4[4:]
-    x16 = x8[:-8] * PRIMES[3] + x8[8:]
-    h = x16[:-4] * PRIMES[4] + x4[16:]
-    h ^= h >> np.uint64(32)
-    h *= PRIMES[0]
-    h ^= h >> np.uint64(29)
-    return h
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * PRIMES[0]
+    return h ^ h >> np.uint64(29)
+
+
+def string_hashes(b: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the strings of each size from each place on, put together from strings of powers of two."""
+    powers, out = {1: b.astype(np.uint64)}, []
+    for size in sizes:
+        total, whole = 0, None
+        for k in reversed(range(size.bit_length())):
+            if not size >> k & 1:
+                continue
+            for j in range(k):
+                if 2 << j not in powers:
+                    x = powers[1 << j]
+                    powers[2 << j] = x[: -(1 << j)] * PRIMES[j % 5] + x[1 << j :]
+            part = powers[1 << k][total:]
+            whole = part if whole is None else whole[: len(part)] * PRIMES[(k + 1) % 5] + part
+            total += 1 << k
+        out.append(mixed(whole))
+    return out
 
 
 def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
@@ -56,19 +71,33 @@ def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return of(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def anchors(b: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors in texts laid end to end: hashes that are the smallest of some string of `length` bytes within a text."""
-    width = length - GRAM + 1
+def anchors(b: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in texts laid end to end: hashes that are the smallest of some string of `length` bytes within a text.
+
+    Returns the anchors' hashes, the rows of their texts, their contexts' hashes, and where in b these start and end.
+    """
+    width, reach = length - GRAM + 1, 2 * length - GRAM
     if len(b) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(b)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    (h,) = string_hashes(b, (GRAM,))
     least = sliding(h, width, np.minimum)
-    ends = np.repeat(np.cumsum(lengths), lengths)[: len(least)]
-    least = np.where(np.arange(len(least)) + length <= ends, least, np.uint64(0))
+    ends = np.cumsum(lengths)
+    row_end = np.repeat(ends, lengths)[: len(least)]
+    least = np.where(np.arange(len(least)) + length <= row_end, least, np.uint64(0))
     edge = np.zeros(width - 1, np.uint64)
     most = sliding(np.concatenate([edge, least, edge]), width, np.maximum)
     at = np.flatnonzero((most == h) & (most > 0))
-    return at, h[at]
+    row = np.searchsorted(ends, at, "right")
+    lo, hi = np.maximum(at - (length - GRAM), (ends - lengths)[row]), np.minimum(at + length, ends[row])
+    context = np.zeros(len(at), np.uint64)
+    full = hi - lo == reach
+    if full.any():
+        (whole,) = string_hashes(b, (reach,))
+        context[full] = whole[lo[full]]
+    raw = b.tobytes()
+    for k in np.flatnonzero(~full).tolist():
+        context[k] = int.from_bytes(hashlib.blake2b(raw[lo[k] : hi[k]], digest_size=8).digest(), "little")
+    return h[at], row, context, lo, hi
 
 
 def suffixes(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,30 +174,51 @@ def common_prefixes(b: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.minimum(length, room), most)[order]
 
 
-def shard_rows(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    """Ids and texts of a shard, in order; rows that are alike are interchangeable."""
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["raw"].to_pylist(), strict=True))
-    return [r[0] for r in rows], [r[1] for r in rows]
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts compressed, for the shuffle: better than its own codec does."""
+    codec = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = pa.array([codec.compress(x) for x in batch["raw"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts if n == "raw" else batch[n] for n in batch.schema.names], batch.schema.names)
+
+
+def shard_rows(table: pa.Table) -> list[tuple[int, bytes, int]]:
+    """Id, text and tag of the rows of a shard, in order."""
+    codec = zstandard.ZstdDecompressor()
+    return sorted((i, codec.decompress(x), tag) for i, x, tag in zip(*(table[c].to_pylist() for c in ("doc_id", "raw", "tag")), strict=True))
+
 
+class Shard:
+    """Rows of a shard in order, and their anchors; rows that are alike are interchangeable. Whole copies have no anchors."""
 
-def located(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a shard: hashes (signed), rows, and places within the row's text."""
-    lengths = np.array([len(r) for r in raw], dtype=np.int64)
-    at, h = anchors(np.frombuffer(b"".join(raw), np.uint8), lengths, length)
-    starts = np.cumsum(lengths) - lengths
-    row = np.searchsorted(np.cumsum(lengths), at, "right")
-    return h.view(np.int64), row, at - starts[row]
+    def __init__(self, table: pa.Table, copies: set[int], length: int):
+        rows = shard_rows(table)
+        self.ids, self.raw = np.array([r[0] for r in rows], dtype=np.int64), [r[1] for r in rows]
+        self.copy = [r[2] in copies for r in rows]
+        used = [b"" if c else r for r, c in zip(self.raw, self.copy, strict=True)]
+        lengths = np.array([len(r) for r in used], dtype=np.int64)
+        self.b = np.frombuffer(b"".join(used), np.uint8)
+        hashes, self.row, context, lo, hi = anchors(self.b, lengths, length)
+        self.hash, self.context = hashes.view(np.int64), context.view(np.int64)
+        self.base = (np.cumsum(lengths) - lengths)[self.row] if len(self.row) else self.row
+        self.lo, self.hi = lo, hi
+        self.key = self.hash ^ self.context
+        # The first place of a key in a shard is in its smallest document.
+        self.distinct, self.first, self.number = np.unique(self.key, return_index=True, return_inverse=True)
+
+
+def marked(table: pa.Table) -> set[int]:
+    return {x for x in table["copy"].to_pylist() if x is not None}
 
 
 def own_anchors(length: int):
-    """Distinct anchors of a shard; code holds the shard and in how many documents the anchor is."""
+    """Distinct anchors and contexts of a shard, each with the smallest document that has it."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, raw = shard_rows(table)
-        h, row, _ = located(raw, length)
-        pairs = np.unique(np.stack([h, np.unique(np.array(ids), return_inverse=True)[1][row]], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
-        found, n = np.unique(pairs[:, 0], return_counts=True)
-        return pa.table({"hash": found, "code": (int(table["shard"][0].as_py()) << 24) | np.minimum(n, MASK)})
+    def run(table: pa.Table, copies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({k: pa.array([], pa.int64()) for k in ("hash", "context", "doc")})
+        shard = Shard(table, marked(copies), length)
+        return pa.table({"hash": shard.hash[shard.first], "context": shard.context[shard.first], "doc": shard.ids[shard.row[shard.first]]})
 
     return run
 
@@ -177,41 +227,40 @@ CONTEXT = "bucket long, first long, ctx binary, shard long, row int, lo int, hi
 
 
 def contexts(length: int, buckets: int):
-    """Contexts around the shared anchors of a shard; of equal ones, that of the smallest document. What other documents repeat of it is a range found at once (ctx null)."""
+    """Of a shard's anchors: contexts that suffix shards have to compare, and ranges (ctx null) of contexts that a smaller document is known to have.
+
+    shared tells, by key, how many suffix shards the anchor has; 0: a smaller document has the context.
+    """
 
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         out: dict[str, list] = {k.split()[0]: [] for k in CONTEXT.split(", ")}
-        if table.num_rows and shared.num_rows:
-            shard = table["shard"][0].as_py()
-            ids, raw = shard_rows(table)
-            h, row, at = located(raw, length)
-            known = np.array(shared["hash"].to_numpy())
-            salts = shared["salts"].to_numpy()
-            order = np.argsort(known)
-            known, salts = known[order], salts[order]
-            where = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            keep = known[where] == h
-            first: dict[tuple[int, bytes], int] = {}
-            local: dict[int, list[tuple[int, int]]] = {}
-            for code, r, p, salt in zip(h[keep].tolist(), row[keep].tolist(), at[keep].tolist(), salts[where[keep]].tolist(), strict=True):
-                text = raw[r]
-                lo, hi = max(0, p - (length - GRAM)), min(len(text), p + length)
-                ctx = text[lo:hi]
-                owner = first.setdefault((code, ctx), ids[r])
-                if owner < ids[r]:
-                    spans = local.setdefault(r, [])
-                    if spans and spans[-1][1] >= lo:
-                        spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
-                    else:
-                        spans.append((lo, hi))
-                    continue
-                bucket = code % buckets if salt < 2 else HOT_BUCKET | ((code ^ (zlib.crc32(ctx) % salt * 0x9E3779B97F4A7C15)) & (HOT_BUCKET - 1))
-                for column, v in zip(out.values(), (bucket, owner, ctx, shard, r, lo, hi), strict=True):
+        if table.num_rows:
+            number = table["shard"][0].as_py()
+            shard = Shard(table, marked(shared), length)
+            known = shared.filter(shared["key"].is_valid())
+            keys, salts = known["key"].to_numpy(), known["salts"].to_numpy()
+            order = np.argsort(keys, kind="stable")
+            keys, salts = keys[order], salts[order]
+            salt = np.full(len(shard.distinct), -1)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, shard.distinct), len(keys) - 1)
+                salt = np.where(keys[at] == shard.distinct, salts[at], -1)
+            salt, doc = salt[shard.number], shard.ids[shard.row]
+            later = doc > doc[shard.first][shard.number]
+            gone = np.flatnonzero(later | (salt == 0))
+            lo, hi, row = (shard.lo - shard.base)[gone], (shard.hi - shard.base)[gone], shard.row[gone]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])))) if len(gone) else gone
+            last = np.concatenate((new[1:], [len(gone)])) - 1 if len(gone) else gone
+            for r, x, y in zip(row[new].tolist(), lo[new].tolist(), hi[last].tolist(), strict=True):
+                for column, v in zip(out.values(), (-1 - number, None, None, number, r, x, y), strict=True):
+                    column.append(v)
+            raw = shard.b.tobytes()
+            for k in np.flatnonzero(~later & (salt > 0)).tolist():
+                code, x, y, base = int(shard.hash[k]), int(shard.lo[k]), int(shard.hi[k]), int(shard.base[k])
+                ctx = raw[x:y]
+                bucket = code % buckets if salt[k] < 2 else HOT_BUCKET | ((code ^ (zlib.crc32(ctx) % int(salt[k]) * 0x9E3779B97F4A7C15)) & (HOT_BUCKET - 1))
+                for column, v in zip(out.values(), (bucket, int(doc[k]), ctx, number, int(shard.row[k]), x - base, y - base), strict=True):
                     column.append(v)
-            for r, spans in local.items():
-                for lo, hi in spans:
-                    for column, v in zip(out.values(), (-1 - shard, None, None, shard, r, lo, hi), strict=True):
-                        column.append(v)
         types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
@@ -301,13 +350,13 @@ def found_ranges(length: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removal(keep_text: bool):
-    """The texts of a shard without the ranges."""
+def removal(length: int, keep_text: bool):
+    """The texts of a shard without the ranges, and whole copies without anything."""
 
     def run(table: pa.Table, ranges: pa.Table) -> pa.Table:
-        ids, raw = shard_rows(table) if table.num_rows else ([], [])
-        by_row: dict[int, list[tuple[int, int]]] = {}
-        for row, lo, hi in sorted(zip(*(ranges[c].to_pylist() for c in ("row", "lo", "hi")), strict=True)):
+        copies, by_row = marked(ranges), {}
+        rows = shard_rows(table)
+        for row, lo, hi in sorted(x for x in zip(*(ranges[c].to_pylist() for c in ("row", "lo", "hi")), strict=True) if x[0] is not None):
             spans = by_row.setdefault(row, [])
             if spans and spans[-1][1] >= lo:
                 spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
@@ -315,8 +364,8 @@ def removal(keep_text: bool):
                 spans.append((lo, hi))
         out: dict[str, list] = {k.split()[0]: [] for k in RESULT.split(", ")}
         texts = []
-        for r, (doc_id, text) in enumerate(zip(ids, raw, strict=True)):
-            spans, parts, at = by_row.get(r, []), [], 0
+        for r, (doc_id, text, tag) in enumerate(rows):
+            spans, parts, at = [(0, len(text))] if tag in copies else by_row.get(r, []), [], 0
             for lo, hi in spans:
                 parts.append(text[at:lo])
                 at = hi
@@ -330,6 +379,13 @@ def removal(keep_text: bool):
     return run
 
 
+def whole_copies(rows: DataFrame, length: int) -> DataFrame:
+    """shard and tag of rows whose whole text a smaller document has."""
+    texts = rows.where(F.length("raw") >= length).select("shard", "doc_id", "tag", F.unhex(F.sha2("raw", 256)).alias("sha"))
+    again = texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
+    return texts.join(again, "sha").where("doc_id > first").select("shard", F.col("tag").alias("copy"))
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans and kept_sha256; with keep_text also the bytes kept.
 
@@ -337,18 +393,25 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD
     order: nothing is removed from them or for their sake. Rows with the same doc_id are
     judged one by one and don't count against each other. Other columns are not read.
     """
-    if not 32 + GRAM <= length + GRAM <= 64 + GRAM or length <= 32:
+    if not 33 <= length <= 64:
         raise ValueError("length must be 33 to 64")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
     shards = max(1, -(-(rows.agg(F.sum(F.length("raw"))).first()[0] or 0) // shard_bytes))
-    some = rows.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "raw")
-    found = some.groupBy("shard").applyInArrow(own_anchors(length), "hash long, code long")
-    total = F.sum(F.col("code").bitwiseAND(F.lit(MASK))).over(Window.partitionBy("hash"))
-    shared = found.withColumn("total", total).where("total > 1").select(F.shiftright("code", 24).alias("shard"), "hash", F.ceil(F.col("total") / hot).alias("salts"))
+    shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
+    some = rows.where("doc_id IS NOT NULL").select(shard_of("doc_id"), "doc_id", "raw", F.xxhash64("doc_id", "raw").alias("tag"))
+    copies = written(whole_copies(some, length))
+    some = some.mapInArrow(packed, "shard long, doc_id long, raw binary, tag long")
+    found = some.groupBy("shard").cogroup(copies.groupBy("shard")).applyInArrow(own_anchors(length), "hash long, context long, doc long")
+    anchor, same = Window.partitionBy("hash"), Window.partitionBy("hash", "context")
+    told = found.select("hash", "context", "doc", F.count("*").over(anchor).alias("n"), F.min("context").over(anchor).alias("c1"), F.max("context").over(anchor).alias("c2"), F.min("doc").over(same).alias("least"))
+    # Whoever has the smallest document of a context stands for it where the anchor has others.
+    told = told.where((F.col("n") > 1) & ((F.col("doc") > F.col("least")) | (F.col("c1") != F.col("c2"))))
+    salts = F.when(F.col("doc") > F.col("least"), 0).otherwise(F.ceil(F.col("n") / hot)).cast("int")
+    shared = told.select(shard_of("doc"), F.col("hash").bitwiseXOR(F.col("context")).alias("key"), salts.alias("salts")).unionByName(copies, allowMissingColumns=True)
     cut = some.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(contexts(length, shards), CONTEXT)
     strings = cut.groupBy("bucket").applyInArrow(hot_strings(length), "bucket long, string binary, least long")
     merged = strings.select("bucket", "string", F.min("least").over(Window.partitionBy("string")).alias("least"))
-    ranges = cut.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInArrow(found_ranges(length), RANGE)
-    out = some.groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(removal(keep_text), RESULT + ", kept binary" * keep_text)
+    ranges = cut.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInArrow(found_ranges(length), RANGE).unionByName(copies, allowMissingColumns=True)
+    out = some.groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(removal(length, keep_text), RESULT + ", kept binary" * keep_text)
     rest = rows.where("doc_id IS NULL").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"), *[F.col("raw").alias("kept")] * keep_text)
     return out.unionByName(rest)
