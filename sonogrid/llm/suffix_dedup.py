@@ -33,6 +33,8 @@ from sonogrid.llm.common import written
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, and contexts of an anchor in a suffix shard.
 SHARD_BYTES, HOT = 4 << 20, 8192
+#: Bytes of text whose anchors are found at a time, and suffix shards for each shard of text: both keep the work in a core's cache.
+BLOCK_BYTES, FINER = 1 << 16, 8
 #: Suffix shards of hot anchors have numbers from here on.
 HOT_BUCKET = 1 << 62
 PRIMES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -71,7 +73,19 @@ def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return of(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def anchors(b: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(b: np.ndarray, lengths: np.ndarray, length: int, most: int = BLOCK_BYTES) -> list[np.ndarray]:
+    """What block_anchors() gives, over blocks of `most` bytes of whole texts (one at least)."""
+    ends, out, at = np.cumsum(lengths), [block_anchors(b[:0], lengths[:0], length)], 0
+    while at < len(lengths):
+        start = int(ends[at] - lengths[at])
+        end = max(at + 1, int(np.searchsorted(ends, start + most, "right")))
+        hashes, row, context, lo, hi = block_anchors(b[start : ends[end - 1]], lengths[at:end], length)
+        out.append((hashes, row + at, context, lo + start, hi + start))
+        at = end
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def block_anchors(b: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors in texts laid end to end: hashes that are the smallest of some string of `length` bytes within a text.
 
     Returns the anchors' hashes, the rows of their texts, their contexts' hashes, and where in b these start and end.
@@ -408,7 +422,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD
     told = told.where((F.col("n") > 1) & ((F.col("doc") > F.col("least")) | (F.col("c1") != F.col("c2"))))
     salts = F.when(F.col("doc") > F.col("least"), 0).otherwise(F.ceil(F.col("n") / hot)).cast("int")
     shared = told.select(shard_of("doc"), F.col("hash").bitwiseXOR(F.col("context")).alias("key"), salts.alias("salts")).unionByName(copies, allowMissingColumns=True)
-    cut = some.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(contexts(length, shards), CONTEXT)
+    cut = some.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(contexts(length, FINER * shards), CONTEXT)
     strings = cut.groupBy("bucket").applyInArrow(hot_strings(length), "bucket long, string binary, least long")
     merged = strings.select("bucket", "string", F.min("least").over(Window.partitionBy("string")).alias("least"))
     ranges = cut.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInArrow(found_ranges(length), RANGE).unionByName(copies, allowMissingColumns=True)
