@@ -8,10 +8,11 @@ differ by more than the radius are skipped. Buckets with more than TILE rows are
 out as pairs of tiles. What a task finds leaves it as a forest of its links.
 
 For similarities that need a radius of many bits, near_duplicates() takes wide
-fingerprints, whose share of differing bits tells the similarity closely, and buckets
-of equal 16-bit lanes: a pair at the similarity asked for shares one of LANES lanes
-with a chance of 0.95 and more similar pairs with a higher one; links found are exact
-in the fingerprints.
+fingerprints of sets of shingles, whose share of differing bits tells the similarity
+closely, and buckets of equal 12-bit lanes: a pair at a similarity of 0.8 shares one of
+the 50 lanes with a chance of 0.9994. Sets of at most SMALL shingles also meet by the
+first shingles of each, of which similar sets share one at least. What is found are
+candidates: a link counts if the Jaccard similarity of the two sets says so.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from sonogrid.llm.common import LOWER, blocks, whole, written
 from sonogrid.llm.components import components
 
 SHINGLE, RADIUS, EQUAL, TILE, SEED = 3, 3, 2, 4096, 42
-#: Words of 64 bits in a wide fingerprint; each gives four lanes of 16 bits.
-WIDE = 10
+#: Words of 64 bits in a wide fingerprint, and bits of a lane.
+WIDE, LANE = 10, 12
+#: Shingles of a set that is compared by its first ones too, and rows of a component's tile.
+SMALL, MEMBERS = 24, 512
 
 
 def shingle_hashes(text: str, shingle: int) -> list[int]:
@@ -57,14 +60,13 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint_of(texts: list[str], shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
     """Fingerprints of texts, unsigned: rows of `width` 64-bit words."""
-    hashes, lengths = [], []
-    for text in texts:
-        found = shingle_hashes(text, shingle)
-        hashes += found
-        lengths.append(len(found))
-    n, out = np.array(lengths, dtype=np.int64), np.zeros((len(texts), width), np.uint64)
-    if hashes:
-        some, h = np.flatnonzero(n), np.array(hashes, dtype=np.uint64)
+    return fingerprint_of_hashes([np.array(shingle_hashes(t, shingle), dtype=np.uint64) for t in texts], width)
+
+
+def fingerprint_of_hashes(hashes: list[np.ndarray], width: int) -> np.ndarray:
+    n, out = np.array([len(h) for h in hashes], dtype=np.int64), np.zeros((len(hashes), width), np.uint64)
+    if n.any():
+        some, h = np.flatnonzero(n), np.concatenate(hashes)
         for k in range(width):
             bits = np.unpackbits(mixed(h, k).astype(">u8").view(np.uint8)).reshape(-1, 64)
             ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
@@ -72,6 +74,21 @@ def fingerprint_of(texts: list[str], shingle: int = SHINGLE, width: int = 1) ->
     return out
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of the shingles of a text, in order."""
+    return np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets, in order, is as high."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
 def names(width: int) -> list[str]:
     return [f"fp{k}" for k in range(width)]
 
@@ -108,6 +125,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[other], values[root[other]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of links that join the same values as all links a, b do, the nearest ones first (Boruvka)."""
+    order = np.argsort(far, kind="stable")
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)][order], at[len(a) :][order]
+    label, chosen, none = np.arange(len(values)), [np.zeros(0, np.int64)], len(order)
+    while True:
+        cross = np.flatnonzero(label[i] != label[j])
+        if not len(cross):
+            return order[np.unique(np.concatenate(chosen))]
+        best = np.full(len(values), none)
+        np.minimum.at(best, label[i[cross]], cross)
+        np.minimum.at(best, label[j[cross]], cross)
+        pick = np.unique(best[best < none])
+        chosen.append(pick)
+        other, root = forest(label[i[pick]], label[j[pick]])
+        new = np.arange(len(values))
+        new[other] = root
+        label = new[label]
+
+
 class Links:
     """Pairs found so far, cut down to a forest whenever they are many."""
 
@@ -122,10 +160,34 @@ class Links:
             a, b = self.forest()
             self.a, self.b, self.n = [a], [b], 0
 
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in self.forest()], ["a", "b"])
+
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         return forest(np.concatenate([*self.a, np.zeros(0, np.int64)]), np.concatenate([*self.b, np.zeros(0, np.int64)]))
 
 
+class Candidates:
+    """Pairs found so far with their distances, cut down to the nearest that join the same values whenever they are many."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.n, self.parts = most, 0, []
+
+    def add(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        self.parts.append((a, b, far.astype(np.int64)))
+        self.n += len(a)
+        if self.n > self.most:
+            self.parts, self.n = [self.least()], 0
+
+    def least(self) -> tuple[np.ndarray, ...]:
+        a, b, far = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*self.parts, strict=True) if self.parts else [()] * 3))
+        kept = spanning(a, b, far)
+        return a[kept], b[kept], far[kept]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in self.least()], ["a", "b", "far"])
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints; the words are in the last axis."""
     out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
@@ -134,7 +196,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare_tiles(ids: np.ndarray, fps: np.ndarray, radius: int, links: Links, tile: int = 1024) -> None:
+def compare_tiles(ids: np.ndarray, fps: np.ndarray, radius: int, links: Links | Candidates, tile: int = 1024) -> None:
     """All pairs of distinct fingerprints within the radius."""
     counts = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(counts, kind="stable")
@@ -144,20 +206,21 @@ def compare_tiles(ids: np.ndarray, fps: np.ndarray, radius: int, links: Links, t
         for j in range(i, len(fps), tile):
             if counts[j] - counts[i + len(a) - 1] > radius:
                 break
-            x, y = np.nonzero(distances(a[:, None, :], fps[None, j : j + tile, :]) <= radius)
+            far = distances(a[:, None, :], fps[None, j : j + tile, :])
+            x, y = np.nonzero(far <= radius)
             if i == j:
                 x, y = x[x < y], y[x < y]
-            links.add(ids[i + x], ids[j + y])
+            links.add(ids[i + x], ids[j + y], *[far[x, y]] * isinstance(links, Candidates))
 
 
 BUCKET = ["t", "key", "lo", "hi"]
 
 
-def compare_buckets(radius: int, few: int = 32):
-    """For mapInArrow over partitions sorted by bucket (four columns, then id and fingerprint): the links within buckets."""
+def compare_buckets(radius: int, few: int = 32, found: type = Links, open_table: int = -1):
+    """For mapInArrow over partitions sorted by bucket (four columns, then id and fingerprint): the links within buckets. In the table of number open_table any distance will do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, rest, n = Links(), None, len(BUCKET)
+        links, rest, n = found(), None, len(BUCKET)
 
         def whole_buckets(rows: np.ndarray) -> None:
             change = np.flatnonzero((rows[1:, :n] != rows[:-1, :n]).any(axis=1)) + 1
@@ -165,15 +228,17 @@ def compare_buckets(radius: int, few: int = 32):
             sizes = np.diff(np.concatenate((starts, [len(rows)])))
             bucket, ids, fp = np.repeat(np.arange(len(starts)), sizes), rows[:, n], rows[:, n + 1 :].view(np.uint64)
             small = np.repeat(sizes <= few, sizes)
+            most = np.where(rows[:, 0] == open_table, 64 * fp.shape[1], radius)
             for k in range(1, min(few, int(sizes.max(initial=0)))):
                 at = np.flatnonzero((bucket[k:] == bucket[:-k]) & small[k:])
                 if not len(at):
                     break
-                at = at[distances(fp[at], fp[at + k]) <= radius]
-                links.add(ids[at], ids[at + k])
+                far = distances(fp[at], fp[at + k])
+                near = far <= most[at]
+                links.add(ids[at[near]], ids[at[near] + k], *[far[near]] * (found is Candidates))
             for i in np.flatnonzero(sizes > few):
                 own = slice(starts[i], starts[i] + sizes[i])
-                compare_tiles(ids[own], fp[own], radius, links)
+                compare_tiles(ids[own], fp[own], int(most[starts[i]]), links)
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
@@ -186,7 +251,7 @@ def compare_buckets(radius: int, few: int = 32):
                 rest = rows[last:]
         if rest is not None and len(rest):
             whole_buckets(np.ascontiguousarray(rest))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links.forest()], ["a", "b"])
+        yield links.batch()
 
     return run
 
@@ -200,18 +265,24 @@ def block_keys(radius: int, equal: int) -> list[Column]:
 
 
 def lane_keys(width: int) -> list[Column]:
-    return [F.shiftrightunsigned(c, 16 * j).bitwiseAND(F.lit(0xFFFF)) for c in names(width) for j in range(4)]
+    return [F.shiftrightunsigned(c, LANE * j).bitwiseAND(F.lit((1 << LANE) - 1)) for c in names(width) for j in range(64 // LANE)]
+
 
+def close(fps: DataFrame, keys: list[Column], width: int, radius: int, tile: int = TILE, first: str | None = None) -> DataFrame:
+    """Links (a, b) that join the same ids of fps (id and a fingerprint that no other row has) as all pairs within the radius that share a key do.
 
-def close(fps: DataFrame, keys: list[Column], width: int, radius: int, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that join the same ids of fps (id and a fingerprint that no other row has) as all pairs within the radius that share a key do."""
+    With `first`, a column of keys, so do pairs at any distance that share one of these; links are pairs found and come with their distances (far).
+    """
     columns = ["id", *names(width)]
     rows = fps.select(*columns, F.posexplode(F.array(*keys))).select(F.col("pos").cast("long").alias("t"), F.col("col").cast("long").alias("key"), *columns)
+    if first:
+        rows = rows.unionByName(fps.select(F.lit(len(keys)).cast("long").alias("t"), F.explode(first).alias("key"), *columns))
     large = rows.groupBy("t", "key").agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1")
     tiles = F.coalesce("tiles", F.lit(1).cast("long"))
     dealt = rows.join(large, ["t", "key"], "left").withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     pairs = dealt.select("t", "key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), *columns)
-    return pairs.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(compare_buckets(radius), "a long, b long")
+    found = compare_buckets(radius, found=Candidates, open_table=len(keys)) if first else compare_buckets(radius)
+    return pairs.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(found, "a long, b long" + ", far long" * bool(first))
 
 
 def grouped(own: DataFrame, keys: list[Column], width: int, radius: int, tile: int) -> DataFrame:
@@ -238,14 +309,127 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = WIDE, tile: int = TILE) -> DataFrame:
-    """One row for each document: doc_id and component_id, by wide fingerprints.
+def text_key(text: Column) -> Column:
+    """16 bytes that tell texts apart; a null text counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+def set_fingerprints(docs: DataFrame, shingle: int, similarity: float, width: int) -> DataFrame:
+    """doc_id, key (of the text), id (a hash of the set of shingles), the set's fingerprint and, of small sets, the first shingles."""
+    columns = ["doc_id", "key", "id", *names(width), "first"]
 
-    A Jaccard similarity s of equally large sets of shingles is a cosine of 2s / (1 + s);
-    the angle's share of a half turn is the expected share of differing bits, which is
-    the radius, with a standard deviation more so that few pairs at the similarity itself
-    are missed. Nulls, repeats and empty texts are as in simhash_groups().
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches, most=1 << 20):
+            sets = [shingle_set(t, shingle) for t in texts]
+            fp = fingerprint_of_hashes(sets, width).view(np.int64)
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            # Of similar sets in one order, the first ones that can be left over share one.
+            first = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1].view(np.int64) if len(x) <= SMALL else [] for x in sets]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], pa.array(ids), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(width)), pa.array([list(x) for x in first], pa.list_(pa.int64()))], columns)
+
+    rows = whole(docs, "doc_id").withColumn("key", text_key(F.col("text")))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, id long, " + ", ".join(f"{c} long" for c in names(width)) + ", first array<long>")
+
+
+def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of links (a, b, far) whose components are in one partition each, the nearest that join the same."""
+    links = Candidates()
+    for x in batches:
+        links.add(*(x[c].to_numpy(zero_copy_only=False) for c in ("a", "b", "far")))
+    yield links.batch()
+
+
+def checked(similarity: float):
+    """For mapInArrow over pairs with their sets: the pairs whose sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = [[np.frombuffer(s, np.uint64) for s in x[c].to_pylist()] for c in ("set_a", "set_b")]
+            ok = pa.array([alike(a, b, similarity) for a, b in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x["a"].filter(ok), x["b"].filter(ok)], ["a", "b"])
+
+    return run
+
+
+def compare_members(similarity: float, radius: int, width: int):
+    """For mapInArrow over partitions sorted by root, lo and hi: links of alike sets in different parts of a component, as a forest for each pair of tiles."""
+
+    def links_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        ids, parts, tiles = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5))
+        fp, sets = np.array([r[7:] for r in rows], dtype=np.int64).view(np.uint64), [np.frombuffer(r[6], np.uint64) for r in rows]
+        sizes, up, out = np.array([len(x) for x in sets]), dict(zip(parts.tolist(), parts.tolist(), strict=True)), []
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        across = rows[0][1] != rows[0][2]
+        for i in range(len(rows)):
+            far = distances(fp[i], fp[i + 1 :])
+            near = (far <= radius) | (np.minimum(sizes[i], sizes[i + 1 :]) <= SMALL)
+            if across:
+                near &= tiles[i + 1 :] != tiles[i]
+            for j in (np.flatnonzero(near & (parts[i + 1 :] != parts[i])) + i + 1).tolist():
+                x, y = root(int(parts[i])), root(int(parts[j]))
+                if x != y and alike(sets[i], sets[j], similarity):
+                    up[max(x, y)] = min(x, y)
+                    out.append((ids[i], ids[j]))
+        return np.array([x for x, _ in out], dtype=np.int64), np.array([y for _, y in out], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for x in batches:
+            for r in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if rows and r[:3] != rows[0][:3]:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in links_of(rows)], ["a", "b"])
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in links_of(rows)], ["a", "b"])
+
+    return run
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = WIDE, tile: int = TILE, members: int = MEMBERS) -> DataFrame:
+    """One row for each document: doc_id, key (see text_key()) and root, a number that near-duplicates share.
+
+    A Jaccard similarity s of equally large sets of shingles is a cosine of 2s / (1 + s),
+    and of others a higher one; the angle's share of a half turn is the expected share of
+    differing bits, which with four standard deviations more is the radius of candidates.
+    The nearest candidates that join all others are checked by their sets. Where that
+    leaves a component in parts, all its candidates across parts are checked.
     """
     bits, p = 64 * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(bits * p + math.sqrt(bits * p * (1 - p)))
-    return grouped(written(fingerprints(docs, shingle, width)), lane_keys(width), width, radius, tile).select("doc_id", "component_id")
+    radius, columns = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))), names(width)
+    own = written(set_fingerprints(docs, shingle, similarity, width))
+    sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in columns), F.first("first").alias("first"), F.min("key").alias("key")))
+    links = written(close(sets, lane_keys(width), width, radius, tile, "first"))
+    loose = written(components(links))
+    links = written(links.join(loose, F.col("a") == F.col("vertex")).select("a", "b", "far", "root").repartition("root").select("a", "b", "far").mapInArrow(nearest, "a long, b long, far long"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches, most=1 << 20):
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], ["id", "set"])
+
+    some = sets.join(loose, F.col("id") == F.col("vertex")).select("id", F.col("key").alias("own"))
+    texts = whole(docs).withColumn("key", text_key(F.col("text"))).join(some, F.col("key") == F.col("own")).groupBy("id").agg(F.first("text").alias("text"))
+    shingles = written(texts.mapInArrow(listed, "id long, set binary"))
+    left, right = (shingles.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    sure = written(links.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(checked(similarity), "a long, b long"))
+    parts = components(sure).select(F.col("vertex").alias("v"), F.col("root").alias("part"))
+    placed = written(loose.join(parts, F.col("vertex") == F.col("v"), "left").select("root", F.col("vertex").alias("id"), F.coalesce("part", "vertex").alias("part")))
+    open_roots = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("root", F.ceil(F.col("n") / members).alias("tiles"))
+    left_over = placed.join(open_roots, "root").join(shingles, "id").join(sets.select("id", *columns), "id")
+    dealt = left_over.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "id", "part", "tile", "set", *columns)
+    more = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare_members(similarity, radius, width), "a long, b long")
+    found = components(sure.union(written(more))).select("vertex", F.col("root").alias("joined"))
+    return own.join(found, F.col("id") == F.col("vertex"), "left").select("doc_id", "key", F.coalesce("joined", "id").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = WIDE, tile: int = TILE) -> DataFrame:
+    """One row for each document: doc_id and component_id, the smallest doc_id that pairs of a Jaccard similarity of `similarity` reach. Nulls, repeats and empty texts are as in simhash_groups()."""
+    own = written(near_groups(docs, shingle, similarity, width, tile))
+    return own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

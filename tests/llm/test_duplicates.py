@@ -82,6 +82,30 @@ def test_near_duplicates(spark):
     assert sum(got[10 * g + k] == 10 * g for g in range(30) for k in range(4)) >= 117 and all(got[1000 + i] == 1000 + i for i in range(200))
 
 
+def jaccard_roots(rows, similarity=0.8):
+    """By brute force: the smallest id that pairs of similar sets of five-word shingles reach."""
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    alike = lambda a, b: a == b or 10 * len(a & b) >= round(10 * similarity) * len(a | b)
+    pairs = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    return roots(pairs, sets), pairs
+
+
+def test_near_duplicates_at_the_similarity(spark):
+    """Pairs from 0.8 to 0.85 are found, whatever their length; so are those of very short texts."""
+    random.seed(6)
+    rows = []
+    for g in range(400):
+        n = random.choice((8, 12, 30, 60, 200, 600))
+        words = [f"w{random.randrange(9000)}" for _ in range(n)]
+        # c of the n - 4 shingles are left off: (n - 4 - c) / (n - 4) is 0.8 or a little more.
+        c = (n - 4) // 5
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[c:]))]
+    want, pairs = jaccard_roots(rows)
+    assert len(pairs) == 400
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows), tile=64).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 398 and all(got[i] >= want[i] for i in got)
+
+
 @pytest.mark.parametrize("pairs", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 52), (60, 52)], [(-5, 3), (3, 9), (3, 9)]])
 def test_components(spark, pairs):
     got = {r.vertex: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
