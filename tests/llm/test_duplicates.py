@@ -106,6 +106,31 @@ def test_near_duplicates_at_the_similarity(spark):
     assert sum(got[a] == got[b] for a, b in pairs) >= 398 and all(got[i] >= want[i] for i in got)
 
 
+def test_links_below_the_similarity_do_not_count(spark):
+    """Copies at about 0.72 to 0.78 stay apart, chained or not; repeats of a line don't count, and groups are joined however they are dealt."""
+    random.seed(7)
+    word = lambda: f"w{random.randrange(9000)}"
+    rows = []
+    for g in range(100):
+        words = [word() for _ in range(204)]
+        rows += [(10 * g + k, " ".join(words[k * 26 : 204])) for k in range(2)]
+        rows += [(10 * g + 2 + k, " ".join([*words[26:], *(word() for _ in range(25 * k))])) for k in range(2)]
+    line = " ".join(word() for _ in range(8)) + "\n"
+    rows += [(5000 + i, line * 200 + " ".join(word() for _ in range(40))) for i in range(10)]
+    body = " ".join(word() for _ in range(400))
+    rows += [(6000, body), (6001, body + "\n" + line * 300)]
+    wide = [word() for _ in range(300)]
+    rows += [(7000 + i, " ".join(wide[2 * i : 2 * i + 200])) for i in range(40)]
+    want, _ = jaccard_roots(rows)
+    for members in (simhash.MEMBERS, 8):
+        groups = simhash.near_groups(docs(spark, rows), members=members).collect()
+        first: dict = {}
+        for r in groups:
+            first[r.root] = min(r.doc_id, first.get(r.root, r.doc_id))
+        assert {r.doc_id: first[r.root] for r in groups} == want
+    assert len({want[5000 + i] for i in range(10)}) == 10 and want[6001] == 6000
+
+
 @pytest.mark.parametrize("pairs", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 52), (60, 52)], [(-5, 3), (3, 9), (3, 9)]])
 def test_components(spark, pairs):
     got = {r.vertex: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
