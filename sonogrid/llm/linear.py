@@ -214,14 +214,16 @@ def fit(sample: DataFrame, chars: bool, learner: str, calibrated: bool) -> tuple
     return np.frombuffer(row["weights"], np.float32), *row["rest"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float], chars: bool) -> DataFrame:
-    """docs (doc_id and text) with score, a probability. Arrow batches are cut to blocks of a few MB."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float], chars: bool, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (doc_id if not said) of docs with score, a probability; a null text counts as empty. Arrow batches are cut to blocks of a few MB."""
     weights, bias, a, b = model
+    keep = keep or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(chars)
-        for part, texts in blocks(batches):
+        for part, texts in blocks(batches, "_text"):
             p = sigmoid(a * features.margins(texts, weights, bias) + b)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(p)], [*keep, "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double")

@@ -23,3 +23,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     model = fit(labelled(docs, labels, "quality", fit_rows), False, "ftrl", False)
     out = score(whole(docs, "doc_id"), model, False)
     return out.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_classifier() predicts 1 for."""
+    model = fit(labelled(docs, labels, "quality", fit_rows), False, "ftrl", False)
+    return score(docs, model, False, docs.columns).where(F.col("score") >= threshold).drop("score")

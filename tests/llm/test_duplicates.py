@@ -225,3 +225,34 @@ def test_pipeline_odd_rows(spark, tmp_path):
     for rows in (ODD, []):
         docs(spark, rows).select(*pipeline.COLUMNS).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         assert pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+def test_pipeline_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Null and repeated ids: each decision reaches its own row, and a corpus loaded twice leaves each text once."""
+    import corpus_pipeline as pipeline
+
+    random.seed(10)
+    text = lambda n: " ".join(f"w{random.randrange(9000)}" for _ in range(n))
+    item, copied, clean, lone = text(30), text(100), text(100), text(100)
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{text(20)} {item} {text(20)}"
+    rows = [(1, copied), (1, copied), (2, copied), (None, copied), (2, clean), (None, lone), (None, lone), (3, leak), (3, text(50)), (None, leak)]
+    d = docs(spark, rows).select(*pipeline.COLUMNS)
+    got = sorted((r.doc_id or 0, r.text) for r in pipeline.near_duplicates(spark, d, str(tmp_path)).collect())
+    assert got == sorted([(1, copied), (2, clean), (0, lone), (3, leak), (3, rows[8][1])])
+    free = sorted((r.doc_id or 0, r.text) for r in pipeline.benchmark_free(spark, d, str(tmp_path)).collect())
+    assert free == sorted((i or 0, t) for i, t in rows if t != leak)
+
+
+def test_quality_stage_judges_each_row(spark):
+    import corpus_pipeline as pipeline
+    from sonogrid.llm.quality_classifier import quality_classifier
+
+    d = "/root/testdata/sf0.01"
+    source = spark.read.parquet(f"{d}/documents.parquet").select(*pipeline.COLUMNS)
+    bad = [r.doc_id for r in quality_classifier(source, spark.read.parquet(f"{d}/labels.parquet")).where("predicted = 0").collect()]
+    assert bad
+    no_ids = source.withColumn("doc_id", simhash.F.when(~simhash.F.col("doc_id").isin(bad), simhash.F.col("doc_id")))
+    both = source.unionByName(no_ids.where("doc_id IS NULL"))
+    kept = pipeline.quality(spark, both, d).collect()
+    assert len(kept) == source.count() - len(bad) and all(r.doc_id is not None for r in kept)
