@@ -249,6 +249,26 @@ def test_redaction(spark):
     assert [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("spans"))).collect()] == ["ab[secret]dé", "x"]
 
 
+def test_whole_private_keys_are_redacted(spark):
+    import corpus_pipeline as pipeline
+
+    random.seed(11)
+    body = lambda n: "\n".join("".join(random.choices("ABCDwxyz0189+/", k=64)) for _ in range(n)) + "\nAbC9+/w=="
+    key = lambda b, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{b}\n-----END {kind}PRIVATE KEY-----"
+    cases = [
+        (1, f"a {key(body(25))} b, c {key(body(3), '')} d", "a [secret] b, c [secret] d"),
+        (2, "x\n" + key("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + body(20)) + "\ny", "x\n[secret]\ny"),
+        (3, "k = '" + key(body(8)).replace("\n", "\\n") + "' z", "k = '[secret]' z"),
+        (4, "cut off -----BEGIN EC PRIVATE KEY-----\n" + body(6) + "\nThen prose. ", "cut off [secret]\nThen prose. "),
+        (5, "the line -----BEGIN PRIVATE KEY----- starts a key.", "the line [secret] starts a key."),
+        (6, f"{key(body(300))}", "[secret]"),
+    ]
+    d = docs(spark, [(i, t) for i, t, _ in cases]).select(*pipeline.COLUMNS)
+    assert {r.doc_id: r.text for r in pipeline.secrets_out(spark, d, "").collect()} == {i: want for i, _, want in cases}
+    spans = {r.doc_id: r.spans for r in secrets.secret_scans(d).collect()}
+    assert f"key_block:0:{len(cases[5][1])}" in spans[6].split(",")
+
+
 def test_decontamination(spark):
     random.seed(9)
     word = lambda: "".join(random.choices("abcdefghij", k=6))
