@@ -80,9 +80,10 @@ class Ids:
         word = text.rstrip(self.SIGNS)
         if word.isalpha():
             return self.pretoken(space + word) + self.pretoken(text[len(word) :])
-        left, line, right = text.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            return self.part(space, left) + self.line + self.part("", right)
+        # A line break between two lines that white space neither ends nor begins is a pre-token of its own.
+        lines = text.split("\n")
+        if len(lines) > 1 and not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return self.line.join([self.part(space if not k else "", x) for k, x in enumerate(lines)])
         return self.whole([space + text])[0]
 
     def __call__(self, text: str) -> bytes:

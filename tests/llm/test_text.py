@@ -166,6 +166,16 @@ def test_ids_equal_the_tokenizer():
     assert [np.frombuffer(ids(x), "<u4").tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_of_many_lines_without_spaces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["\n".join(["word", "7", "x1.", "é"] * 25_000), "a " + "\n".join(["12"] * 3000) + " b", "a\nb\n\nc\n1\n"]
+    ids = Ids("byte_bpe_50k.json")
+    assert [np.frombuffer(ids(x), "<u4").tolist() for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_differencing_balances():
     random.seed(6)
     sizes = [random.randrange(1, 300) for _ in range(400)]
