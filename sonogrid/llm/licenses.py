@@ -1,13 +1,16 @@
 """Operator 9: licence scans by sentence rules, in DataFrame functions only.
 
-Sentences end at line breaks and at . ! ? before white space. A normalised sentence
-(lower case, runs of anything but a-z, 0-9, + and . as one space, no full stop at the
-end) that is known gives its identifier; the identifiers of a text in order are
+Sentences end at blank lines and at . ! ? before white space; at a single line break,
+also in a comment, and after "v." they may end or go on. A normalised sentence (lower
+case, runs of anything but a-z, 0-9, + and . as one space, no full stop at the end) that
+is known gives its identifier, the longest one from where it starts; the identifiers of a text in order are
 matched against the rules in order, longest first, and a match uses its sentences up.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +56,23 @@ RULES = [
 ]
 
 
-def normal(sentence: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(lower_az(sentence), "[^a-z0-9+.]+", " ")), "[. ]+$", "")
+#: Where a sentence ends (HARD), and where it may end (SOFT).
+HARD, SOFT = "|", "~"
+
+
+def normal(text: Column) -> Column:
+    """A text's normalised words between marks of where sentences end."""
+    x = F.translate(lower_az(text), HARD + SOFT, "##")
+    x = F.regexp_replace(x, r"((?<!\bv)\.|[!?])(?:[ \t\r]+|(?=\n))", "$1" + HARD)
+    x = F.translate(F.regexp_replace(x, r"\bv\.[ \t\r]+", "v." + SOFT), "\n", SOFT)
+    x = F.concat(F.lit(HARD), F.regexp_replace(x, "[^a-z0-9+.|~]+", " "), F.lit(HARD))
+    x = F.regexp_replace(F.regexp_replace(x, "(?<![. ])[. ]+(?=[|~])", ""), "(?<=[|~]) +", "")
+    return F.regexp_replace(x, "~{2,}", HARD)
+
+
+def plain(sentence: str) -> str:
+    """A known sentence as normal() leaves it."""
+    return re.sub(r"\bv\. ", "v ", sentence)
 
 
 def license_scans(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> DataFrame:
@@ -63,9 +81,10 @@ def license_scans(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     A null text counts as empty: no sentences. Rows with a null or repeated doc_id are
     scanned one by one; columns other than doc_id and text are not read.
     """
-    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (s, i)))
-    cut = F.split(F.regexp_replace("text", r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    ids = F.filter(F.transform(cut, lambda s: F.try_element_at(known, normal(s))), lambda i: i.isNotNull())
+    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (plain(s), i)))
+    longest = sorted(map(plain, sentences.values()), key=lambda s: -len(s))
+    pattern = "(?<=[|~])(?:" + "|".join("[ ~]".join(re.sub(r"([.+])", r"\\\1", w) for w in s.split(" ")) for s in longest) + ")(?=[|~])"
+    ids = F.transform(F.regexp_extract_all(normal(F.col("text")), F.lit(pattern), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, SOFT, " ")))
     out = whole(docs, "doc_id").select("doc_id", ids.alias("ids"))
     rest, found = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")), []
     for sequence, _ in sorted(rules, key=lambda r: -len(r[0])):
@@ -79,7 +98,7 @@ def license_scans(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
 
 
 def sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> str:
-    """The same in DuckDB's SQL; one CTE for each rule uses its matches up."""
+    """The same in DuckDB's SQL for sentences within a line; one CTE for each rule uses its matches up."""
     values = ", ".join(f"('{s}', '{i}')" for i, s in sentences.items())
     steps, last = [], "joined"
     ordered = sorted(rules, key=lambda r: -len(r[0]))

@@ -221,6 +221,29 @@ def test_license_scans(spark):
     assert (got[1].n_sentences, got[1].licences) == (0, "") and licenses.license_scans(docs(spark, []).limit(0)).count() == 0
 
 
+def test_wrapped_licence_notices(spark):
+    import textwrap
+
+    full = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+        "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file",
+    }
+    rows, want = [], {}
+    for name, text in full.items():
+        for width in (30, 76, 10_000):
+            for prefix in ("", "# ", " * ", "// "):
+                lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+                want[len(rows)] = name
+                rows.append((len(rows), "Copyright me\n" + prefix.rstrip() + "\n" + "\n".join((prefix + x).rstrip() for x in lines)))
+    rows += [(900, "Licensed under the\n\nMIT license"), (901, "Licensed under the MIT\nlicense\nAll rights reserved\nFoo v. All rights reserved. " + "." * 50_000)]
+    got = {r.doc_id: r for r in licenses.license_scans(docs(spark, rows)).collect()}
+    assert {i: got[i].licences for i in want} == want and all(got[i].n_matches == 1 for i in want)
+    assert got[900].n_sentences == 0 and got[901].sentence_ids == "mit-licensed,rights,rights"
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
