@@ -1,11 +1,12 @@
 """Operator 6: packing into windows by Karmarkar-Karp multiway differencing.
 
 A document's ids beyond full windows are cut into pieces of at most PIECE ids. When a
-task has ids for GROUP windows, it cuts the last few of them (RESERVE for each window)
-finely and differences the pieces: the two partial partitions
-with the largest spread merge, the fullest windows of the one with the emptiest of the
-other, until one partition is left, whose windows are near equal. If the fullest
-exceeds the capacity, the window count rises by one and the group is differenced again.
+task has ids for GROUP windows, it keeps the last of them (RESERVE for each window) back
+and differences the pieces before: the two partial partitions with the largest spread
+merge, the fullest windows of the one with the emptiest of the other, until one
+partition is left, whose windows are near equal. If the fullest exceeds the capacity,
+the window count rises by one and the group is differenced again. The ids kept back
+then fill up what the windows lack, a run for each.
 Windows depend on the rows of their own task alone, so nothing is shuffled, and a lost
 task gives the same windows again.
 """
@@ -17,7 +18,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import cycle
 
 import numpy as np
 import public_tokenizers
@@ -30,10 +30,8 @@ from sonogrid.llm.common import blocks, whole
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY, END = 1024, 0
-#: Windows of a group, ids of a piece at most, and ids by which windows are left open on average.
-GROUP, PIECE, SLACK = 64, 512, 1
-#: Ids for each window that are cut finely, and the sizes in turn: small pieces come last and level the windows.
-RESERVE, FINE = 48, (32, 8, 4, 2, 1, 1)
+#: Windows of a group, ids of a piece at most, and ids for each window that fill up what differencing leaves uneven.
+GROUP, PIECE, RESERVE = 64, 512, 128
 
 Piece = tuple[int, int, int]
 
@@ -52,7 +50,7 @@ class Ids:
     spaces and the ids of each part are remembered, the latest `most` of them. Parts of
     letters, with signs after them or a line break among them, are pre-tokens as they
     stand and go to the vocabulary's model directly; others, and texts in which white
-    space follows a space, are encoded in full.
+    space follows a space or that hold an added token, are encoded in full.
     """
 
     ODD = re.compile(r" \s")
@@ -61,7 +59,7 @@ class Ids:
     def __init__(self, name: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.most, self.known = most, {}
         self.line = self.whole(["\n"])[0]
@@ -87,7 +85,7 @@ class Ids:
         return self.whole([space + text])[0]
 
     def __call__(self, text: str) -> bytes:
-        if self.ODD.search(text):
+        if self.ODD.search(text) or any(x in text for x in self.added):
             return self.whole([text])[0]
         first, *parts = text.split(" ")
         known = self.known
@@ -135,37 +133,30 @@ def split(pieces: list[Piece], size: int) -> tuple[list[Piece], list[Piece]]:
     return head, rest
 
 
-def finely(pieces: list[Piece], size: int) -> list[Piece]:
-    """The pieces with their last `size` ids cut finely."""
-    head, rest = split(pieces, max(0, sum(p[2] for p in pieces) - size))
-    sizes = cycle(FINE)
-    for row, start, n in rest:
-        end = start + n
-        while start < end:
-            take = min(next(sizes), end - start)
-            head.append((row, start, take))
-            start += take
-    return head
-
-
 def balanced(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
-    """Windows of the pieces, none over the capacity."""
-    if not pieces:
+    """Windows of the pieces, none over the capacity; all are full if the pieces fill a whole number of windows and the count need not rise."""
+    total = sum(p[2] for p in pieces)
+    if not total:
         return []
-    n = -(-sum(p[2] for p in pieces) // max(1, capacity - SLACK))
-    pieces = finely(pieces, n * min(RESERVE, capacity // 8))
-    sizes = [p[2] for p in pieces]
+    n = -(-total // capacity)
+    main, rest = split(pieces, max(0, total - n * min(RESERVE, capacity // 4)))
+    sizes = [p[2] for p in main]
     while True:
         found = difference(sizes, n)
         if all(sum(sizes[k] for k in w) <= capacity for w in found):
-            return [[pieces[k] for k in w] for w in found]
+            break
         n += 1
+    windows = [[main[k] for k in w] for w in found] + [[] for _ in range(n - len(found))]
+    for window in windows:
+        more, rest = split(rest, capacity - sum(p[2] for p in window))
+        window += more
+    return [w for w in windows if w]
 
 
 def tail(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
     """Windows of the pieces that a task ends with: full ones by differencing, and the rest cut at powers of two, which need no padding."""
     total = sum(p[2] for p in pieces)
-    head, rest = split(pieces, total // (capacity - SLACK) * (capacity - SLACK))
+    head, rest = split(pieces, total // capacity * capacity)
     out, left = balanced(head, capacity), sum(p[2] for p in rest)
     for power in (1 << k for k in range(left.bit_length() - 1, -1, -1)):
         if left & power:
@@ -215,8 +206,8 @@ def packing(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACIT
                     waiting.append((row, s, min(piece, n - s)))
                 waiting_size += n - whole_windows
             yield emit(full, open_rows)
-            while waiting_size >= group * (capacity - SLACK):
-                head, rest = split(waiting, group * (capacity - SLACK))
+            while waiting_size >= group * capacity:
+                head, rest = split(waiting, group * capacity)
                 yield emit(balanced(head, capacity), open_rows)
                 waiting, waiting_size = rest, waiting_size - sum(p[2] for p in head)
             kept = sorted({p[0] for p in waiting})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sonogrid.llm import decontamination as dec
 from sonogrid.llm import language_id as lid
 from sonogrid.llm import licenses, linear, secrets, url_filters
-from sonogrid.llm.packing import Ids, balanced, difference, packing, tail
+from sonogrid.llm.packing import Ids, balanced, difference, packing, split, tail
 from sonogrid.llm.quality_classifier import quality_classifier
 from sonogrid.llm.quality_rules import quality_rules
 from sonogrid.llm.queries import ORACLES, QUERIES
@@ -158,12 +158,41 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     random.seed(5)
     parts = ["a", "Be", "é", " ", "\n", "\t", "  ", "'s", "'ll", "12", "_", "-", "!", "…", "\u00a0", "ß", "漢", "😀", "<|endoftext|>", ".", "\u0301", "\r\n", "ª", "²", " the"]
     texts = ["".join(random.choices(parts, k=random.randrange(14))) for _ in range(5000)]
     ids = Ids("byte_bpe_50k.json", most=500)
     assert [np.frombuffer(ids(x), "<u4").tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(ids("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
+
+
+def differenced(sizes, windows):
+    """Largest differencing by sorted lists of all windows' sums: the two with the largest spread merge, largest against smallest."""
+    lists = [([n] + [0] * (windows - 1), k) for k, n in enumerate(sizes)]
+    while len(lists) > 1:
+        lists.sort(key=lambda x: (x[0][-1] - x[0][0], x[1]))
+        (a, _), (b, _), *rest = lists
+        lists = [*rest, (sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), len(sizes) + len(sizes) - len(rest))]
+    return lists[0][0]
+
+
+def test_differencing_equals_the_plain_method():
+    random.seed(12)
+    for _ in range(40):
+        sizes, n = [random.randrange(1, 900) for _ in range(random.randrange(2, 60))], random.randrange(2, 9)
+        got = difference(sizes, n)
+        sums, want = sorted((sum(sizes[k] for k in w) for w in got), reverse=True), differenced(sizes, n)
+        # Ties of spreads may be taken in another order; the spread that is left is much the same.
+        assert sum(sums) == sum(want) and sums[0] <= want[0] + max(sizes) // 8 + 1
+
+
+def test_windows_are_not_filled_with_crumbs():
+    random.seed(13)
+    pieces = [(k, 0, random.randrange(1, 512)) for k in range(300)]
+    pieces, _ = split(pieces, sum(p[2] for p in pieces) // 1024 * 1024)
+    windows = balanced(pieces, 1024)
+    assert all(sum(p[2] for p in w) == 1024 for w in windows)
+    assert sum(map(len, windows)) <= len(pieces) + 2 * len(windows) and balanced([(0, 0, 1020)] * 7, 1024)
 
 
 def test_ids_of_many_lines_without_spaces():
