@@ -9,8 +9,9 @@ out as pairs of tiles. What a task finds leaves it as a forest of its links.
 
 For similarities that need a radius of many bits, near_duplicates() takes wide
 fingerprints of sets of shingles, whose share of differing bits tells the similarity
-closely, and buckets of equal 12-bit lanes: a pair at a similarity of 0.8 shares one of
-the 50 lanes with a chance of 0.9994. Sets of at most SMALL shingles also meet by the
+closely, and buckets of equal lanes of bits. Lanes widen with the number of sets, so that
+buckets stay about as large, and grow in number, so that pairs at the similarity share
+one: by simulation all but 0.03 % with 50 lanes of 12 bits, all but 0.8 % for 10^9 sets. Sets of at most SMALL shingles also meet by the
 first shingles of each, of which similar sets share one at least. What is found are
 candidates: a link counts if the Jaccard similarity of the two sets says so.
 """
@@ -31,10 +32,12 @@ from sonogrid.llm.common import LOWER, blocks, whole, written
 from sonogrid.llm.components import components
 
 SHINGLE, RADIUS, EQUAL, TILE, SEED = 3, 3, 2, 4096, 42
-#: Words of 64 bits in a wide fingerprint, and bits of a lane.
-WIDE, LANE = 10, 12
+#: Words of 64 bits in a wide fingerprint, bits of a lane at least, and the share of pairs at the similarity that may have no equal lane.
+WIDE, LANE, MISS = 10, 12, 6e-4
 #: Shingles of a set that is compared by its first ones too, and rows of a component's tile.
 SMALL, MEMBERS = 24, 512
+#: Tasks over which the rows of one component are dealt where they are joined by its root.
+SALTS = 16
 
 
 def shingle_hashes(text: str, shingle: int) -> list[int]:
@@ -196,8 +199,41 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def dense_spanning(far: np.ndarray, radius: int, square: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of links within the radius that join the same rows and columns as all of them do, the nearest ones first (Boruvka on the matrix). Square: rows and columns are the same."""
+    n, m = far.shape
+    none = np.int16(np.iinfo(np.int16).max)
+    masked = np.where(far <= radius, far, none)
+    if square:
+        np.fill_diagonal(masked, none)
+    label, out = np.arange(n if square else n + m), [np.zeros(0, np.int64)]
+    while True:
+        columns = label if square else label[n:]
+        masked[label[:n, None] == columns[None, :]] = none
+        at = np.arange(n) * m + masked.argmin(axis=1)
+        ask = label[:n]
+        if not square:
+            at = np.concatenate([at, masked.argmin(axis=0) * m + np.arange(m)])
+            ask = label
+        value = masked.ravel()[at].astype(np.int64)
+        some = value < none
+        if not some.any():
+            x, y = np.divmod(np.unique(np.concatenate(out)), m)
+            return x, y
+        rank = value[some] * (n * m) + at[some]
+        best = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(best, ask[some], rank)
+        pick = np.unique(best[best < np.iinfo(np.int64).max]) % (n * m)
+        out.append(pick)
+        x, y = np.divmod(pick, m)
+        other, root = forest(label[x], label[y if square else n + y])
+        new = np.arange(len(label))
+        new[other] = root
+        label = new[label]
+
+
 def compare_tiles(ids: np.ndarray, fps: np.ndarray, radius: int, links: Links | Candidates, tile: int = 1024) -> None:
-    """All pairs of distinct fingerprints within the radius."""
+    """Links that join what all pairs of distinct fingerprints within the radius join. Tiles with many such pairs give their nearest ones only."""
     counts = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(counts, kind="stable")
     ids, fps, counts = ids[order], fps[order], counts[order]
@@ -207,9 +243,12 @@ def compare_tiles(ids: np.ndarray, fps: np.ndarray, radius: int, links: Links |
             if counts[j] - counts[i + len(a) - 1] > radius:
                 break
             far = distances(a[:, None, :], fps[None, j : j + tile, :])
-            x, y = np.nonzero(far <= radius)
-            if i == j:
-                x, y = x[x < y], y[x < y]
+            if np.count_nonzero(far <= radius) > 4 * sum(far.shape):
+                x, y = dense_spanning(far, radius, i == j)
+            else:
+                x, y = np.nonzero(far <= radius)
+                if i == j:
+                    x, y = x[x < y], y[x < y]
             links.add(ids[i + x], ids[j + y], *[far[x, y]] * isinstance(links, Candidates))
 
 
@@ -264,8 +303,25 @@ def block_keys(radius: int, equal: int) -> list[Column]:
     return [F.col("fp0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks]
 
 
-def lane_keys(width: int) -> list[Column]:
-    return [F.shiftrightunsigned(c, LANE * j).bitwiseAND(F.lit((1 << LANE) - 1)) for c in names(width) for j in range(64 // LANE)]
+def lanes(n: int, p: float, width: int, tile: int = TILE) -> tuple[int, list[tuple[int, int]]]:
+    """Bits of half a lane, and the lanes (two halves each) for n fingerprints of `width` words whose similar pairs differ in a share p of the bits.
+
+    A lane has LANE bits, or as many more as keep a bucket of it at about a tile; there are as many lanes as
+    leave MISS of the pairs without an equal one. Neighbouring halves come first, so that the first lanes are disjoint.
+    """
+    half = max(LANE, math.ceil(math.log2(max(1, n) / tile))) + 1 >> 1
+    wanted = max(1, math.ceil(math.log(MISS) / math.log1p(-((1 - p) ** (2 * half)))))
+    count = 64 // half * width
+    pairs = [(k, k + 1) for k in range(0, count - 1, 2)]
+    pairs += [(k, (k + step) % count) for step in range(2, count // 2) for k in range(count)]
+    return half, pairs[:wanted]
+
+
+def lane_keys(n: int, p: float, width: int) -> list[Column]:
+    half, pairs = lanes(n, p, width)
+    each = 64 // half
+    part = lambda k: F.shiftrightunsigned(f"fp{k // each}", half * (k % each)).bitwiseAND(F.lit((1 << half) - 1))
+    return [part(x) + F.shiftleft(part(y), half) for x, y in pairs]
 
 
 def close(fps: DataFrame, keys: list[Column], width: int, radius: int, tile: int = TILE, first: str | None = None) -> DataFrame:
@@ -285,6 +341,13 @@ def close(fps: DataFrame, keys: list[Column], width: int, radius: int, tile: int
     return pairs.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(found, "a long, b long" + ", far long" * bool(first))
 
 
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, salts: int = SALTS) -> DataFrame:
+    """rows joined with groups (one row for each key), the rows of a key dealt over `salts` tasks by the column `spread`."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copied = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def grouped(own: DataFrame, keys: list[Column], width: int, radius: int, tile: int) -> DataFrame:
     """own (doc_id and a fingerprint) with component_id, the smallest doc_id that links of distinct fingerprints reach."""
     columns = names(width)
@@ -293,7 +356,7 @@ def grouped(own: DataFrame, keys: list[Column], width: int, radius: int, tile: i
     members = components(written(close(fps, keys, width, radius, tile)))
     members = fps.select("id", "first").join(members, F.col("id") == F.col("vertex"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = members.join(smallest, "root").select("id", "component_id")
+    found = salted_join(members, smallest, "root", "id").select("id", "component_id")
     return own.withColumn("id", number).join(found, "id")
 
 
@@ -351,43 +414,48 @@ def checked(similarity: float):
     return run
 
 
-def compare_members(similarity: float, radius: int, width: int):
-    """For mapInArrow over partitions sorted by root, lo and hi: links of alike sets in different parts of a component, as a forest for each pair of tiles."""
-
-    def links_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids, parts, tiles = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5))
-        fp, sets = np.array([r[7:] for r in rows], dtype=np.int64).view(np.uint64), [np.frombuffer(r[6], np.uint64) for r in rows]
-        sizes, up, out = np.array([len(x) for x in sets]), dict(zip(parts.tolist(), parts.tolist(), strict=True)), []
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        across = rows[0][1] != rows[0][2]
-        for i in range(len(rows)):
-            far = distances(fp[i], fp[i + 1 :])
-            near = (far <= radius) | (np.minimum(sizes[i], sizes[i + 1 :]) <= SMALL)
-            if across:
-                near &= tiles[i + 1 :] != tiles[i]
-            for j in (np.flatnonzero(near & (parts[i + 1 :] != parts[i])) + i + 1).tolist():
-                x, y = root(int(parts[i])), root(int(parts[j]))
-                if x != y and alike(sets[i], sets[j], similarity):
-                    up[max(x, y)] = min(x, y)
-                    out.append((ids[i], ids[j]))
-        return np.array([x for x, _ in out], dtype=np.int64), np.array([y for _, y in out], dtype=np.int64)
+def similar(a: list[np.ndarray], b: list[np.ndarray], similarity: float, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of all pairs of sets that are alike: products of 0-1 matrices over the members that a and b share, some columns at a time."""
+    sizes = [np.array([len(x) for x in sets]) for sets in (a, b)]
+    rows = [np.repeat(np.arange(len(sets)), n) for sets, n in zip((a, b), sizes, strict=True)]
+    values = [np.concatenate([*sets, np.zeros(0, np.uint64)]) for sets in (a, b)]
+    both = np.intersect1d(*values)
+    places = [np.searchsorted(both, v) for v in values]
+    known = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool) for p, v in zip(places, values, strict=True)]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(both), columns):
+        parts = []
+        for sets, row, place, ok in zip((a, b), rows, places, known, strict=True):
+            own = np.zeros((len(sets), min(columns, len(both) - start)), np.float32)
+            at = ok & (place >= start) & (place < start + columns)
+            own[row[at], place[at] - start] = 1
+            parts.append(own)
+        shared += parts[0] @ parts[1].T
+    return np.nonzero((shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared) - 1e-9) & (sizes[0][:, None] + sizes[1][None, :] > 0))
+
+
+def compare_members(similarity: float):
+    """For mapInArrow over partitions sorted by root, lo and hi: links between parts of a component that hold alike sets, as a forest for each pair of tiles."""
+
+    def links_of(lo: int, hi: int, rows: list[tuple]) -> pa.RecordBatch:
+        parts, tiles = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        own, other = np.flatnonzero(tiles == lo), np.flatnonzero(tiles == hi)
+        x, y = similar([sets[k] for k in own.tolist()], [sets[k] for k in other.tolist()], similarity)
+        x, y = parts[own[x]], parts[other[y]]
+        pairs = np.unique(np.stack([x, y])[:, x != y], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in forest(*pairs)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for x in batches:
             for r in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if rows and r[:3] != rows[0][:3]:
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in links_of(rows)], ["a", "b"])
+                    yield links_of(*rows[0][1:3], [q[3:] for q in rows])
                     rows = []
                 rows.append(r)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in links_of(rows)], ["a", "b"])
+            yield links_of(*rows[0][1:3], [q[3:] for q in rows])
 
     return run
 
@@ -405,7 +473,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, widt
     radius, columns = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))), names(width)
     own = written(set_fingerprints(docs, shingle, similarity, width))
     sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in columns), F.first("first").alias("first"), F.min("key").alias("key")))
-    links = written(close(sets, lane_keys(width), width, radius, tile, "first"))
+    links = written(close(sets, lane_keys(sets.count(), p, width), width, radius, tile, "first"))
     loose = written(components(links))
     links = written(links.join(loose, F.col("a") == F.col("vertex")).select("a", "b", "far", "root").repartition("root").select("a", "b", "far").mapInArrow(nearest, "a long, b long, far long"))
 
@@ -421,10 +489,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, widt
     parts = components(sure).select(F.col("vertex").alias("v"), F.col("root").alias("part"))
     placed = written(loose.join(parts, F.col("vertex") == F.col("v"), "left").select("root", F.col("vertex").alias("id"), F.coalesce("part", "vertex").alias("part")))
     open_roots = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("root", F.ceil(F.col("n") / members).alias("tiles"))
-    left_over = placed.join(open_roots, "root").join(shingles, "id").join(sets.select("id", *columns), "id")
+    left_over = salted_join(placed, open_roots, "root", "id").join(shingles, "id")
     dealt = left_over.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = dealt.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "id", "part", "tile", "set", *columns)
-    more = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare_members(similarity, radius, width), "a long, b long")
+    dealt = dealt.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "part", "tile", "set")
+    more = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare_members(similarity), "a long, b long")
     found = components(sure.union(written(more))).select("vertex", F.col("root").alias("joined"))
     return own.join(found, F.col("id") == F.col("vertex"), "left").select("doc_id", "key", F.coalesce("joined", "id").alias("root"))
 

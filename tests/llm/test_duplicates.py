@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,6 +108,68 @@ def test_near_duplicates_at_the_similarity(spark):
     assert sum(got[a] == got[b] for a, b in pairs) >= 398 and all(got[i] >= want[i] for i in got)
 
 
+def similar_pairs(texts: list[str], similarity: float = 0.8) -> list[tuple[int, int, float]]:
+    """All pairs of different sets of five-word shingles that are as similar: sets that are share one of their rarest shingles."""
+    sets = {}
+    for k, t in enumerate(texts):
+        sets.setdefault(simhash.shingle_set(t, 5).tobytes(), k)
+    sets = {k: np.frombuffer(x, np.uint64).tolist() for x, k in sets.items()}
+    n = Counter(h for x in sets.values() for h in x)
+    index, pairs = {}, {}
+    for k, x in sets.items():
+        first = sorted(x, key=lambda h: (n[h], h))[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+        for j in {j for h in first for j in index.get(h, ())}:
+            shared = len(set(x) & set(sets[j]))
+            pairs[j, k] = shared / (len(x) + len(sets[j]) - shared)
+        for h in first:
+            index.setdefault(h, []).append(k)
+    return [(j, k, s) for (j, k), s in pairs.items() if s >= similarity - 1e-9]
+
+
+def test_recall_of_near_duplicates(spark):
+    """Over all documents of sf0.1: of the pairs from 0.80 to 0.82, 0.82 to 0.85 and above, found / all."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = d.select("doc_id", "text").collect()
+    root = {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()}
+    found, total = Counter(), Counter()
+    for j, k, s in similar_pairs([r.text or "" for r in rows]):
+        band = 0 if s < 0.82 else 1 if s < 0.85 else 2
+        total[band] += 1
+        found[band] += root[rows[j].doc_id] == root[rows[k].doc_id]
+    print("found", dict(found), "of", dict(total))
+    assert all(found[b] >= 0.98 * total[b] for b in total) and sum(total.values()) > 40
+
+
+@pytest.mark.parametrize("n", [0, 10**6, 10**9, 10**11])
+def test_lanes_grow_with_the_number_of_sets(n):
+    p = math.acos(1.6 / 1.8) / math.pi
+    half, pairs = simhash.lanes(n, p, simhash.WIDE)
+    assert n / 4 ** half <= simhash.TILE and len(set(pairs)) == len(pairs) and max(max(x) for x in pairs) < 64 // half * simhash.WIDE
+    assert (1 - (1 - p) ** (2 * half)) ** len(pairs) <= simhash.MISS
+
+
+def test_dense_spanning_joins_what_all_pairs_join():
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        n, m = rng.integers(1, 40, 2)
+        far = rng.integers(0, 9, (n, m)).astype(np.int16)
+        square = k % 2 == 0
+        if square:
+            far = np.minimum(far[:, :1], far[:, :1].T) + np.abs(far[:, :1] - far[:, :1].T)
+        x, y = simhash.dense_spanning(far, 4, square)
+        shift = 0 if square else n
+        i, j = np.nonzero(far <= 4)
+        values = range(len(far) + (0 if square else m))
+        weigh = lambda a, b: sorted(far[p, q] for p, q in zip(a, b, strict=True))
+        assert roots(zip(x.tolist(), (y + shift).tolist(), strict=True), values) == roots(zip(i.tolist(), (j + shift).tolist(), strict=True), values)
+        assert (far[x, y] <= 4).all()
+        kept = simhash.spanning(i[i != j + shift], j[i != j + shift] + shift, far[i, j][i != j + shift])
+        off = x != y + shift
+        best = simhash.spanning(x[off], y[off] + shift, far[x, y][off])
+        a, b = i[i != j + shift], j[i != j + shift]
+        assert weigh(x[off][best], y[off][best]) == weigh(a[kept], b[kept])
+
+
 def test_links_below_the_similarity_do_not_count(spark):
     """Copies at about 0.72 to 0.78 stay apart, chained or not; repeats of a line don't count, and groups are joined however they are dealt."""
     random.seed(7)
