@@ -34,6 +34,8 @@ from sonogrid.llm.components import components
 SHINGLE, RADIUS, EQUAL, TILE, SEED = 3, 3, 2, 4096, 42
 #: Words of 64 bits in a wide fingerprint, bits of a lane at least, and the share of pairs at the similarity that may have no equal lane.
 WIDE, LANE, MISS = 10, 12, 6e-4
+#: Words of a wide fingerprint that are compared with each other: what they let through is checked by the sets.
+COMPARED = 4
 #: Shingles of a set that is compared by its first ones too, and rows of a component's tile.
 SMALL, MEMBERS = 24, 512
 #: Tasks over which the rows of one component are dealt where they are joined by its root.
@@ -325,17 +327,20 @@ def lane_keys(n: int, p: float, width: int) -> list[Column]:
 
 
 def close(fps: DataFrame, keys: list[Column], width: int, radius: int, tile: int = TILE, first: str | None = None) -> DataFrame:
-    """Links (a, b) that join the same ids of fps (id and a fingerprint that no other row has) as all pairs within the radius that share a key do.
+    """Links (a, b) that join the same ids of fps (id and a fingerprint that no other row has) as all pairs within the radius, by the first `width` words, that share a key do.
 
     With `first`, a column of keys, so do pairs at any distance that share one of these; links are pairs found and come with their distances (far).
+    Keys of more than a tile are a table whose size Spark knows: it is broadcast if it is small.
     """
     columns = ["id", *names(width)]
-    rows = fps.select(*columns, F.posexplode(F.array(*keys))).select(F.col("pos").cast("long").alias("t"), F.col("col").cast("long").alias("key"), *columns)
-    if first:
-        rows = rows.unionByName(fps.select(F.lit(len(keys)).cast("long").alias("t"), F.explode(first).alias("key"), *columns))
-    large = rows.groupBy("t", "key").agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1")
+
+    def keyed(*carried: str) -> DataFrame:
+        rows = fps.select(*carried, F.posexplode(F.array(*keys))).select(F.col("pos").cast("long").alias("t"), F.col("col").cast("long").alias("key"), *carried)
+        return rows.unionByName(fps.select(F.lit(len(keys)).cast("long").alias("t"), F.explode(first).alias("key"), *carried)) if first else rows
+
+    large = written(keyed().groupBy("t", "key").agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1"))
     tiles = F.coalesce("tiles", F.lit(1).cast("long"))
-    dealt = rows.join(large, ["t", "key"], "left").withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    dealt = keyed(*columns).join(large, ["t", "key"], "left").withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     pairs = dealt.select("t", "key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), *columns)
     found = compare_buckets(radius, found=Candidates, open_table=len(keys)) if first else compare_buckets(radius)
     return pairs.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(found, "a long, b long" + ", far long" * bool(first))
@@ -469,11 +474,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, widt
     The nearest candidates that join all others are checked by their sets. Where that
     leaves a component in parts, all its candidates across parts are checked.
     """
-    bits, p = 64 * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits, p = 64 * COMPARED, math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius, columns = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))), names(width)
     own = written(set_fingerprints(docs, shingle, similarity, width))
     sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in columns), F.first("first").alias("first"), F.min("key").alias("key")))
-    links = written(close(sets, lane_keys(sets.count(), p, width), width, radius, tile, "first"))
+    links = written(close(sets, lane_keys(sets.count(), p, width), COMPARED, radius, tile, "first"))
     loose = written(components(links))
     links = written(links.join(loose, F.col("a") == F.col("vertex")).select("a", "b", "far", "root").repartition("root").select("a", "b", "far").mapInArrow(nearest, "a long, b long, far long"))
 
