@@ -2,9 +2,10 @@
 
 For each language a suffix automaton of labelled text accepts just the strings in it.
 Parsing a text greedily into longest matches takes few phrases in the text's own
-language; a phrase costs the logarithm of the labelled text's size, and the language
-with the lowest cost wins. Bytes of many texts are parsed in step by numpy: texts are
-cut at BLOCK bytes for that, which adds at most a phrase to each language's count.
+language. A phrase is a place in the labelled text or one of the 256 single bytes, and
+costs the logarithm of their number; the language with the lowest cost wins. Bytes of
+many texts are parsed in step by numpy, long texts in blocks of BLOCK bytes: each block
+starts anew at first, and again from where its predecessor ended until both ways meet.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from sonogrid.llm.common import blocks, fold, whole
 
 #: Bytes of labelled text for each language, and documents that are looked at for them.
-SAMPLE, SAMPLE_DOCS, BLOCK = 32_768, 64, 2048
+SAMPLE, SAMPLE_DOCS = 32_768, 64
+#: Bytes of a text that are parsed in step with other blocks, and of a block's head, within which most ways meet.
+BLOCK, HEAD = 2048, 128
 UNKNOWN = "und"
 
 
@@ -36,18 +39,22 @@ def letters(text: str) -> bytes:
 def samples(docs: DataFrame, size: int = SAMPLE, rows: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
     """Languages and labelled text of at most `size` bytes each, from rows outside fold 2 with a language and a text.
 
-    Whole documents chosen by a hash of the id, short ones (an eighth of the size) first; if even the first is too long, its start.
+    Different texts chosen by a hash of the text, short ones (an eighth of the size) first, of long ones the first
+    `size` characters, while they fit; if even the first is too long, its start. Every language has its text of the
+    smallest hash at least. At most about twice the size reaches the driver for each language.
     """
     known = docs.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    share = F.broadcast(known.groupBy("lang").agg((F.lit(4.0 * rows) / F.count("*")).alias("share")))
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
-    some = known.select("doc_id", "lang", "text").join(share, "lang").where(F.pmod(order, F.lit(1 << 20)) <= F.col("share") * (1 << 20))
-    first = Window.partitionBy("lang").orderBy(F.octet_length("text") > size // 8, order, "text")
-    chosen = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("lang", "n", "text").orderBy("lang", "n").collect()
+    known = known.select("lang", F.xxhash64("text", F.lit(11)).alias("order"), F.substring("text", 1, size).alias("text"))
+    share = known.groupBy("lang").agg((F.lit(4.0 * rows) / F.approx_count_distinct("order", 0.05)).alias("share"), F.min("order").alias("least"))
+    some = known.join(F.broadcast(share), "lang").where((F.col("order") == F.col("least")) | (F.pmod("order", F.lit(1 << 20)) <= F.col("share") * (1 << 20)))
+    distinct = some.groupBy("lang", "order").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.octet_length("text") > size // 8, "order", "text")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = distinct.select("lang", "text", F.row_number().over(first).alias("n"), before.alias("before")).where((F.col("n") <= rows) & (F.col("before") < 2 * size)).select("lang", "n", "text").orderBy("lang", "n").collect()
     out: dict[str, bytes] = {}
     for lang, _, text in chosen:
         raw = letters(text)
-        if lang not in out:
+        if not out.get(lang):
             out[lang] = raw[:size]
         elif len(out[lang]) + len(raw) < size:
             out[lang] += b"\0" + raw
@@ -103,21 +110,12 @@ def tables(texts: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, int, np.nd
     return codes, np.concatenate(parts).ravel(), wide, np.array(starts, dtype=np.int64)
 
 
-def phrases(texts: list[bytes], learned: tuple[bytes, ...], block: int = BLOCK) -> np.ndarray:
-    """The phrases that each text takes with each automaton; a byte unknown to it is a phrase."""
-    codes, moves, wide, starts = tables(learned)
-    raw = codes[np.frombuffer(b"".join(texts), np.uint8)]
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    cuts = -(-lengths // block)
-    owner = np.repeat(np.arange(len(texts)), cuts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = (np.cumsum(lengths) - lengths)[owner] + nth * block
-    size = np.minimum(block, lengths[owner] - nth * block)
+def parsed(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray, learned: tuple[np.ndarray, int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each automaton and stretch of codes (begin, size): the phrases that end in it when it is entered in `state` (0: between phrases), and the state after it."""
+    moves, wide, starts = learned
     order = np.argsort(-size, kind="stable")
-    begin, size, owner = begin[order], size[order], owner[order]
-    count = np.zeros((len(starts), len(owner)), np.int32)
-    state = np.zeros((len(starts), len(owner)), np.int64)
-    root = starts[:, None]
+    begin, size = begin[order], size[order]
+    count, state, root = np.zeros(state.shape, np.int32), state[:, order], starts[:, None]
     active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
     for j, m in enumerate(active.tolist()):
         c = raw[begin[:m] + j]
@@ -128,13 +126,52 @@ def phrases(texts: list[bytes], learned: tuple[bytes, ...], block: int = BLOCK)
         count[:, :m] += ended & (now != 0)
         count[:, :m] += ended & (again == 0)
         state[:, :m] = np.where(ended, again, to)
-    count += state != 0
+    back = np.argsort(order, kind="stable")
+    return count[:, back], state[:, back]
+
+
+def phrases(texts: list[bytes], learned: tuple[bytes, ...], block: int = BLOCK, head: int = HEAD) -> np.ndarray:
+    """The phrases that each text takes with each automaton; a byte unknown to it is a phrase."""
+    codes, moves, wide, starts = tables(learned)
+    by = (moves, wide, starts)
+    raw = codes[np.frombuffer(b"".join(texts), np.uint8)]
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    cuts = -(-lengths // block)
+    owner = np.repeat(np.arange(len(texts)), cuts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begin = (np.cumsum(lengths) - lengths)[owner] + nth * block
+    size = np.minimum(block, lengths[owner] - nth * block)
+    first = np.minimum(size, head)
+    entered = np.zeros((len(starts), len(owner)), np.int64)
+    head_count, met = parsed(raw, begin, first, entered, by)
+    tail_count, left = parsed(raw, begin + first, size - first, met, by)
+    while True:
+        # What blocks were entered in, and what their predecessors left them in.
+        really = np.where(nth > 0, np.roll(left, 1, axis=1), 0)
+        wrong = np.flatnonzero((really != entered).any(axis=0))
+        if not len(wrong):
+            break
+        entered[:, wrong] = really[:, wrong]
+        head_count[:, wrong], now = parsed(raw, begin[wrong], first[wrong], really[:, wrong], by)
+        apart = (now != met[:, wrong]).any(axis=0)
+        far = wrong[apart]
+        met[:, far] = now[:, apart]
+        if len(far):
+            tail_count[:, far], left[:, far] = parsed(raw, (begin + first)[far], (size - first)[far], met[:, far], by)
+    count = head_count + tail_count
+    last = nth == cuts[owner] - 1
+    count += (left != 0) & last
     out = np.zeros((len(starts), len(texts)))
     for k in range(len(starts)):
         out[k] = np.bincount(owner, count[k], len(texts))
     return out
 
 
+def bits(sample: bytes) -> float:
+    """What a phrase costs: a place in the sample, or a byte."""
+    return float(np.log2(len(sample) + 256))
+
+
 def language_id(docs: DataFrame, size: int = SAMPLE, rows: int = SAMPLE_DOCS) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred and score.
 
@@ -151,7 +188,7 @@ def language_id(docs: DataFrame, size: int = SAMPLE, rows: int = SAMPLE_DOCS) ->
             lettered = np.array([any(map(str.isalpha, t)) for t in texts])
             pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if names and lettered.any():
-                cost = phrases([letters(t) for t in texts], texts_by_lang) * np.log2([[max(2, len(t))] for t in texts_by_lang])
+                cost = phrases([letters(t) for t in texts], texts_by_lang) * np.array([[bits(t)] for t in texts_by_lang])
                 pred = np.where(lettered, np.array(names, object)[np.argmin(cost, axis=0)], UNKNOWN)
                 two = np.sort(cost, axis=0)[:2]
                 score = np.where(lettered, two[1] / np.maximum(two.sum(axis=0), 1e-9) if len(two) > 1 else 1.0, 0.0)

@@ -141,6 +141,26 @@ def test_phrases_equal_greedy_parsing():
     learned = tuple(bytes(random.choices(b"abc d", k=300)) for _ in range(3))
     texts = [bytes(random.choices(b"abcz d", k=random.randrange(90))) for _ in range(60)]
     assert lid.phrases(texts, learned).tolist() == [[greedy(t, x) for t in texts] for x in learned]
+    # Blocks of long texts go on where their predecessors ended, also in runs in which the ways never meet.
+    texts += [bytes(random.choices(b"abcz d", k=10_000)), b"", b"ab" * 3000, learned[1] * 9, b"a" * 5000]
+    learned += (b"a" * 700, b"", b"z")
+    want = [[greedy(t, x) for t in texts] for x in learned]
+    for block, head in ((2048, 128), (64, 8), (7, 3)):
+        assert lid.phrases(texts, learned, block, head).tolist() == want
+
+
+def test_small_samples_and_rows_without_ids(spark):
+    """A language of one short text wins no others' texts; null and repeated ids, and copies of one text, are learned from."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    tiny = spark.createDataFrame([(1, "en", "xx"), (4, "?!", "yy")], "doc_id long, text string, lang string")
+    got = lid.language_id(d.unionByName(tiny)).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) and not [r for r in got if r.lang_pred in ("xx", "yy")]
+    some = d.where("lang IN ('en', 'de')")
+    for one_id in (F.lit(None), F.lit(1)):
+        got = lid.language_id(some.withColumn("doc_id", one_id.cast("long")).withColumn("source", F.col("lang")))
+        assert got.where("lang_pred = 'und'").count() <= some.where("NOT text RLIKE '[a-zA-Z]' OR text IS NULL").count() and got.select("lang_pred").distinct().count() >= 2
+    copies = spark.createDataFrame([(None, "der Hund und die Katze", "de")] * 300 + [(None, "the dog and the cat", "en")] * 300, "doc_id long, text string, lang string")
+    assert {n: t for n, t in lid.samples(copies)} == {"de": b"der hund und die katze", "en": b"the dog and the cat"}
 
 
 def test_language_id(spark):
