@@ -21,6 +21,8 @@ from sonogrid.llm.common import blocks, fold, sums
 BITS = 18
 #: Values are multiplied by this before learning, for the step sizes to fit.
 SCALE = 16.0
+#: Characters of a labelled text that serves learning, at most.
+FIT_CHARS = 1 << 17
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)]
 
@@ -168,10 +170,10 @@ def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[flo
     return float(a[0]), float(a[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, folds: tuple[int, ...] = (0, 1, 3)) -> DataFrame:
-    """Texts (null: empty) and labels of at most `rows` labelled documents of the folds, chosen by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, folds: tuple[int, ...] = (0, 1, 3), chars: int = FIT_CHARS) -> DataFrame:
+    """Texts (null: empty) and labels of at most `rows` labelled documents of the folds, chosen by hashes of the id and the text.
 
-    Rows without an id or label, and labels without a document, don't count.
+    Rows without an id or label, labels without a document, and texts of more than `chars` characters don't count; equal rows count once.
     """
     chosen = (
         labels.select("doc_id", F.col(column).cast("int").alias("label"))
@@ -180,8 +182,11 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, folds:
         .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label")
         .limit(rows)
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("order", F.xxhash64("doc_id", "text", "label", F.lit(7)))
+    # Documents can repeat an id: the bound holds for what the join gives.
+    once = found.groupBy("order").agg(F.min(F.struct("doc_id", "text", "label")).alias("x"))
+    return once.orderBy("order").limit(rows).select("x.*")
 
 
 def fit(sample: DataFrame, chars: bool, learner: str, calibrated: bool) -> tuple[np.ndarray, float, float, float]:

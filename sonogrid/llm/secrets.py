@@ -89,7 +89,8 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rule_version: int =
     texts = versions.alias("v").join(unseen.alias("u"), F.col("v.doc_id").eqNullSafe(F.col("u.first")) & (F.col("v.sha") == F.col("u.sha"))).select("v.sha", "text")
     fresh = unseen.select("sha").join(scan(texts), "sha", "left").select("sha", F.lit(rule_version).alias("rule_version"), "spans")
     fresh.write.mode("append").parquet(ledger)
-    found = read_ledger(docs, ledger).where((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).select("sha", "spans")
+    # Writers that ran twice or side by side leave a blob's row twice, with the same spans.
+    found = read_ledger(docs, ledger).where((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).select("sha", "spans").dropDuplicates(["sha"])
     rows = docs.select(*[F.col(c) for c in keep or ["doc_id"]], F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("blob"))
     return rows.join(found, rows["blob"] == found["sha"], "left").select(*(keep or ["doc_id"]), F.coalesce("spans", F.array().cast(FOUND)).alias("spans"))
 

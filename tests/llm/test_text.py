@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -62,8 +63,8 @@ def test_quality_rules(spark, data):
     real = spark.read.parquet(f"{data}/documents.parquet")
     for source, lab in ((d, labels(spark)), (real, spark.read.parquet(f"{data}/labels.parquet"))):
         got = quality_rules(source, lab).collect()
-        want = sorted((base_figures(r.text or "") for r in source.select("text").collect()))
-        assert sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+        want = sorted((r.doc_id or 0, *base_figures(r.text or "")) for r in source.select("doc_id", "text").collect())
+        assert sorted((r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
         for r in got:
             assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.kept and r.base_failed) and 0 <= r.score <= 1
     assert quality_rules(d.limit(0), labels(spark)).count() == 0
@@ -93,6 +94,100 @@ def test_scores_are_sparse_dot_products():
         assert abs(m - (0.5 + w[at] @ value)) < 1e-3
 
 
+def plain_ftrl(rows, epochs=4, alpha=0.3, beta=1.0, l1=0.002, l2=0.02):
+    """Follow the regularised leader, a coordinate at a time, in dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for at, value, label in rows:
+            x = [*zip(at.tolist(), value.tolist()), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - label) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def some_rows(n=60):
+    rng = np.random.default_rng(3)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    f = linear.Features(False)
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12))) for _ in range(n)]
+    return f, texts, [(*f.sparse(t), int("alpha" in t)) for t in texts]
+
+
+def test_ftrl_equals_plain_updates():
+    f, texts, rows = some_rows()
+    w, bias = linear.ftrl(rows)
+    want = plain_ftrl(rows)
+    assert abs(bias - want.pop("bias")) < 1e-6 and np.count_nonzero(w) == sum(v != 0 for v in want.values())
+    assert all(abs(w[i] - v) < 1e-5 for i, v in want.items())
+    for t, m, (at, value, _) in zip(texts, f.margins(texts, w, bias), rows, strict=True):
+        assert abs(m - (bias + sum(want[i] * v for i, v in zip(at.tolist(), value.tolist())))) < 1e-3
+
+
+def test_adagrad_equals_plain_updates():
+    _, _, rows = some_rows()
+    w, n = {}, {}
+    for _ in range(4):
+        for at, value, label in rows:
+            x = [*zip(at.tolist(), value.tolist()), ("bias", 1.0)]
+            p = 1 / (1 + math.exp(-sum(w.get(i, 0.0) * v for i, v in x)))
+            for i, v in x:
+                g = (p - label) * v + 1e-5 * w.get(i, 0.0)
+                n[i] = n.get(i, 1e-2) + g * g
+                w[i] = w.get(i, 0.0) - 0.3 * g / math.sqrt(n[i])
+    got, bias = linear.adagrad(rows)
+    assert abs(bias - w.pop("bias")) < 1e-6 and all(abs(got[i] - v) < 1e-5 for i, v in w.items())
+
+
+def test_platt_is_the_least_of_its_loss():
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=300) * 2
+    y = (rng.random(300) < 1 / (1 + np.exp(-m + 0.5))).astype(int)
+    up, down = y.sum(), len(y) - y.sum()
+    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * m + b)))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum() + 5e-4 * ((a - 1) ** 2 + b * b)
+
+    a, b = linear.platt(m, y)
+    assert all(loss(a, b) <= loss(a + s, b + t) + 1e-9 for s in (-0.01, 0, 0.01) for t in (-0.01, 0, 0.01))
+
+
+def test_quality_rules_verdict_is_the_calibrated_score(spark, data):
+    """score and kept by a plain run of the same learning on the driver."""
+    d, lab = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    f = linear.Features(True)
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    rows = sorted((zlib.crc32(str(r.doc_id).encode()), texts[r.doc_id], r.quality) for r in lab.where("quality IN (0, 1)").collect() if r.doc_id in texts)
+    data_rows = [(*f.sparse(t), y) for _, t, y in rows]
+    w, bias = linear.adagrad([x for k, x in enumerate(data_rows) if k % 4 != 3])
+    rest = data_rows[3::4]
+    a, b = linear.platt(np.array([w[i] @ v + bias for i, v, _ in rest]), np.array([y for _, _, y in rest]))
+    for r in quality_rules(d, lab).collect():
+        at, value = f.sparse(texts[r.doc_id])
+        p = 1 / (1 + math.exp(-min(35, max(-35, a * (bias + w[at] @ value) + b))))
+        assert abs(r.score - p) < 1e-3 and r.kept == (not r.base_failed and r.score >= 0.5)
+
+
+def test_labelled_rows_are_bounded_after_the_join(spark):
+    d = docs(spark, [(1, f"text {k}") for k in range(200)] + [(1, "same")] * 100 + [(3, "x" * 300)])
+    lab = labels(spark, [(1, 1, 0), (3, 0, 0)])
+    got = linear.labelled(d, lab, "quality", 50).collect()
+    assert len(got) == 50 and len({r.text for r in got}) == 50
+    assert {r.doc_id for r in linear.labelled(d, lab, "quality", 1000, chars=250).collect()} == {1} and linear.labelled(d, lab, "quality", 1000).count() == 202
+
+
 def test_platt_gives_probabilities():
     rng = np.random.default_rng(2)
     m = rng.normal(size=4000) * 3
@@ -326,6 +421,19 @@ def test_secret_scans(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == seen.count() + 1 and secrets.secret_scans(d.limit(0)).count() == 0
 
 
+def test_ledger_with_repeated_rows_and_a_new_rule_version(spark, tmp_path):
+    d = docs(spark, [(1, "token = abcdefabcdefabcdef"), (2, "nothing"), (3, "token = abcdefabcdefabcdef")])
+    ledger = f"file://{tmp_path}/ledger"
+    want = sorted(secrets.secret_scans(d, ledger).collect())
+    once = spark.read.parquet(ledger).cache()
+    assert once.count() == 2
+    once.write.mode("append").parquet(ledger)
+    assert sorted(secrets.secret_scans(d, ledger).collect()) == want and len(want) == 3
+    scanned = secrets.ledger_scan(d, ledger, rule_version=secrets.RULE_VERSION + 1).collect()
+    versions = {r.rule_version: r["count"] for r in spark.read.parquet(ledger).groupBy("rule_version").count().collect()}
+    assert len(scanned) == 3 and versions == {secrets.RULE_VERSION: 4, secrets.RULE_VERSION + 1: 2}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("ab12cdé", [(2, 0, 4), (3, 2, 5)]), ("x", [])], f"text string, spans {secrets.FOUND}")
     assert [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("spans"))).collect()] == ["ab[secret]dé", "x"]
