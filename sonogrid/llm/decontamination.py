@@ -5,9 +5,9 @@ hash of those picked is a seed: a substituted word that the mask ignores doesn't
 the passage. Seeds of the benchmark are joined with seeds of the documents; a hit
 gives a place in both, around which the words are then compared one by one.
 
-The seeds of the benchmark are broadcast while they are few (SEEDS_BROADCAST), and a
-bit filter made of them leaves out most places before rows are made; beyond that, the
-join shuffles all places.
+Two bit filters made of the benchmark, of at most FILTER_BITS bits each, leave out most
+places before rows are made. The benchmark's seeds are a table whose size Spark knows:
+the join broadcasts it if it is small and shuffles what the filters left if not.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ MASKS = ("110110101", "111001011", "101101101")
 BETWEEN = r"""[\x20\x09-\x0D.,;:!?"'()\[\]{}|#*$%&<>_-]+"""
 #: Overlaps are judged over so many words, of which this share must be equal.
 WORDS, SHARE = 13, 0.8
-SEEDS_BROADCAST = 200_000
+#: Bits of a filter at most (4 MB): a bit for each 64th seed, up to half a million seeds, and fuller beyond.
+FILTER_BITS = 1 << 25
 
 
 def hashed(text: Column) -> Column:
@@ -55,10 +56,10 @@ def with_seeds(df: DataFrame, masks: list[str]) -> DataFrame:
 
 
 class Bits:
-    """A set of 64-bit hashes as a literal, 64 bits and more for each: never misses one, and takes few others."""
+    """A set of 64-bit hashes as a literal, with 64 bits and more for each up to `most` bits: never misses one, and takes few others."""
 
-    def __init__(self, hashes: DataFrame, n: int):
-        self.log = 6 + max(0, (max(1, n) - 1).bit_length())
+    def __init__(self, hashes: DataFrame, n: int, most: int = FILTER_BITS):
+        self.log = max(6, min(6 + max(0, (max(1, n) - 1).bit_length()), most.bit_length() - 1))
         at = F.col("hash").bitwiseAND(F.lit((1 << self.log) - 1))
         words = dict(hashes.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))")).collect())
         self.column = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(1 << self.log - 6))), ",").cast("array<bigint>")
@@ -73,11 +74,11 @@ def ends(h: Column, i: Column, length: int) -> Column:
     return F.xxhash64(F.lit(length), F.get(h, i), F.get(h, i + (length - 1)))
 
 
-def likely(h: Column, listed: DataFrame, n: int, masks: list[str]) -> Callable[[Column], Column]:
+def likely(h: Column, listed: DataFrame, n: int, masks: list[str], most: int) -> Callable[[Column], Column]:
     """Whether a place of h can be a seed of the benchmark: first by the ends of the masks, then by the seeds."""
     lengths = sorted({len(m) for m in masks})
     pairs = F.array(*(ends(F.col("item_near"), F.col("item_back"), k) for k in lengths))
-    firsts, seeds = Bits(listed.select(F.explode(pairs).alias("hash")), n * len(lengths)), Bits(listed.select(F.col("seed").alias("hash")), n)
+    firsts, seeds = Bits(listed.select(F.explode(pairs).alias("hash")), n * len(lengths), most), Bits(listed.select(F.col("seed").alias("hash")), n, most)
 
     def takes(i: Column) -> Column:
         made = lambda: F.array_compact(F.array(*(seed(h, i, k, m) for k, m in enumerate(masks))))
@@ -87,7 +88,7 @@ def likely(h: Column, listed: DataFrame, n: int, masks: list[str]) -> Callable[[
     return takes
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, words: int = WORDS, share: float = SHARE, broadcast_seeds: int = SEEDS_BROADCAST) -> DataFrame:
+def decontamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, words: int = WORDS, share: float = SHARE, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row for each document: doc_id, contaminated, n_items and items (ids of the benchmark's items found in it, sorted and comma-joined).
 
     A document holds an item if, in line with a hit, some `words` successive words of
@@ -106,9 +107,9 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...
     listed = written(listed)
     n = listed.count()
     own = whole(docs, "doc_id").select("doc_id", hashed(F.col("text")).alias("h"))
-    takes = likely(F.col("h"), listed, n, all_masks) if n <= broadcast_seeds else None
+    takes = likely(F.col("h"), listed, n, all_masks, filter_bits)
     places = own.select("doc_id", F.explode(around(F.col("h"), words, span, takes)).alias("p")).select("doc_id", "p.*")
-    hits = with_seeds(places, all_masks).join(F.broadcast(listed) if n <= broadcast_seeds else listed, "seed")
+    hits = with_seeds(places, all_masks).join(listed, "seed")
     shift = F.col("back") - F.col("item_back")
     same = F.transform("item_near", lambda w, j: F.when((shift + j >= 0) & (F.get("near", shift + j) == w), 1).otherwise(0))
     window = F.least(F.lit(words), F.col("item_n"))

@@ -2,7 +2,8 @@
 
 A rule is a host and a path prefix. A url offers a key for each pair of host depth
 and path length that occurs among the rules, so the keys of a url are few, whatever
-its length. The keys of all urls are the universe over which a cascade is built:
+its length. Rules are a table, and what the plan holds of them is that list of pairs and
+the cascades' bits, as literals: its size doesn't grow with the rules. The keys of all urls are the universe over which a cascade is built:
 level 0 holds the listed keys, level 1 the keys that level 0 takes by mistake,
 level 2 the listed keys that level 1 takes, and so on until no mistake is left.
 Level 0 has a false positive rate of about listed / universe, so that the cascade's
@@ -11,6 +12,7 @@ size grows with the list and with the logarithm of the corpus.
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -38,9 +40,6 @@ class Bloom:
     def at(self, key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(key, F.lit(self.salt * 64 + i)), F.lit(64 * self.words)) for i in range(self.hashes)]
 
-    def __contains__(self, key: object) -> bool:
-        raise TypeError("takes() makes a column")
-
     def takes(self, key: Column) -> Column:
         ask = [(F.shiftright(F.get(self.column, (p / 64).cast("int")), 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % 64).cast("int"))) != 0) for p in self.at(key)]
         return reduce(lambda a, b: a & b, ask)
@@ -67,38 +66,44 @@ class Cascade:
         return out
 
 
-def offers(host: Column, path: Column, rules: list[Rule]) -> list[tuple[Column, Column]]:
-    """For each depth and length among the rules: the key that a url offers (null if the url is too short for it), and its host's length."""
-    pairs = sorted({(len(h.split(".")), len(p)) for _, h, p in rules})
-    out = []
-    for depth, length in pairs:
-        tail = F.substring_index(host, ".", -depth)
-        fits = (F.size(F.split(host, r"\.")) >= depth) & (F.length(path) >= length)
-        out.append((F.when(fits, F.concat(tail, F.substring(path, 1, length))), F.length(tail)))
-    return out
+def offers(host: Column, path: Column, lengths: dict[int, list[int]]) -> Column:
+    """The keys that a url offers, as an array of structs (key, length, host_length): for each depth its host has and each length, of those among the rules, that its path has."""
+    known = F.from_json(F.lit(json.dumps([{"d": d, "n": n} for d, n in sorted(lengths.items())])), "array<struct<d:int,n:array<int>>>")
+
+    def of_depth(x: Column) -> Column:
+        tail = F.call_function("substring_index", host, F.lit("."), -x["d"])
+        key = lambda n: F.concat(tail, F.substring(path, F.lit(1), n))
+        return F.transform(F.filter(x["n"], lambda n: n <= F.length(path)), lambda n: F.struct(key(n).alias("key"), (F.length(tail) + n).alias("length"), F.length(tail).alias("host_length")))
+
+    return F.flatten(F.transform(F.filter(known, lambda x: x["d"] <= F.size(F.split(host, r"\."))), of_depth))
 
 
-def url_filters(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def url_filters(pages: DataFrame, rules: DataFrame | list[Rule] = RULES) -> DataFrame:
     """One row for each page: page_id, host, path, rule and verdict.
 
-    The longest rule that fits decides, of equal ones that with the longer host; a
-    url that no list holds is allowed, with a null rule. Null urls and urls without
-    :// have empty host and path. Without rules all is allowed. Rows with a null or
-    repeated page_id are judged one by one; columns other than page_id and url are not read.
+    rules: a table (or list) of verdict (allow or block), host and path. The longest rule
+    that fits decides, of equal ones that with the longer host; a url that no list holds is
+    allowed, with a null rule. Null urls and urls without :// have empty host and path.
+    Rules without a host, and with a path that no url can have, fit nothing. Without rules
+    all is allowed. Rows with a null or repeated page_id are judged one by one; columns
+    other than page_id and url are not read.
     """
-    spark = pages.sparkSession
+    if isinstance(rules, list):
+        rules = pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
     parts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).select("page_id", lower_az(F.regexp_extract("url", URL, 1)).alias("host"), F.regexp_extract("url", URL, 2).alias("path"))
-    if not rules:
-        return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    found = offers(F.col("host"), F.col("path"), rules)
-    universe = written(parts.select(F.explode(F.array_compact(F.array(*(k for k, _ in found)))).alias("key")).distinct())
-    cascades = {}
-    for i, verdict in enumerate(sorted({r[0] for r in rules})):
-        listed = spark.createDataFrame([(h.lower() + p,) for v, h, p in rules if v == verdict], "key string")
-        cascades[verdict] = Cascade(universe, listed, 1000 * (i + 1))
-    fitting = [F.when(key.isNotNull() & c.takes(key), F.struct(F.length(key).alias("length"), depth.alias("host_length"), key.alias("rule"), F.lit(v).alias("verdict"))) for key, depth in found for v, c in cascades.items()]
-    best = F.array_max(F.array_compact(F.array(*fitting)))
-    return parts.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    table = rules.select("verdict", lower_az(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("host <> '' AND verdict IS NOT NULL AND (path = '' OR path LIKE '/%')")
+    table = written(table.select("verdict", F.size(F.split("host", r"\.")).alias("depth"), F.length("path").alias("length"), F.concat("host", "path").alias("key")).distinct())
+    lengths = dict(table.groupBy("depth").agg(F.sort_array(F.collect_set("length"))).collect())
+    offered = parts.withColumn("offers", offers(F.col("host"), F.col("path"), lengths))
+    universe = written(offered.select(F.explode("offers.key").alias("key")).distinct())
+    cascades = {v: Cascade(universe, table.where(F.col("verdict") == v).select("key"), 1000 * (i + 1)) for i, v in enumerate(sorted(r[0] for r in table.select("verdict").distinct().collect()))}
+
+    def fits(x: Column) -> Column:
+        verdicts = F.array_compact(F.array(*(F.when(c.takes(x["key"]), F.lit(v)) for v, c in cascades.items())))
+        return F.struct(x["length"].alias("length"), x["host_length"].alias("host_length"), x["key"].alias("rule"), F.array_max(verdicts).alias("verdict"))
+
+    best = F.array_max(F.filter(F.transform("offers", fits), lambda x: x["verdict"].isNotNull())) if cascades else F.lit(None).cast("struct<rule:string,verdict:string>")
+    return offered.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
 SQL = """

@@ -213,6 +213,29 @@ def test_url_filters(spark):
     assert url_filters.url_filters(pages.limit(0)).count() == 0
 
 
+def test_url_filters_with_a_long_list(spark):
+    """100,000 rules of many depths and lengths, as a table: exact, with a plan no larger than that of a few rules."""
+    random.seed(14)
+    rules = [(random.choice(("allow", "block")), f"h{k % 9973}.{random.choice(('com', 'net', 'co.uk'))}", "/" + "p" * (k % 40) + ("/" if k % 3 else "")) for k in range(100_000)]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values()) + [("block", None, "/"), ("block", "", "/"), ("block", "com", "x")]
+    urls = [f"http://{'www.' * (k % 3)}{rules[k * 7][1]}{rules[k * 7][2]}{'q' * (k % 2)}?a" for k in range(3000)] + ["http://comx", "http:///", None, "http://com"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    by = {(h, p): v for v, h, p in rules if h and p.startswith("/")}
+
+    def want(url):
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        host, path = m.groups() if m else ("", "")
+        labels_ = host.split(".")
+        keys = [(len(h + path[:n]), len(h), h + path[:n], by[h, path[:n]]) for d in range(1, len(labels_) + 1) for h in [".".join(labels_[-d:])] for n in range(len(path) + 1) if (h, path[:n]) in by]
+        return (host, path, *max(keys)[2:]) if keys else (host, path, None, "allow")
+
+    out = url_filters.url_filters(pages, table)
+    assert {r.page_id: tuple(r)[1:] for r in out.collect()} == {k: want(u) for k, u in enumerate(urls)}
+    size = lambda df: df._jdf.queryExecution().analyzed().toString().count("\n")
+    assert size(out) <= size(url_filters.url_filters(pages)) + 20
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where(F.abs(F.hash("key")) % 50 == 0)
@@ -471,7 +494,8 @@ def test_decontamination(spark):
     rows = [(20 + k, " ".join(noise(40) + x + noise(40))) for k, x in enumerate(items)]
     rows += [(30, " ".join(noise(5) + changed(items[2], 7) + noise(5))), (31, " ".join(items[3][20:40]).upper()), (32, " ".join(items[2][:6])), (33, " ".join(noise(300))), (34, " ".join(changed(items[2], 2)))]
     bench = spark.createDataFrame([(k, " ".join(x) + ".", "h", "s") for k, x in enumerate(items)] + [(9, None, "", ""), (None, "a b c", "", ""), (8, "", "", "")], "item_id long, text string, h string, seed string")
-    for most in (dec.SEEDS_BROADCAST, 0):
-        got = {r.doc_id: r.items for r in dec.decontamination(docs(spark, ODD + rows), bench, broadcast_seeds=most).collect()}
+    # A filter that is full takes nearly every place; the result is the same.
+    for most in (dec.FILTER_BITS, 64):
+        got = {r.doc_id: r.items for r in dec.decontamination(docs(spark, ODD + rows), bench, filter_bits=most).collect()}
         assert {i: v for i, v in got.items() if v} == {20: "0", 21: "1", 22: "2", 23: "3", 30: "2", 31: "3"}
     assert dec.decontamination(docs(spark, ODD), bench.limit(0)).where("contaminated").count() == 0 and dec.decontamination(docs(spark, []).limit(0), bench).count() == 0
