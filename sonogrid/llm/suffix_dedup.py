@@ -35,6 +35,8 @@ LENGTH, GRAM = 50, 20
 SHARD_BYTES, HOT = 4 << 20, 8192
 #: Bytes of text whose anchors are found at a time, and suffix shards for each shard of text: both keep the work in a core's cache.
 BLOCK_BYTES, FINER = 1 << 16, 8
+#: Texts of more than this share of all rows (one in so many) are broadcast: there are at most as many of them.
+HEAVY = 10_000
 #: Suffix shards of hot anchors have numbers from here on.
 HOT_BUCKET = 1 << 62
 PRIMES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -237,13 +239,14 @@ def own_anchors(length: int):
     return run
 
 
-CONTEXT = "bucket long, first long, ctx binary, shard long, row int, lo int, hi int"
+CONTEXT = "bucket long, first long, ctx binary, shard long, row int, lo int, hi int, places binary"
 
 
 def contexts(length: int, buckets: int):
     """Of a shard's anchors: contexts that suffix shards have to compare, and ranges (ctx null) of contexts that a smaller document is known to have.
 
-    shared tells, by key, how many suffix shards the anchor has; 0: a smaller document has the context.
+    shared tells, by key, how many suffix shards the anchor has; 0: a smaller document has the context. A context that
+    a text has at many places, as in long runs of a byte, is sent once with all its places (32-bit integers).
     """
 
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
@@ -266,16 +269,21 @@ def contexts(length: int, buckets: int):
             new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])))) if len(gone) else gone
             last = np.concatenate((new[1:], [len(gone)])) - 1 if len(gone) else gone
             for r, x, y in zip(row[new].tolist(), lo[new].tolist(), hi[last].tolist(), strict=True):
-                for column, v in zip(out.values(), (-1 - number, None, None, number, r, x, y), strict=True):
+                for column, v in zip(out.values(), (-1 - number, None, None, number, r, x, y, None), strict=True):
                     column.append(v)
             raw = shard.b.tobytes()
-            for k in np.flatnonzero(~later & (salt > 0)).tolist():
-                code, x, y, base = int(shard.hash[k]), int(shard.lo[k]), int(shard.hi[k]), int(shard.base[k])
+            sent = np.flatnonzero(~later & (salt > 0))
+            sent = sent[np.lexsort((sent, shard.row[sent], shard.number[sent]))]
+            head = np.flatnonzero(np.concatenate(([True], (shard.number[sent][1:] != shard.number[sent][:-1]) | (shard.row[sent][1:] != shard.row[sent][:-1])))) if len(sent) else sent
+            starts = (shard.lo - shard.base)[sent].astype("<i4").tobytes()
+            for at, after in zip(head.tolist(), [*head[1:].tolist(), len(sent)], strict=True):
+                k = int(sent[at])
+                code, x, y = int(shard.hash[k]), int(shard.lo[k]), int(shard.hi[k])
                 ctx = raw[x:y]
                 bucket = code % buckets if salt[k] < 2 else HOT_BUCKET | ((code ^ (zlib.crc32(ctx) % int(salt[k]) * 0x9E3779B97F4A7C15)) & (HOT_BUCKET - 1))
-                for column, v in zip(out.values(), (bucket, int(doc[k]), ctx, number, int(shard.row[k]), x - base, y - base), strict=True):
+                for column, v in zip(out.values(), (bucket, int(doc[k]), ctx, number, int(shard.row[k]), None, None, starts[4 * at : 4 * after]), strict=True):
                     column.append(v)
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     return run
@@ -342,6 +350,18 @@ def hot_strings(length: int):
 RANGE = "shard long, row int, lo int, hi int"
 
 
+def joined(shard: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+    """Ranges of texts, those of a text that touch made one."""
+    order = np.lexsort((lo, row, shard))
+    shard, row, lo, hi = shard[order], row[order], lo[order], hi[order]
+    text = np.cumsum(np.concatenate(([0], (shard[1:] != shard[:-1]) | (row[1:] != row[:-1])))) if len(order) else order
+    # Ends are kept apart by text, so that one running maximum serves all texts.
+    reach = np.maximum.accumulate(hi + (text << 32)) if len(order) else hi
+    new = np.flatnonzero(np.concatenate(([True], lo[1:] + (text[1:] << 32) > reach[:-1]))) if len(order) else order
+    last = np.concatenate((new[1:], [len(order)])) - 1 if len(order) else order
+    return pa.table({"shard": shard[new], "row": pa.array(row[new], pa.int32()), "lo": pa.array(lo[new], pa.int32()), "hi": pa.array(reach[last] & 0xFFFFFFFF, pa.int32())})
+
+
 def found_ranges(length: int):
     """Ranges of texts (shard, row) that smaller documents have."""
 
@@ -355,8 +375,11 @@ def found_ranges(length: int):
             order = np.argsort(strings)
             shard.merge(strings[order], hot["least"].to_numpy()[order])
         owner, lo, hi = shard.ranges()
-        base = table["lo"].to_numpy()[owner]
-        return pa.table({"shard": table["shard"].to_numpy()[owner], "row": pa.array(table["row"].to_numpy()[owner], pa.int32()), "lo": pa.array(base + lo, pa.int32()), "hi": pa.array(base + hi, pa.int32())})
+        places = [np.frombuffer(x, "<i4") for x in table["places"].take(pa.array(owner)).to_pylist()]
+        n = [len(x) for x in places]
+        base = np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int64)
+        text = np.repeat(owner, n)
+        return joined(table["shard"].to_numpy()[text], table["row"].to_numpy()[text], base + np.repeat(lo, n), base + np.repeat(hi, n))
 
     return run
 
@@ -393,11 +416,19 @@ def removal(length: int, keep_text: bool):
     return run
 
 
-def whole_copies(rows: DataFrame, length: int) -> DataFrame:
-    """shard and tag of rows whose whole text a smaller document has."""
+def whole_copies(rows: DataFrame, length: int, heavy: int) -> DataFrame:
+    """shard and tag of rows whose whole text a smaller document has.
+
+    Texts of more than `heavy` rows, of which there are few, are broadcast to their rows; the others meet them in a shuffle.
+    """
     texts = rows.where(F.length("raw") >= length).select("shard", "doc_id", "tag", F.unhex(F.sha2("raw", 256)).alias("sha"))
-    again = texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
-    return texts.join(again, "sha").where("doc_id > first").select("shard", F.col("tag").alias("copy"))
+    again = written(texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("sha", "first", F.col("n") > heavy))
+    again = again.toDF("sha", "first", "heavy")
+    many, few = again.where("heavy").select("sha", F.col("first").alias("known")), again.where("NOT heavy").select("sha", "first")
+    told = texts.join(F.broadcast(many), "sha", "left")
+    rest = told.where("known IS NULL").select("shard", "doc_id", "tag", "sha").join(few, "sha")
+    found = told.where("known IS NOT NULL").select("shard", "doc_id", "tag", F.col("known").alias("first")).unionByName(rest.select("shard", "doc_id", "tag", "first"))
+    return found.where("doc_id > first").select("shard", F.col("tag").alias("copy"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot: int = HOT, keep_text: bool = False) -> DataFrame:
@@ -410,10 +441,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD
     if not 33 <= length <= 64:
         raise ValueError("length must be 33 to 64")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    shards = max(1, -(-(rows.agg(F.sum(F.length("raw"))).first()[0] or 0) // shard_bytes))
+    size, n = rows.agg(F.sum(F.length("raw")), F.count("*")).first()
+    shards = max(1, -(-(size or 0) // shard_bytes))
     shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
     some = rows.where("doc_id IS NOT NULL").select(shard_of("doc_id"), "doc_id", "raw", F.xxhash64("doc_id", "raw").alias("tag"))
-    copies = written(whole_copies(some, length))
+    copies = written(whole_copies(some, length, n // HEAVY))
     some = some.mapInArrow(packed, "shard long, doc_id long, raw binary, tag long")
     found = some.groupBy("shard").cogroup(copies.groupBy("shard")).applyInArrow(own_anchors(length), "hash long, context long, doc long")
     anchor, same = Window.partitionBy("hash"), Window.partitionBy("hash", "context")
@@ -424,7 +456,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD
     shared = told.select(shard_of("doc"), F.col("hash").bitwiseXOR(F.col("context")).alias("key"), salts.alias("salts")).unionByName(copies, allowMissingColumns=True)
     cut = some.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(contexts(length, FINER * shards), CONTEXT)
     strings = cut.groupBy("bucket").applyInArrow(hot_strings(length), "bucket long, string binary, least long")
-    merged = strings.select("bucket", "string", F.min("least").over(Window.partitionBy("string")).alias("least"))
+    # A string that one shard alone has needs no merging.
+    same = Window.partitionBy("string")
+    merged = strings.select("bucket", "string", F.min("least").over(same).alias("least"), F.count("*").over(same).alias("n")).where("n > 1").drop("n")
     ranges = cut.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInArrow(found_ranges(length), RANGE).unionByName(copies, allowMissingColumns=True)
     out = some.groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(removal(length, keep_text), RESULT + ", kept binary" * keep_text)
     rest = rows.where("doc_id IS NULL").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"), *[F.col("raw").alias("kept")] * keep_text)

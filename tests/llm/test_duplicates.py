@@ -217,7 +217,7 @@ def removed(rows: list[tuple[int, bytes]], length: int = 50) -> list[tuple]:
     return sorted(out)
 
 
-def test_suffix_dedup(spark):
+def test_suffix_dedup(spark, monkeypatch):
     random.seed(4)
     common = "".join(random.choices("abcdé \0", k=400))
     rows = []
@@ -229,12 +229,30 @@ def test_suffix_dedup(spark):
     d = docs(spark, [*rows, (None, common), *[r for r in ODD if r[0] not in (None, 7)]])
     want = removed([(r.doc_id, (r.text or "").encode()) for r in d.where("doc_id IS NOT NULL").collect()])
     for kw in ({}, {"shard_bytes": 3000, "hot": 3}):
+        # With one row in so many, every repeated text is a heavy one.
+        monkeypatch.setattr(suffix_dedup, "HEAVY", 10_000 if kw else 1 << 40)
         got = suffix_dedup.suffix_dedup(d, **kw).collect()
         assert sorted(tuple(r) for r in got if r.doc_id is not None) == want
         assert [r.n_removed for r in got if r.doc_id is None] == [0]
     assert suffix_dedup.suffix_dedup(d.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_long_runs(spark):
+    """Runs of a byte and of short periods, very long, within documents and across them; a context of many places is sent once."""
+    random.seed(15)
+    own = lambda n: "".join(random.choices("abcdefgh", k=n))
+    rows = [(1, own(60) + "-" * 30_000 + own(60)), (2, own(20) + "-" * 400 + own(70) + "-" * 90), (3, "ab" * 8000 + own(30)), (4, own(80) + "ba" * 100 + own(9)), (5, own(70_000)), (6, "-" * 49 + own(50)), (7, own(10) + "xyz" * 900), (8, "yzx" * 40 + own(60))]
+    rows += [(9, rows[4][1][1000:60_000]), (9, "-" * 70)]
+    d = docs(spark, rows)
+    want = removed([(i, t.encode()) for i, t in rows])
+    for kw in ({}, {"shard_bytes": 20_000, "hot": 2}):
+        assert sorted(tuple(r) for r in suffix_dedup.suffix_dedup(d, **kw).collect()) == want
+    raw = (b"q" * 80 + b"-" * 100_000 + b"r" * 80,)
+    lengths = np.array([len(x) for x in raw])
+    found = suffix_dedup.anchors(np.frombuffer(b"".join(raw), np.uint8), lengths, 50)
+    assert len(found[0]) > 90_000 and len(np.unique(found[0] ^ found[2])) < 400
+
+
 def test_suffix_arrays_and_prefixes():
     random.seed(5)
     for k in range(60):
