@@ -1,78 +1,173 @@
 """Operator 9: licence scans by sentence rules, in DataFrame functions only.
 
-Sentences end at blank lines and at . ! ? before white space; at a single line break,
-also in a comment, and after "v." they may end or go on. A normalised sentence (lower
+Sentences end at blank lines and at . ! ? before white space (but not after "v."); at a
+single line break, also in a comment, they may end or go on. A normalised sentence (lower
 case, runs of anything but a-z, 0-9, + and . as one space, no full stop at the end) that
-is known gives its identifier, the longest one from where it starts; the identifiers of a text in order are
-matched against the rules in order, longest first, and a match uses its sentences up.
+is known gives its identifier, the longest one from where it starts; known sentences of
+LONG words and more count wherever they stand, so that titles, names and copyright lines
+may run into them. The identifiers of a text are matched from the left against the rules,
+longest first, and a match uses its sentences up. The rule of last resort (LAST) counts
+only if no other one matches.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonogrid.llm.common import lower_az, whole
+from sonogrid.llm.common import LOWER_AZ, UPPER_AZ, lower_az, whole
 
+#: Words of a known sentence that counts wherever it stands, at least.
+LONG = 10
 # Known sentences of licence notices, by identifier.
 SENTENCES = {
+    "mit-title": "mit license",
+    "mit-the-title": "the mit license",
+    "mit-the-title-mit": "the mit license mit",
     "mit-released": "released under the mit license",
     "mit-licensed": "licensed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "apache-2": "licensed under the apache license version 2.0",
-    "apache-2-file": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
+    "apache-2-title": "apache license version 2.0 january 2004",
+    "apache-2-file": "under the apache license version 2.0 the license you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "gpl-3-work": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-2-kernel": "under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl-2-title": "gnu general public license version 2 june 1991",
+    "gpl-3-title": "gnu general public license version 3 29 june 2007",
+    "lgpl-2.1-title": "gnu lesser general public license version 2.1 february 1999",
+    "lgpl-3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl-3-title": "gnu affero general public license version 3 19 november 2007",
+    "gpl-warranty": "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "cc-by-nc-4": "licensed under cc by nc 4.0",
     "cc-by-4": "licensed under cc by 4.0",
     "cc-by-sa-4": "licensed under cc by sa 4.0",
+    "cc0-deed": "has waived all copyright and related or neighboring rights to this work",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-endorse": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-title": "boost software license version 1.0 august 17th 2003",
+    "boost-file": "distributed under the boost software license version 1.0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "mpl-2-title": "mozilla public license version 2.0",
+    "epl-1": "are made available under the terms of the eclipse public license v 1.0",
+    "epl-2": "are made available under the terms of the eclipse public license v 2.0",
     "rights": "all rights reserved",
 }
+# Licences with a tag of their own.
+TAGS = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+# What the notices of one family differ in: the word before "general public license", its versions, and the licence.
+GNU = [("", ("2", "3"), "GPL"), ("lesser ", ("2.1", "3"), "LGPL"), ("affero ", ("3",), "AGPL")]
+# The terms of public licences of works, in words and letters.
+WORKS = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivatives", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
 # Rules as sequences of sentence identifiers, and the licence that each tells.
 RULES = [
+    (("mit-title", "mit-grant", "mit-notice"), "MIT"),
+    (("mit-the-title", "mit-grant", "mit-notice"), "MIT"),
+    (("mit-the-title-mit", "mit-grant", "mit-notice"), "MIT"),
     (("mit-grant", "mit-notice"), "MIT"),
-    (("apache-2-file", "apache-copy"), "Apache-2.0"),
-    (("gpl-free", "gpl-warranty"), "GPL-3.0-or-later"),
+    (("mit-title",), "MIT"),
+    (("mit-the-title",), "MIT"),
+    (("mit-the-title-mit",), "MIT"),
     (("mit-released",), "MIT"),
     (("mit-licensed",), "MIT"),
     (("mit-grant",), "MIT"),
+    (("apache-2-file", "apache-copy"), "Apache-2.0"),
     (("apache-2",), "Apache-2.0"),
     (("apache-2-file",), "Apache-2.0"),
+    (("apache-2-title",), "Apache-2.0"),
     (("gpl-3-work",), "GPL-3.0-only"),
-    (("gpl-free",), "GPL-3.0-or-later"),
+    (("gpl-2-kernel", "gpl-warranty"), "GPL-2.0-only"),
+    (("gpl-2-kernel",), "GPL-2.0-only"),
+    (("gpl-2-title",), "GPL-2.0"),
+    (("gpl-3-title",), "GPL-3.0"),
+    (("lgpl-2.1-title",), "LGPL-2.1"),
+    (("lgpl-3-title",), "LGPL-3.0"),
+    (("agpl-3-title",), "AGPL-3.0"),
     (("cc-by-nc-4",), "CC-BY-NC-4.0"),
     (("cc-by-4",), "CC-BY-4.0"),
     (("cc-by-sa-4",), "CC-BY-SA-4.0"),
+    (("cc0-deed",), "CC0-1.0"),
+    (("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"), "BSD-4-Clause"),
+    (("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
+    (("bsd-redistribution", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("bsd-redistribution",), "BSD"),
+    (("isc-grant",), "ISC"),
+    (("zlib-grant",), "Zlib"),
+    (("boost-title", "boost-grant"), "BSL-1.0"),
+    (("boost-title",), "BSL-1.0"),
+    (("boost-file",), "BSL-1.0"),
+    (("boost-grant",), "BSL-1.0"),
+    (("unlicense",), "Unlicense"),
     (("mpl-2",), "MPL-2.0"),
+    (("mpl-2-title",), "MPL-2.0"),
+    (("epl-1",), "EPL-1.0"),
+    (("epl-2",), "EPL-2.0"),
     (("rights",), "proprietary"),
 ]
+for _tag in TAGS:
+    SENTENCES[f"tag-{_tag.lower()}"] = "spdx license identifier " + _tag.lower().replace("-", " ")
+    RULES.append(((f"tag-{_tag.lower()}",), _tag))
+for _word, _versions, _name in GNU:
+    for _version in _versions:
+        _id, _licence = f"{_name.lower()}-{_version}-later", f"{_name}-{_version if '.' in _version else _version + '.0'}-or-later"
+        SENTENCES[_id] = f"is free software you can redistribute it and or modify it under the terms of the gnu {_word}general public license as published by the free software foundation either version {_version} of the license or at your option any later version"
+        RULES += [((_id, "gpl-warranty"), _licence), ((_id,), _licence)]
+for _letters, _words in WORKS.items():
+    SENTENCES[f"work-{_letters}-4"] = f"this work is licensed under a creative commons {_words} 4.0 international license"
+    RULES.append(((f"work-{_letters}-4",), f"CC-{_letters.upper()}-4.0"))
+#: The licence that counts only if no other does.
+LAST = "proprietary"
+#: What a text with a known sentence has in it; texts without are not looked at further.
+TRIGGERS = ("licen", "permission", "redistribut", "rights", "unencumbered", "warranty", "advertising")
+
+#: Steps that lead from a lower-case text, with a line break before it, to its normalised words between marks: || where a sentence ends, ~~ where it may.
+STEPS = [
+    (r"\n[ \t]*(?://+|/[*]+|[*]+/?|#+|;+|--+|<!--|rem )[ \t]*", "\n"),
+    (r"\n[ \t\r]*(?:\n[ \t\r]*)+", "||"),
+    (r"([^a-z0-9])v[.][ \t\r\n]+", "{1}v "),
+    (r"[.]{2,}", "."),
+    (r"[.!?][ \t\r\n]+", "||"),
+    (r"\n", "~~"),
+    (r"[^a-z0-9+.|~]+", " "),
+    (r"[. ]+([|~])", "{1}"),
+    (r"([|~])[. ]+", "{1}"),
+]
 
 
-#: Where a sentence ends (HARD), and where it may end (SOFT).
-HARD, SOFT = "|", "~"
+def normal(text: Column) -> Column:
+    x = F.concat(F.lit("\n"), F.translate(lower_az(text), "|~", "##"))
+    for pattern, by in STEPS:
+        x = F.regexp_replace(x, pattern, by.format("", "$1"))
+    return F.concat(F.lit("||"), F.regexp_replace(x, "[. ]+$", ""), F.lit("||"))
 
 
-def normal(text: Column) -> Column:
-    """A text's normalised words between marks of where sentences end."""
-    x = F.translate(lower_az(text), HARD + SOFT, "##")
-    x = F.regexp_replace(x, r"((?<!\bv)\.|[!?])(?:[ \t\r]+|(?=\n))", "$1" + HARD)
-    x = F.translate(F.regexp_replace(x, r"\bv\.[ \t\r]+", "v." + SOFT), "\n", SOFT)
-    x = F.concat(F.lit(HARD), F.regexp_replace(x, "[^a-z0-9+.|~]+", " "), F.lit(HARD))
-    x = F.regexp_replace(F.regexp_replace(x, "(?<![. ])[. ]+(?=[|~])", ""), "(?<=[|~]) +", "")
-    return F.regexp_replace(x, "~{2,}", HARD)
+def alternatives(sentences: list[str]) -> str:
+    """The sentences, longest first, those with the same first word together; a break may stand for any space."""
+    by_first: dict[str, list[str]] = {}
+    for s in sorted(sentences, key=lambda s: (-len(s), s)):
+        first, _, rest = s.partition(" ")
+        by_first.setdefault(first, []).append("".join("(?: |~~)" + w.replace(".", "[.]").replace("+", "[+]") for w in rest.split(" ")))
+    return "|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in by_first.items())
+
+
+def sentence_pattern(sentences: dict[str, str]) -> str:
+    """Known sentences where they count: long ones anywhere, also after a mark, others between marks."""
+    long = [s for s in sentences.values() if len(s.split()) >= LONG]
+    short = [s for s in sentences.values() if len(s.split()) < LONG]
+    parts = ([rf"[|~]?\b(?:{alternatives(long)})\b"] if long else []) + ([f"[|~](?:{alternatives(short)})[|~]"] if short else [])
+    return "|".join(parts)
 
 
-def plain(sentence: str) -> str:
-    """A known sentence as normal() leaves it."""
-    return re.sub(r"\bv\. ", "v ", sentence)
+def rule_pattern(rules: list[tuple[tuple[str, ...], str]]) -> str:
+    return ",(?:" + "|".join(",,".join(sequence).replace(".", "[.]") for sequence, _ in sorted(rules, key=lambda r: (-len(r[0]), -len(",".join(r[0]))))) + "),"
 
 
 def license_scans(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> DataFrame:
@@ -81,41 +176,35 @@ def license_scans(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     A null text counts as empty: no sentences. Rows with a null or repeated doc_id are
     scanned one by one; columns other than doc_id and text are not read.
     """
-    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (plain(s), i)))
-    longest = sorted(map(plain, sentences.values()), key=lambda s: -len(s))
-    pattern = "(?<=[|~])(?:" + "|".join("[ ~]".join(re.sub(r"([.+])", r"\\\1", w) for w in s.split(" ")) for s in longest) + ")(?=[|~])"
-    ids = F.transform(F.regexp_extract_all(normal(F.col("text")), F.lit(pattern), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, SOFT, " ")))
+    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (s, i)))
+    told = F.create_map(*(F.lit(x) for sequence, name in rules for x in ("," + ",,".join(sequence) + ",", name)))
+    found = F.regexp_extract_all(normal(F.col("text")), F.lit(sentence_pattern(sentences)), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.btrim(F.replace(s, F.lit("~~"), F.lit(" ")), F.lit("|~"))))
+    if all(any(t in s for t in TRIGGERS) for s in sentences.values()):
+        some = lower_az(F.col("text"))
+        ids = F.when(sum((F.contains(some, F.lit(t)).cast("int") for t in TRIGGERS), F.lit(0)) > 0, ids).otherwise(F.array().cast("array<string>"))
     out = whole(docs, "doc_id").select("doc_id", ids.alias("ids"))
-    rest, found = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")), []
-    for sequence, _ in sorted(rules, key=lambda r: -len(r[0])):
-        pattern = "," + ",,".join(sequence) + ","
-        found.append((F.length(rest) - F.length(F.replace(rest, F.lit(pattern), F.lit("")))) / len(pattern))
-        rest = F.replace(rest, F.lit(pattern), F.lit(";"))
-    ordered = [name for _, name in sorted(rules, key=lambda r: -len(r[0]))]
-    n = [c.cast("long") for c in found]
-    names = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(c > 0, F.lit(name)) for c, name in zip(n, ordered, strict=True))))))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(names, ",").alias("licences"), sum(n, F.lit(0).cast("long")).alias("n_matches"))
+    joined = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
+    out = out.withColumn("matches", F.transform(F.regexp_extract_all(joined, F.lit(rule_pattern(rules)), F.lit(0)), lambda m: F.try_element_at(told, m)))
+    others = F.filter("matches", lambda m: m != LAST)
+    counted = F.when(F.size(others) > 0, others).otherwise(F.col("matches"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_sort(F.array_distinct(counted)), ",").alias("licences"), F.size(counted).cast("long").alias("n_matches"))
 
 
 def sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...], str]] = RULES) -> str:
-    """The same in DuckDB's SQL for sentences within a line; one CTE for each rule uses its matches up."""
-    values = ", ".join(f"('{s}', '{i}')" for i, s in sentences.items())
-    steps, last = [], "joined"
-    ordered = sorted(rules, key=lambda r: -len(r[0]))
-    for k, (sequence, _) in enumerate(ordered):
-        p = "," + ",,".join(sequence) + ","
-        steps.append(f"r{k} AS (SELECT *, (length(rest{k or ''}) - length(replace(rest{k or ''}, '{p}', ''))) // {len(p)} AS n{k}, replace(rest{k or ''}, '{p}', ';') AS rest{k + 1} FROM {last})")
-        last = f"r{k}"
-    names = ", ".join(f"CASE WHEN n{k} > 0 THEN '{name}' END" for k, (_, name) in enumerate(ordered))
-    return rf"""
-WITH known(sentence, id) AS (VALUES {values}),
-cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents),
-sentences AS (SELECT r, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM cut),
-normal AS (SELECT r, i, regexp_replace(trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9+.]+', ' ', 'g')), '[. ]+$', '') AS s FROM sentences),
-ids AS (SELECT r, list(id ORDER BY i) AS ids FROM normal JOIN known ON s = sentence GROUP BY r),
-joined AS (SELECT doc_id, coalesce(ids, []) AS ids, ',' || coalesce(array_to_string(ids, ',,'), '') || ',' AS rest FROM cut LEFT JOIN ids USING (r)),
-{", ".join(steps)}
-SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-       array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ',') AS licences, ({" + ".join(f"n{k}" for k in range(len(ordered)))})::BIGINT AS n_matches
-FROM {last}
+    """The same in DuckDB's SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    x = f"chr(10) || translate(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'), '|~', '##')"
+    for pattern, by in STEPS:
+        by = "chr(10)" if by == "\n" else quoted(by.format("", r"\1"))
+        x = f"regexp_replace({x}, {quoted(pattern)}, {by}, 'g')"
+    listed = lambda items: "[" + ", ".join(map(quoted, items)) + "]"
+    known = f"MAP({listed(sentences.values())}, {listed(sentences)})"
+    told = f"MAP({listed(',' + ',,'.join(s) + ',' for s, _ in rules)}, {listed(n for _, n in rules)})"
+    return f"""
+WITH normal AS (SELECT doc_id, '||' || regexp_replace({x}, '[. ]+$', '') || '||' AS x FROM documents),
+ids AS (SELECT doc_id, list_transform(regexp_extract_all(x, {quoted(sentence_pattern(sentences))}, 0), lambda s: map_extract({known}, trim(replace(s, '~~', ' '), '|~'))[1]) AS ids FROM normal),
+matches AS (SELECT doc_id, ids, list_transform(regexp_extract_all(',' || array_to_string(ids, ',,') || ',', {quoted(rule_pattern(rules))}, 0), lambda m: map_extract({told}, m)[1]) AS matches FROM ids),
+counted AS (SELECT doc_id, ids, CASE WHEN len(list_filter(matches, lambda m: m <> '{LAST}')) > 0 THEN list_filter(matches, lambda m: m <> '{LAST}') ELSE matches END AS m FROM matches)
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(m)), ',') AS licences, len(m)::BIGINT AS n_matches FROM counted
 """

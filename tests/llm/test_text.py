@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -384,31 +385,50 @@ def test_license_scans(spark):
     rows = [(20, f"Intro. {grant}\n{notice} End"), (21, "Licensed under the Apache License, Version 2.0.\nx\nAll rights reserved."), (22, "licensed under cc by-nc 4.0"), (23, f"{notice} {grant}")]
     got = {r.doc_id: r for r in licenses.license_scans(docs(spark, ODD + rows)).collect()}
     assert (got[20].sentence_ids, got[20].licences, got[20].n_matches) == ("mit-grant,mit-notice", "MIT", 1)
-    assert got[21].licences == "Apache-2.0,proprietary" and got[22].licences == "CC-BY-NC-4.0" and got[23].n_matches == 1
+    assert got[21].licences == "Apache-2.0" and got[21].sentence_ids == "apache-2,rights" and got[22].licences == "CC-BY-NC-4.0" and got[23].n_matches == 1
     assert (got[1].n_sentences, got[1].licences) == (0, "") and licenses.license_scans(docs(spark, []).limit(0)).count() == 0
 
 
-def test_wrapped_licence_notices(spark):
+def test_wrapped_licence_notices(spark, tmp_path):
     import textwrap
 
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    warranty = "\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    bsd = "Copyright (c) 2019, A. Person\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation, either version %s of the License, or (at your option) any later version.\n\n%s is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
     full = {
-        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
-        "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the",
+        "MIT": f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{grant}{warranty}",
+        "MIT ": f"The MIT License (MIT)\nCopyright (c) 2020 A. Person, B. Person\n{grant}",
+        "Apache-2.0": "Copyright 2020 A. Person\n\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing",
+        "GPL-3.0-or-later": "Foo - does things\nCopyright (C) 2020  A. Person\n\nThis program is free software: " + gnu % ("", "3", "This program"),
+        "GPL-2.0-or-later": "This program is free software; " + gnu % ("", "2", "This program"),
+        "LGPL-2.1-or-later": "This library is free software; " + gnu % ("Lesser ", "2.1", "This library"),
+        "AGPL-3.0-or-later": "This program is free software: " + gnu % ("Affero ", "3", "This program"),
+        "BSD-2-Clause": bsd + warranty,
+        "BSD-3-Clause": bsd + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + warranty,
         "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "ISC": "Copyright (c) 2020 A. Person\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     }
     rows, want = [], {}
     for name, text in full.items():
         for width in (30, 76, 10_000):
             for prefix in ("", "# ", " * ", "// "):
-                lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
-                want[len(rows)] = name
-                rows.append((len(rows), "Copyright me\n" + prefix.rstrip() + "\n" + "\n".join((prefix + x).rstrip() for x in lines)))
-    rows += [(900, "Licensed under the\n\nMIT license"), (901, "Licensed under the MIT\nlicense\nAll rights reserved\nFoo v. All rights reserved. " + "." * 50_000)]
+                lines = [x for part in text.split("\n\n") for x in [*(y for line in part.split("\n") for y in textwrap.wrap(line, width)), ""]]
+                want[len(rows)] = name.strip()
+                rows.append((len(rows), "Some prose before.\n" + prefix.rstrip() + "\n" + "\n".join((prefix + x).rstrip() for x in lines)))
+        want[len(rows)] = name.strip()
+        rows.append((len(rows), "Before it. " + " ".join(text.split()) + " And after it."))
+    rows += [(900, "Licensed under the\n\nMIT license"), (901, "Licensed under the MIT\nlicense\nAll rights reserved\nFoo v. All rights reserved. " + "." * 50_000), (902, "# SPDX-License-Identifier: GPL-2.0-only\nx"), (903, "All rights reserved."), (904, "we like the MIT license a lot and all rights reserved things"), (905, None), (906, "|~ MIT License ~|\n~~All Rights Reserved~~")]
     got = {r.doc_id: r for r in licenses.license_scans(docs(spark, rows)).collect()}
     assert {i: got[i].licences for i in want} == want and all(got[i].n_matches == 1 for i in want)
-    assert got[900].n_sentences == 0 and got[901].sentence_ids == "mit-licensed,rights,rights"
+    assert got[900].sentence_ids == "mit-title" and got[901].sentence_ids == "mit-licensed,rights" and got[901].licences == "MIT"
+    assert got[902].licences == "GPL-2.0-only" and got[903].licences == "proprietary" and got[904].n_sentences == got[905].n_sentences == 0
+    docs(spark, ODD + rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours = licenses.license_scans(spark.read.parquet(f"file://{tmp_path}/documents.parquet"))
+    assert sorted(map(str, con.execute(f"SELECT {', '.join(ours.columns)} FROM ({licenses.sql()})").fetchall())) == sorted(str(tuple(r)) for r in ours.collect())
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
