@@ -2,10 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sonogrid.llm.common import written
+from sonogrid.llm.common import scratch
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same values as the links a, b: each value with the first of its class."""
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(values))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(values))
+    return values[other], values[root[other]]
+
+
+def columns(x: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in x.columns]
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each batch as a forest."""
+    for x in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(*columns(x))], ["u", "v"])
+
+
+def starred(large: bool):
+    """For mapInArrow over partitions sorted by vertex and neighbour: links of neighbours with the least one. Large: of larger neighbours, with the least one or the vertex itself; else of all, and the vertex."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vertex, least = None, None
+        for x in batches:
+            key, other = columns(x)
+            if not len(key):
+                continue
+            head = np.concatenate(([True], key[1:] != key[:-1]))
+            first = other[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+            # A vertex of very many neighbours goes on in the next batch.
+            if vertex is not None and key[0] == vertex:
+                first[key == vertex] = least
+            vertex, least = key[-1], first[-1]
+            to = np.minimum(key, first) if large else first
+            keep = other > key if large else other != to
+            a, b = other[keep], to[keep]
+            if not large:
+                a, b = np.concatenate([a, key[head]]), np.concatenate([b, to[head]])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(a, b)], ["u", "v"])
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,16 +72,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Large and small stars in turn: each round points every vertex's larger neighbours,
     then every vertex, at the smallest one known, and the table of links is written
-    between rounds. Rounds grow with the logarithm of the longest chain.
+    between rounds. Rounds grow with the logarithm of the longest chain, and each
+    shuffles twice; a vertex's neighbours pass in order and are never held together.
     """
-    stars, before = written(links.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()), None
-    while True:
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
+    spark, kind = links.sparkSession, "u long, v long"
+
+    def saved(df: DataFrame) -> tuple[DataFrame, dict]:
+        path, seen = scratch(spark), Observation()
+        df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+        return spark.read.schema(kind).parquet(path), seen.get
+
+    stars, now = saved(links.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").mapInArrow(contracted, kind))
+    before = None
+    while now != before:
         before = now
-        both = stars.union(stars.select("v", "u"))
-        large = both.join(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        stars = written(small.where("v <> m").selectExpr("v AS u", "m AS v").union(small.selectExpr("u", "m AS v")).distinct())
+        both = stars.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
+        large = both.repartition("u").sortWithinPartitions("u", "v").mapInArrow(starred(True), kind)
+        stars, now = saved(large.repartition("u").sortWithinPartitions("u", "v").mapInArrow(starred(False), kind))
     return stars.selectExpr("u AS vertex", "v AS root").union(stars.selectExpr("v AS vertex", "v AS root")).distinct()

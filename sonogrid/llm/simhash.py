@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonogrid.llm.common import LOWER, blocks, whole, written
-from sonogrid.llm.components import components
+from sonogrid.llm.components import components, forest
 
 SHINGLE, RADIUS, EQUAL, TILE, SEED = 3, 3, 2, 4096, 42
 #: Words of 64 bits in a wide fingerprint, bits of a lane at least, and the share of pairs at the similarity that may have no equal lane.
@@ -110,26 +110,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1) -> Dat
     return whole(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in columns))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same values as the links a, b: each value with the first of its class."""
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    root = np.arange(len(values))
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    other = root != np.arange(len(values))
-    return values[other], values[root[other]]
-
-
 def spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Places of links that join the same values as all links a, b do, the nearest ones first (Boruvka)."""
     order = np.argsort(far, kind="stable")

@@ -195,7 +195,7 @@ def test_links_below_the_similarity_do_not_count(spark):
     assert len({want[5000 + i] for i in range(10)}) == 10 and want[6001] == 6000
 
 
-@pytest.mark.parametrize("pairs", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 52), (60, 52)], [(-5, 3), (3, 9), (3, 9)]])
+@pytest.mark.parametrize("pairs", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 52), (60, 52)], [(-5, 3), (3, 9), (3, 9)], [(i, i + 1) for i in range(0, 3000)] + [(5000 + (i * 7919) % 900, 5000 + (i * 104729) % 900) for i in range(700)]])
 def test_components(spark, pairs):
     got = {r.vertex: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == roots([p for p in pairs if p[0] != p[1]], {v for p in pairs if p[0] != p[1] for v in p})
