@@ -77,3 +77,8 @@ def warmup_cosine(step: Column, base: float, warmup: int, total_steps: int, leas
     """A learning rate that rises in line and falls by half a cosine."""
     progress = (step - warmup) / float(max(1, total_steps - warmup))
     return F.when(step < warmup, base * step / max(1, warmup)).otherwise(least + (base - least) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * F.least(progress, F.lit(1.0)))))
+
+
+def repeated(x: Column, times: int, length: int) -> Column:
+    """Each value repeated `times` times, as patches are for their frames, and the whole cut to `length`."""
+    return F.slice(F.flatten(F.transform(x, lambda v: F.array_repeat(v, times))), 1, length)

@@ -40,16 +40,20 @@ def runs(rows: DataFrame, key: str, order: str, label: str) -> DataFrame:
 def paint(units: DataFrame, key: str, start: str, end: str, label: str, ordinal: str, silence: int | None = 0) -> DataFrame:
     """Who is seen where intervals are painted over each other in the order of ordinal: runs (key, start, end, label) of whole units.
 
-    A sweep: the boundaries of a key cut it into segments, a segment shows the covering interval of the highest
-    ordinal, and equal neighbours are joined. Nothing is expanded to bins. Gaps get the silence label (None: no row).
-    Intervals that are empty paint nothing. Segments are matched with intervals by a window over the boundaries'
-    places, so that a key's work grows with its overlaps.
+    The boundaries of a key cut it into segments, a segment shows the covering interval of the highest ordinal, and
+    equal neighbours are joined. Nothing is expanded to bins. Gaps get the silence label (None: no row). Intervals that
+    are empty paint nothing. Segments meet intervals by key and bucket of time; a key's buckets are as wide as its mean
+    interval or eight times its mean distance between onsets, so that its work grows with its intervals and overlaps.
     """
     live = units.where(F.col(end) > F.col(start)).select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_l"), F.col(ordinal).alias("_o"))
-    points = live.select(key, F.explode(F.array("_s", "_e")).alias("_p")).distinct()
+    whole = Window.partitionBy(key)
+    width = F.greatest(F.avg(F.col("_e") - F.col("_s")).over(whole), (F.max("_e").over(whole) - F.min("_s").over(whole)) * 8.0 / F.count("*").over(whole))
+    live = live.withColumn("_w", width)
+    points = live.select(key, "_w", F.explode(F.array("_s", "_e")).alias("_p")).distinct()
     cuts = points.withColumn("_q", F.lead("_p").over(Window.partitionBy(key).orderBy("_p"))).where(F.col("_q").isNotNull())
-    seen = range_join(cuts, live, key, ("_p", "_q"), ("_s", "_e"))
+    seen = range_join(cuts, live, key, ("_p", "_q"), ("_s", "_e"), F.col("_w"), ["_w"])
     top = seen.groupBy(key, "_p", "_q").agg(F.max_by("_l", "_o").alias("_l"))
+    cuts = cuts.drop("_w")
     if silence is not None:
         top = cuts.join(top, [key, "_p", "_q"], "left").withColumn("_l", F.coalesce("_l", F.lit(silence)))
     w = Window.partitionBy(key).orderBy("_p")
@@ -58,11 +62,12 @@ def paint(units: DataFrame, key: str, start: str, end: str, label: str, ordinal:
     return joined.groupBy(key, "_run", "_l").agg(F.min("_p").alias("start"), F.max("_q").alias("end")).select(key, "start", "end", F.col("_l").alias("label"))
 
 
-def range_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: float | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: float | Column | None = None, shared: list[str] | None = None) -> DataFrame:
     """Pairs of the same key whose half-open spans overlap.
 
     With a width, both sides are dealt into buckets of time and joined by key and bucket, so that a key with very many
-    rows is no longer one group; a pair is kept in the first bucket that both reach.
+    rows is no longer one group; a pair is kept in the first bucket that both reach. A width that depends on the key is
+    a column that both sides have (shared), and leaves the result.
     """
     (a, b), (c, d) = left_span, right_span
     overlap = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
@@ -73,13 +78,18 @@ def range_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str
         first = F.floor(F.col(lo) / width)
         return df.where(F.col(hi) > F.col(lo)).withColumn(name, first).withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col(hi) / width) - 1))))
 
-    both = dealt(left, a, b, "_first_l").join(dealt(right, c, d, "_first_r"), [key, "_bucket"])
+    both = dealt(left, a, b, "_first_l").drop(*(shared or [])).join(dealt(right, c, d, "_first_r").drop(*(shared or [])), [key, "_bucket"])
     return both.where(overlap & (F.col("_bucket") == F.greatest("_first_l", "_first_r"))).drop("_bucket", "_first_l", "_first_r")
 
 
 def densest_window(units: DataFrame, key: str, onset: str, width: float, last: Column) -> DataFrame:
-    """For each key the start, of those at an onset (kept within [0, last - width]), of the window [start, start + width] with most onsets; the first of equal ones."""
-    starts = units.withColumn("_start", F.greatest(F.lit(0.0), F.least(F.col(onset), last - width))).select(key, "_start").distinct()
-    counted = starts.join(units.select(key, onset), key).where(F.col(onset).between(F.col("_start"), F.col("_start") + width)).groupBy(key, "_start").agg(F.count("*").alias("n"))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "_start"))
-    return counted.withColumn("_k", first).where("_k = 1").select(key, F.col("_start").alias("start"), "n")
+    """For each key the start, of those at an onset (kept within [0, last - width]), of the window [start, start + width] with most onsets; the first of equal ones.
+
+    Starts and onsets stand in one line: the onsets of a window are a count over a range of it.
+    """
+    starts = units.select(key, F.greatest(F.lit(0.0), F.least(F.col(onset), last - width)).alias("start"))
+    points = units.select(key, F.col(onset).alias("start"), F.lit(1).alias("_one")).union(starts.withColumn("_one", F.lit(0)))
+    within = F.sum("_one").over(Window.partitionBy(key).orderBy("start").rangeBetween(0, width))
+    counted = points.withColumn("n", within).where("_one = 0")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "start"))
+    return counted.withColumn("_k", first).where("_k = 1").select(key, "start", "n")

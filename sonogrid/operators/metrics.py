@@ -39,3 +39,23 @@ def macro(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Mean F1 over all classes, and the error rate, in per cent."""
     out = counts.groupBy(*keys).agg(F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"), F.sum("tp").alias("_hit"), F.sum(F.col("tp") + F.col("fn")).alias("_all"))
     return out.select(*keys, "macro_f1", (100 * (1 - ratio(F.col("_hit"), F.col("_all")))).alias("error_rate"))
+
+
+def at_resolution(runs: DataFrame, keys: list[str], r: Column | int, label: str = "label", start: str = "start", end: str = "end") -> DataFrame:
+    """keys, label, majority and w of runs read in steps of r: w units of a run lie in steps whose label of most units is `majority`.
+
+    Steps that lie within one run need no vote, so a run gives a row for all of these and its ends a row each,
+    however long it is.
+    """
+    r = F.lit(r) if isinstance(r, int) else r
+    s, e = F.col(start), F.col(end)
+    first, last = F.ceil(s / r), F.floor(e / r)
+    low, high = F.floor(s / r), F.floor(e / r)
+    # The steps within a run stand together at the first of them, which no other run reaches.
+    inner = F.when(last > first, F.struct(first.alias("step"), ((last - first) * r).alias("w")))
+    left = F.when(s % r != 0, F.struct(low.alias("step"), (F.least(e, (low + 1) * r) - s).alias("w")))
+    right = F.when((e % r != 0) & ((high > low) | (s % r == 0)), F.struct(high.alias("step"), (e - F.greatest(s, high * r)).alias("w")))
+    parts = runs.select(*keys, label, F.explode(F.array_compact(F.array(inner, left, right))).alias("x")).select(*keys, label, "x.step", "x.w")
+    summed = parts.groupBy(*keys, "step", label).agg(F.sum("w").alias("w"))
+    vote = F.min_by(label, F.struct(-F.col("w"), F.col(label))).over(Window.partitionBy(*keys, "step"))
+    return summed.select(*keys, label, vote.alias("majority"), "w")

@@ -150,14 +150,20 @@ ZSCORE_FRAMES = f"WITH {v.PATCHES}, l AS (SELECT patch_ix, unnest(h) AS x, unnes
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """The likeliest class of the first eight numbers read as logits, repeated to time and cut, and padded vectors' sizes."""
-    p = v.patches(spark, d).withColumn("logits", F.slice("h", 1, 8))
-    soft = arrays.softmax(F.col("logits"))
-    return p.select("patch_ix", arrays.argmax(F.col("logits")).alias("pred"), F.round(F.array_max(soft), 6).alias("p"), F.round(1 / (1 + F.exp(-F.get("logits", F.lit(0)))), 6).alias("sigmoid"), F.size(arrays.pad_right(F.col("h"), 70, F.array_min("h"))).alias("padded"))
-
-
-PREDICTIONS = f"""WITH {v.PATCHES}, e AS (SELECT patch_ix, h[1] AS first, unnest(h[1:8]) AS x, unnest(range(0, 8)) AS c FROM v_patches)
-SELECT patch_ix, arg_min(c, row(-x, c)) AS pred, round(exp(max(x)) / sum(exp(x)), 6) AS p, round(1 / (1 + exp(-any_value(first))), 6) AS sigmoid, 70 AS padded FROM e GROUP BY patch_ix"""
+    """Of vectors read as logits the likeliest class and its share, a sigmoid, the vector padded with its least value, and its values repeated three times and cut."""
+    p = v.patches(spark, d)
+    total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda a, y: a + y), 6)
+    padded, repeated = arrays.pad_right(F.col("h"), 70, F.array_min("h")), arrays.repeated(F.col("h"), 3, 190)
+    return p.select(
+        "patch_ix", arrays.argmax(F.col("h")).alias("pred"), F.round(F.array_max(arrays.softmax(F.col("h"))), 6).alias("p"), F.round(1 / (1 + F.exp(-F.get("h", F.lit(0)))), 6).alias("sigmoid"),
+        F.size(padded).alias("padded"), F.round(F.get(padded, F.lit(69)), 6).alias("pad"), total(padded).alias("padded_sum"), F.size(repeated).alias("repeated"), F.round(F.get(repeated, F.lit(100)), 6).alias("repeated_100"), total(repeated).alias("repeated_sum"),
+    )
+
+
+PREDICTIONS = f"""WITH {v.PATCHES}, e AS (SELECT patch_ix, any_value(h) OVER (PARTITION BY patch_ix) AS h, x, c FROM (SELECT patch_ix, h, unnest(h) AS x, unnest(range(0, 64)) AS c FROM v_patches)),
+s AS (SELECT patch_ix, any_value(h) AS h, arg_min(c, row(-x, c)) AS pred, round(exp(max(x)) / sum(exp(x)), 6) AS p FROM e GROUP BY patch_ix)
+SELECT patch_ix, pred, p, round(1 / (1 + exp(-h[1])), 6) AS sigmoid, 70 AS padded, round(list_min(h), 6) AS pad, round(list_sum(h) + 6 * list_min(h), 6) AS padded_sum, 190 AS repeated, round(h[34], 6) AS repeated_100,
+       round(list_sum(list_transform(range(0, 190), lambda i: h[i // 3 + 1])), 6) AS repeated_sum FROM s"""
 
 
 def resampled(spark: SparkSession, d: str) -> DataFrame:

@@ -110,15 +110,18 @@ SELECT z.bird_id, stem, n, coalesce(s1, 'train') AS split, coalesce(p.c = q.c, f
 
 
 def placed_clips(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten units of each recording laid on a background of 5,000 ms without overlap."""
-    u = v.units(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy("ordinal"))).where("k <= 10")
-    u = u.select("stem", "ordinal", F.ceil(F.col("offset_ms") - F.col("onset_ms")).alias("ms"))
-    return sampling.placed(u, "stem", "ordinal", "ms", F.lit(5000), 23)
-
-
-PLACED_CLIPS = f"""WITH {v.UNITS}, u AS (SELECT stem, ordinal, ceil(offset_ms - onset_ms)::BIGINT AS ms, ('0x' || substr({_md5(23, "stem", "ordinal")}, 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM v_units QUALIFY row_number() OVER (PARTITION BY stem ORDER BY ordinal) <= 10),
-f AS (SELECT *, 5000 - sum(ms) OVER (PARTITION BY stem) AS free, coalesce(sum(ms) OVER (PARTITION BY stem ORDER BY u, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
-SELECT stem, ordinal, ms, (before + floor(u * free))::BIGINT AS onset FROM f WHERE free >= 0"""
+    """The units of each recording laid on backgrounds without overlap: in order, a new one after each 4,000 ms of units, of 5,000 ms or what its units take."""
+    u = v.units(spark, d).select("stem", "ordinal", F.ceil(F.col("offset_ms") - F.col("onset_ms")).alias("ms"))
+    before = F.coalesce(F.sum("ms").over(Window.partitionBy("stem").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    u = u.withColumn("background", F.concat_ws("#", "stem", F.floor(before / 4000)))
+    room = F.greatest(F.lit(5000), F.sum("ms").over(Window.partitionBy("background")))
+    return sampling.placed(u, "background", "ordinal", "ms", room, 23)
+
+
+PLACED_CLIPS = f"""WITH {v.UNITS}, a AS (SELECT stem, ordinal, ceil(offset_ms - onset_ms)::BIGINT AS ms FROM v_units), b AS (SELECT *, stem || '#' || floor(coalesce(sum(ms) OVER (PARTITION BY stem ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4000)::BIGINT AS background FROM a),
+u AS (SELECT *, ('0x' || substr({_md5(23, "background", "ordinal")}, 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b),
+f AS (SELECT *, greatest(5000 - sum(ms) OVER (PARTITION BY background), 0) AS free, coalesce(sum(ms) OVER (PARTITION BY background ORDER BY u, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+SELECT stem, ordinal, ms, background, (before + floor(u * free))::BIGINT AS onset FROM f"""
 
 
 def coverage_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -21,15 +21,15 @@ POOL_SECONDS = f"WITH {v.SPECS} SELECT bird_id, round(sum(n_timebins) * 64::DOUB
 
 
 def token_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """The bins (2 ms) that a file's first tokens (7 ms) stand for: rounded, within the file, one at least."""
-    s = v.specs(spark, d).where("n_timebins > 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    """The bins (2 ms) that a file's tokens (7 ms) stand for: rounded, within the file, one at least; their number and sums by file."""
+    s = v.specs(spark, d).where("n_timebins > 0").withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_timebins") * 2 - 1) / 7))))
     start = F.least(F.bround(F.col("t") * 7 / 2.0, 0).cast("bigint"), F.col("n_timebins") - 1)
     end = F.greatest(F.least(F.bround((F.col("t") + 1) * 7 / 2.0, 0).cast("bigint"), F.col("n_timebins")), start + 1)
-    return s.select("stem", "t", start.alias("start"), end.alias("end"))
+    return s.groupBy("stem").agg(F.count("*").alias("tokens"), F.sum(start).alias("starts"), F.sum(end).alias("ends"), F.sum((end - start) * (F.col("t") % 5)).alias("spans"))
 
 
-TOKEN_ALIGNMENT = f"""WITH {v.SPECS}, s AS (SELECT stem, n_timebins AS n, unnest(range(0, 20))::INT AS t FROM v_specs WHERE n_timebins > 0), b AS (SELECT stem, n, t, least(round_even(t * 7 / 2::DOUBLE, 0)::BIGINT, n - 1) AS start FROM s)
-SELECT stem, t, start, greatest(least(round_even((t + 1) * 7 / 2::DOUBLE, 0)::BIGINT, n), start + 1) AS "end" FROM b"""
+TOKEN_ALIGNMENT = f"""WITH {v.SPECS}, s AS (SELECT stem, n_timebins AS n, unnest(range(0, (n_timebins * 2 - 1) // 7 + 1)) AS t FROM v_specs WHERE n_timebins > 0), b AS (SELECT stem, n, t, least(round_even(t * 7 / 2::DOUBLE, 0)::BIGINT, n - 1) AS a FROM s),
+c AS (SELECT stem, t, a, greatest(least(round_even((t + 1) * 7 / 2::DOUBLE, 0)::BIGINT, n), a + 1) AS e FROM b) SELECT stem, count(*) AS tokens, sum(a)::BIGINT AS starts, sum(e)::BIGINT AS ends, sum((e - a) * (t % 5))::BIGINT AS spans FROM c GROUP BY stem"""
 
 
 def frame_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -46,10 +46,7 @@ SELECT ordinal, floor(onset_ms / total * 250)::BIGINT AS start, ceil(offset_ms /
 def micro_pooled(spark: SparkSession, d: str) -> DataFrame:
     """The best scores at three resolutions, pooled over all recordings, in long form."""
     truth = intervals.paint(_spans(spark, d), "stem", "s", "e", "label", "o").withColumn("r", F.explode(F.array(F.lit(5), F.lit(20), F.lit(80))))
-    cut = truth.withColumn("step", F.explode(F.sequence(F.floor(F.col("start") / F.col("r")), F.floor((F.col("end") - 1) / F.col("r")))))
-    w = (F.least("end", (F.col("step") + 1) * F.col("r")) - F.greatest("start", F.col("step") * F.col("r"))).alias("w")
-    cut = cut.select("r", "stem", "step", "label", w)
-    scored = cut.join(metrics.majority(cut, ["r", "stem", "step"], "label", F.col("w")), ["r", "stem", "step"])
+    scored = metrics.at_resolution(truth, ["r", "stem"], F.col("r"))
     out = metrics.macro(metrics.confusion(scored, ["r"], "label", "majority", 6, "w"), ["r"])
     return out.select("r", F.round("macro_f1", 6).alias("macro_f1"), F.round("error_rate", 6).alias("error_rate")).unpivot("r", ["macro_f1", "error_rate"], "metric", "value")
 
@@ -142,13 +139,14 @@ UNION ALL SELECT p_brand, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 
 
 def bernoulli_mask(spark: SparkSession, d: str) -> DataFrame:
-    """a third of a recording's first 30 bins, by a hash."""
-    s = v.specs(spark, d).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    """a third of a recording's bins, by a hash: how many, and the sum of their places."""
+    s = v.specs(spark, d).where("n_timebins > 0").withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_timebins") - 1)))
     p = F.conv(F.substring(shuffled(37, F.col("stem"), F.col("t")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return s.groupBy("stem").agg(F.count_if(p < 1 / 3).alias("masked"))
+    return s.groupBy("stem").agg(F.count_if(p < 1 / 3).alias("masked"), F.sum(F.when(p < 1 / 3, F.col("t")).otherwise(0)).alias("places"))
 
 
-BERNOULLI_MASK = f"WITH {v.SPECS}, s AS (SELECT stem, unnest(range(0, 30)) AS t FROM v_specs) SELECT stem, count(*) FILTER (('0x' || substr(md5('37|' || stem || '|' || t), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 1 / 3::DOUBLE) AS masked FROM s GROUP BY stem"
+BERNOULLI_MASK = f"""WITH {v.SPECS}, s AS (SELECT stem, unnest(range(0, n_timebins)) AS t FROM v_specs), p AS (SELECT stem, t, ('0x' || substr(md5('37|' || stem || '|' || t), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 1 / 3::DOUBLE AS m FROM s)
+SELECT stem, count(*) FILTER (m) AS masked, coalesce(sum(t) FILTER (m), 0)::BIGINT AS places FROM p GROUP BY stem"""
 
 
 def linear_probe(spark: SparkSession, d: str) -> DataFrame:

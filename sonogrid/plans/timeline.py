@@ -153,14 +153,7 @@ def dense_window(spark: SparkSession, d: str) -> DataFrame:
     """The two seconds of each recording with most onsets."""
     u = v.units(spark, d)
     u = u.join(u.groupBy("stem").agg(F.max("offset_ms").alias("last")), "stem")
-    starts = u.withColumn("start", F.greatest(F.lit(0.0), F.least("onset_ms", F.col("last") - 2000)))
-    # Starts and onsets in one line: a running count of onsets up to each place, taken at both ends of the window.
-    points = u.select("stem", F.col("onset_ms").alias("x"), F.lit(1).alias("one"))
-    points = points.union(starts.select("stem", F.col("start").alias("x"), F.lit(0).alias("one")))
-    upto = F.sum("one").over(Window.partitionBy("stem").orderBy("x").rangeBetween(0, 2000))
-    first = F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("n"), "x"))
-    counted = points.withColumn("n", upto).join(starts.select("stem", F.col("start").alias("x")).distinct(), ["stem", "x"])
-    return counted.withColumn("k", first).where("k = 1").select("stem", F.round("x", 6).alias("start"), "n")
+    return intervals.densest_window(u, "stem", "onset_ms", 2000, F.col("last")).select("stem", F.round("start", 6).alias("start"), "n")
 
 
 DENSE_WINDOW = f"""WITH {v.UNITS}, l AS (SELECT stem, max(offset_ms) AS last FROM v_units GROUP BY stem), s AS (SELECT DISTINCT u.stem, greatest(0, least(onset_ms, last - 2000)) AS s FROM v_units u JOIN l USING (stem)),
@@ -184,11 +177,7 @@ def resolution_limit_f1(spark: SparkSession, d: str) -> DataFrame:
     """
     r = 10
     truth = intervals.paint(_spans(spark, d), "stem", "s", "e", "label", "o")
-    cut = truth.withColumn("step", F.explode(F.sequence(F.floor(F.col("start") / r), F.floor((F.col("end") - 1) / r))))
-    w = (F.least("end", (F.col("step") + 1) * r) - F.greatest("start", F.col("step") * r)).alias("w")
-    cut = cut.select("stem", "step", "label", w)
-    best = metrics.majority(cut, ["stem", "step"], "label", F.col("w"))
-    scored = cut.join(best, ["stem", "step"]).join(v.units(spark, d).select("stem", "bird_id").distinct(), "stem")
+    scored = metrics.at_resolution(truth, ["stem"], r).join(v.units(spark, d).select("stem", "bird_id").distinct(), "stem")
     out = metrics.macro(metrics.confusion(scored, ["bird_id"], "label", "majority", len(v.TYPES) + 1, "w"), ["bird_id"])
     return out.select("bird_id", F.round("macro_f1", 6).alias("macro_f1"), F.round("error_rate", 6).alias("error_rate"))
 
@@ -245,15 +234,15 @@ CLASS_MAP = "WITH e AS (SELECT DISTINCT event_type FROM events) SELECT event_typ
 
 
 def bin_ms_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The milliseconds that each of a file's first bins stands for, at least one; the last bin reaches to the end."""
-    m = F.lit(0.7)
-    s = v.specs(spark, d).withColumn("n", F.least("n_timebins", F.lit(40).cast("bigint"))).where("n > 0").withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    start, end = time.bin_span_ms(F.col("t"), F.col("n"), m)
-    return s.select("stem", "t", start.alias("start"), end.alias("end"))
+    """The milliseconds that each of a file's bins stands for, at least one, the last bin to the end: their number, sums and reach by file."""
+    s = v.specs(spark, d).withColumnRenamed("n_timebins", "n").where("n > 0").withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    start, end = time.bin_span_ms(F.col("t"), F.col("n"), F.lit(0.7))
+    return s.groupBy("stem").agg(F.count("*").alias("bins"), F.sum(start).alias("starts"), F.sum(end).alias("ends"), F.sum((end - start) * (F.col("t") % 7)).alias("spans"), F.max(end).alias("reach"))
 
 
-BIN_MS_SPANS = f"""WITH {v.SPECS}, s AS (SELECT stem, least(n_timebins, 40) AS n FROM v_specs WHERE n_timebins > 0), t AS (SELECT stem, n, unnest(range(0, n)) AS t FROM s)
-SELECT stem, t, floor(t * 0.7::DOUBLE)::BIGINT AS start, greatest(CASE WHEN t = n - 1 THEN ceil(n * 0.7::DOUBLE) ELSE floor((t + 1) * 0.7::DOUBLE) END, floor(t * 0.7::DOUBLE) + 1)::BIGINT AS "end" FROM t"""
+BIN_MS_SPANS = f"""WITH {v.SPECS}, s AS (SELECT stem, n_timebins AS n FROM v_specs WHERE n_timebins > 0), t AS (SELECT stem, n, unnest(range(0, n)) AS t FROM s),
+b AS (SELECT stem, t, floor(t * 0.7::DOUBLE)::BIGINT AS a, greatest(CASE WHEN t = n - 1 THEN ceil(n * 0.7::DOUBLE) ELSE floor((t + 1) * 0.7::DOUBLE) END, floor(t * 0.7::DOUBLE) + 1)::BIGINT AS e FROM t)
+SELECT stem, count(*) AS bins, sum(a)::BIGINT AS starts, sum(e)::BIGINT AS ends, sum((e - a) * (t % 7))::BIGINT AS spans, max(e) AS reach FROM b GROUP BY stem"""
 
 
 def pairs_by_overlap(spark: SparkSession, d: str) -> DataFrame:
