@@ -380,7 +380,7 @@ def set_fingerprints(docs: DataFrame, shingle: int, similarity: float, width: in
 
 
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of links (a, b, far) whose components are in one partition each, the nearest that join the same."""
+    """Of the links (a, b, far) of a partition, the nearest that join the same: those of all partitions still hold the nearest that join all."""
     links = Candidates()
     for x in batches:
         links.add(*(x[c].to_numpy(zero_copy_only=False) for c in ("a", "b", "far")))
@@ -460,7 +460,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, widt
     sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in columns), F.first("first").alias("first"), F.min("key").alias("key")))
     links = written(close(sets, lane_keys(sets.count(), p, width), COMPARED, radius, tile, "first"))
     loose = written(components(links))
-    links = written(links.join(loose, F.col("a") == F.col("vertex")).select("a", "b", "far", "root").repartition("root").select("a", "b", "far").mapInArrow(nearest, "a long, b long, far long"))
+    # Links of a vertex meet in one task, not those of a component, however many pairs of lanes told of them.
+    links = written(links.repartition("a").mapInArrow(nearest, "a long, b long, far long"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, most=1 << 20):
