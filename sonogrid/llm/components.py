@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from sonogrid.llm.common import scratch
 
 
+#: Tasks that share the neighbours of one vertex; a set of them is a long.
+SALTS = 64
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the same values as the links a, b: each value with the first of its class."""
     values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -67,13 +71,23 @@ def starred(large: bool):
     return run
 
 
+def salted(both: DataFrame) -> DataFrame:
+    """u, salt and v of links told from both ends (u, v): a vertex's neighbours under salts, under each of them also the least one."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    least = both.groupBy("u").agg(F.min("v").alias("v"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("salts"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", F.col("salts"), s) == 1)
+    return both.select("u", salt.alias("salt"), "v").union(least.select("u", F.explode(held).alias("salt"), "v"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """vertex and root (the smallest reachable vertex) of all vertices of links (a, b: long); roots are listed with themselves.
 
     Large and small stars in turn: each round points every vertex's larger neighbours,
     then every vertex, at the smallest one known, and the table of links is written
-    between rounds. Rounds grow with the logarithm of the longest chain, and each
-    shuffles twice; a vertex's neighbours pass in order and are never held together.
+    between rounds. Rounds grow with the logarithm of the longest chain. A vertex's
+    neighbours pass in order and are never held together; the larger ones, up to a whole
+    component, are dealt under salts once the least is known by a sum over map tasks.
+    Of smaller ones a vertex has one for each batch of links at most.
     """
     spark, kind = links.sparkSession, "u long, v long"
 
@@ -87,6 +101,6 @@ def components(links: DataFrame) -> DataFrame:
     while now != before:
         before = now
         both = stars.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
-        large = both.repartition("u").sortWithinPartitions("u", "v").mapInArrow(starred(True), kind)
+        large = salted(both).repartition("u", "salt").sortWithinPartitions("u", "salt", "v").select("u", "v").mapInArrow(starred(True), kind)
         stars, now = saved(large.repartition("u").sortWithinPartitions("u", "v").mapInArrow(starred(False), kind))
     return stars.selectExpr("u AS vertex", "v AS root").union(stars.selectExpr("v AS vertex", "v AS root")).distinct()
