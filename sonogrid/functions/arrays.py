@@ -82,3 +82,9 @@ def warmup_cosine(step: Column, base: float, warmup: int, total_steps: int, leas
 def repeated(x: Column, times: int, length: int) -> Column:
     """Each value repeated `times` times, as patches are for their frames, and the whole cut to `length`."""
     return F.slice(F.flatten(F.transform(x, lambda v: F.array_repeat(v, times))), 1, length)
+
+
+def noisy(a: Column, scale: float, seed: int, *key: Column) -> Column:
+    """values with Gaussian noise of a standard deviation, the same in every run: two uniform hashes of the row's key and the place make a normal number."""
+    uniform = lambda i, k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *key, i), 11).cast("double") + 0.5) / 9007199254740992.0
+    return F.transform(a, lambda x, i: x + scale * F.sqrt(-2 * F.ln(uniform(i, 0))) * F.cos(2 * F.pi() * uniform(i, 1)))

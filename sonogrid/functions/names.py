@@ -97,3 +97,45 @@ def hash_int(key: Column) -> Column:
 def shuffled(seed: int, *key: Column) -> Column:
     """A sort key that puts rows in a reproducible random order."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key)))
+
+
+#: Species by name, with how they are shown.
+SPECIES = {"Canary": "Canary", "Zebra_Finch": "Zebra Finch", "Bengalese_Finch": "Bengalese Finch"}
+
+
+def canonical_species(text: Column) -> Column:
+    """A species' name, in whatever case, with spaces or underscores; null if it is none."""
+    known = F.create_map(*(F.lit(x) for name in SPECIES for x in (name.lower(), name)))
+    return F.try_element_at(known, F.lower(F.replace(F.trim(text), F.lit(" "), F.lit("_"))))
+
+
+def shown_species(text: Column) -> Column:
+    return F.replace(canonical_species(text), F.lit("_"), F.lit(" "))
+
+
+def train_folder(path: Column, noted: Column | None = None) -> tuple[Column, Column]:
+    """The bird and the seconds of a folder of training files, as texts; empty where the path doesn't tell.
+
+    The bird is the folder after 'classify', else after 'unit_detect'; 'all' below 'detect'; else the folder
+    that holds 'train', 'test' or 'val'. Seconds are in the last folder's name (train_2p5s), else as noted.
+    """
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    after = lambda word: F.get(parts, F.array_position(parts, F.lit(word)).cast("int"))
+    has = lambda word: F.array_contains(parts, word)
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    holder = F.when(last.isin("train", "test", "val"), F.try_element_at(parts, F.lit(-2)))
+    bird = F.when(has("classify"), after("classify")).when(has("unit_detect"), after("unit_detect")).when(has("detect"), "all")
+    seconds = F.replace(F.regexp_extract(last, "^train_(.+)s$", 1), F.lit("p"), F.lit("."))
+    told = F.lit("") if noted is None else F.coalesce(F.regexp_replace(noted, r"^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(bird, holder, F.lit("")), F.when(F.coalesce(seconds, F.lit("")) == "", told).otherwise(seconds)
+
+
+def general(x: Column, digits: int = 6) -> Column:
+    """A number as %g writes it: so many significant digits, no trailing zeros, with an exponent below 1e-4 and from 10^digits on. Halves of the last digit go up, as in Java, and not to even."""
+    sci = F.format_string(f"%.{digits - 1}e", x.cast("double"))
+    power = F.regexp_extract(sci, "e([+-][0-9]+)$", 1).try_cast("int")
+    fixed = F.call_function("format_string", F.concat(F.lit("%."), (digits - 1 - power).cast("string"), F.lit("f")), x.cast("double"))
+    short = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    mantissa, exponent = F.regexp_extract(sci, "^(.*)e", 1), F.regexp_extract(sci, "(e.*)$", 1)
+    rest = F.when(power.isNull(), F.replace(F.lower(sci), F.lit("infinity"), F.lit("inf"))).otherwise(F.concat(short(mantissa), exponent))
+    return F.when(x.isNotNull(), F.when(power.between(-4, digits - 1), short(fixed)).otherwise(rest))

@@ -58,3 +58,13 @@ def counted(df: DataFrame, observation: Observation) -> DataFrame:
     """The rows of with_reason() to keep; once they have been written, the observation tells how many were processed and skipped."""
     seen = df.observe(observation, F.count_if(F.col("skip_reason").isNull()).alias("processed"), F.count("skip_reason").alias("skipped"))
     return seen.where("skip_reason IS NULL").drop("skip_reason")
+
+
+def capped(df: DataFrame, group: str, order: list[str], rows: int | None = None, groups: int | None = None) -> DataFrame:
+    """The first rows of each group by `order`, of the first groups by name; None is no limit."""
+    if groups is not None:
+        first = df.select(group).distinct().orderBy(group).limit(groups)
+        df = df.join(F.broadcast(first), group, "left_semi")
+    if rows is None:
+        return df
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_k") <= rows).drop("_k")

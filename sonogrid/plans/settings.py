@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonogrid.functions import names
 from sonogrid.functions.names import shuffled
-from sonogrid.operators import intervals, metrics, models
+from sonogrid.operators import intervals, metrics, models, tables
 from sonogrid.plans.timeline import DENSE, _spans
 from sonogrid.sources import testviews as v
 
@@ -161,10 +161,52 @@ def principal_axes(spark: SparkSession, d: str) -> DataFrame:
     return models.coordinates(v.patches(spark, d), "h", 2).select("patch_ix", F.round("axis0", 6).alias("axis0"), F.round("axis1", 6).alias("axis1"))
 
 
+def species_names(spark: SparkSession, d: str) -> DataFrame:
+    """The species that a text names, and how it is shown; null if it names none."""
+    k = F.col("c_custkey") % 6
+    text = F.when(k == 0, "zebra finch").when(k == 1, " Canary").when(k == 2, "BENGALESE_FINCH").when(k == 3, "Zebra_Finch").when(k == 4, F.col("c_name"))
+    return v.table(spark, d, "customer").select("c_custkey", names.canonical_species(text).alias("species"), names.shown_species(text).alias("shown"))
+
+
+SPECIES_NAMES = """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Zebra_Finch' WHEN 1 THEN 'Canary' WHEN 2 THEN 'Bengalese_Finch' WHEN 3 THEN 'Zebra_Finch' END AS species,
+CASE c_custkey % 6 WHEN 0 THEN 'Zebra Finch' WHEN 1 THEN 'Canary' WHEN 2 THEN 'Bengalese Finch' WHEN 3 THEN 'Zebra Finch' END AS shown FROM customer"""
+
+
+def train_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Bird and training seconds of a folder, from its path or as noted beside it."""
+    key, size = F.col("o_orderkey").cast("string"), F.concat(F.lit("train_"), (F.col("o_orderkey") % 50).cast("string"), F.lit("p5s"))
+    k = F.col("o_orderkey") % 5
+    path = F.when(k == 0, F.concat(F.lit("/d/detect/classify/b"), key, F.lit("/"), size)).when(k == 1, F.concat(F.lit("d/unit_detect/b"), key)).when(k == 2, F.concat(F.lit("/d/detect/x/"), size)).when(k == 3, F.concat(F.lit("/d/canary/b"), key, F.lit("/train/"))).otherwise("")
+    bird, seconds = names.train_folder(path, F.when(k != 1, F.concat(key, F.lit(" "))))
+    return v.table(spark, d, "orders").select("o_orderkey", bird.alias("bird"), seconds.alias("seconds"))
+
+
+TRAIN_FOLDERS = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN 'b' || o_orderkey WHEN o_orderkey % 5 = 2 THEN 'all' ELSE '' END AS bird,
+CASE WHEN o_orderkey % 5 IN (0, 2) THEN (o_orderkey % 50) || '.5' WHEN o_orderkey % 5 = 1 THEN '' ELSE o_orderkey::VARCHAR END AS seconds FROM orders"""
+
+
+def number_texts(spark: SparkSession, d: str) -> DataFrame:
+    """numbers of many sizes as short texts."""
+    x = F.col("l_orderkey") / F.lit(7.0) * F.pow(F.lit(10.0), F.col("l_linenumber") * 3 - 12)
+    return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", names.general(F.col("l_discount")).alias("discount"), names.general(x).alias("value"))
+
+
+NUMBER_TEXTS = """SELECT l_orderkey, l_linenumber, printf('%g', l_discount::DOUBLE) AS discount, printf('%g', l_orderkey / 7.0::DOUBLE * pow(10.0::DOUBLE, l_linenumber * 3 - 12)) AS value FROM lineitem"""
+
+
+def capped_files(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 recordings, by path, of each of the first three birds."""
+    return tables.capped(v.specs(spark, d), "bird_id", ["stem"], 20, 3).select("bird_id", "stem")
+
+
+CAPPED_FILES = f"WITH {v.SPECS} SELECT bird_id, stem FROM v_specs WHERE bird_id IN (SELECT DISTINCT bird_id FROM v_specs ORDER BY bird_id LIMIT 3) QUALIFY row_number() OVER (PARTITION BY bird_id ORDER BY stem) <= 20"
+
+
 _ALL = {
     "A02_pool_seconds": (pool_seconds, POOL_SECONDS), "J11_token_alignment": (token_alignment, TOKEN_ALIGNMENT), "F13_frame_targets": (frame_targets, FRAME_TARGETS), "A10_micro_pooled": (micro_pooled, MICRO_POOLED), "P17_bird_ids": (bird_ids, BIRD_IDS),
     "P25_number_lists": (number_lists, NUMBER_LISTS), "P34_overrides": (overrides, OVERRIDES), "J07_mapped_labels": (mapped_labels, MAPPED_LABELS), "J08_listed_birds": (listed_birds, LISTED_BIRDS), "J02_chunks_of_stems": (chunks_of_stems, CHUNKS_OF_STEMS),
-    "U05_expected_found": (expected_found, EXPECTED_FOUND), "F31_bernoulli_mask": (bernoulli_mask, BERNOULLI_MASK),
+    "U05_expected_found": (expected_found, EXPECTED_FOUND), "F31_bernoulli_mask": (bernoulli_mask, BERNOULLI_MASK), "P11_species_names": (species_names, SPECIES_NAMES), "P16_train_folders": (train_folders, TRAIN_FOLDERS), "F26_number_texts": (number_texts, NUMBER_TEXTS),
+    "T13_capped_files": (capped_files, CAPPED_FILES),
 }
 #: Fitted models have no equivalent in SQL.
 QUERIES = {k: q for k, (q, _) in _ALL.items()} | {"M04_linear_probe": linear_probe, "M06_principal_axes": principal_axes}

@@ -173,3 +173,13 @@ def read_wav_manifest(spark: SparkSession, path: str) -> DataFrame:
     out = text.select(F.explode(entries).alias("e")).select(F.col("e.key").alias("stem"), F.col("e.value").alias("path"))
     n = out.groupBy("stem").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
     return n.where(F.assert_true(F.col("n") == 1, F.concat(F.lit("two paths for "), "stem")).isNull()).select("stem", "path")
+
+
+def of_bird(docs: DataFrame, bird: str | None) -> DataFrame:
+    """Documents with the recordings of a bird only, everything else as it was; without a bird all stay. None left is an error."""
+    if bird is None:
+        return docs
+    kept = docs.withColumn("recordings", F.filter("recordings", lambda r: r["recording"]["bird_id"] == bird))
+    if kept.where(F.size("recordings") > 0).isEmpty():
+        raise ValueError(f"no recordings of {bird}")
+    return kept

@@ -102,3 +102,27 @@ def windows_of(bundle: DataFrame) -> DataFrame:
         same = same & (F.size(p) == F.size("filenames"))
     checked = bundle.where(F.assert_true(same, "the arrays of a bundle differ in length").isNull())
     return checked.select("run_name", F.posexplode(F.arrays_zip("filenames", *parts)).alias("win_id", "w")).select("run_name", "win_id", F.col("w.filenames").alias("filename"), F.col("w.window_starts").alias("start"), F.col("w.window_lengths").alias("length"), "w.logits", "w.labels")
+
+
+def read_bundles(files: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """Arrays of .npz files: a row for each file and wanted name, with the array under the first of its keys that the file has: shape and values (row by row). A name without any of its keys, or a broken file, is an error in its row."""
+    schema = "stem string, name string, shape array<bigint>, values array<double>, error string"
+
+    def made(stem: str, data: bytes) -> Iterator[dict]:
+        try:
+            with np.load(io.BytesIO(data), allow_pickle=False) as held:
+                for name, keys in wanted.items():
+                    key = next((k for k in keys if k in held), None)
+                    a = None if key is None else np.asarray(held[key], np.float64)
+                    yield {"stem": stem, "name": name, "shape": None if a is None else list(a.shape), "values": None if a is None else a.ravel(), "error": f"none of {', '.join(keys)}" if a is None else None}
+        except Exception as e:
+            yield {"stem": stem, "name": None, "shape": None, "values": None, "error": f"{type(e).__name__}: {e}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("stem", pa.string()), ("name", pa.string()), ("shape", pa.list_(pa.int64())), ("values", pa.list_(pa.float64())), ("error", pa.string())])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for row in made(batch["stem"][k].as_py(), batch["content"][k].as_py()):
+                    yield pa.RecordBatch.from_pylist([row], kinds)
+
+    return files.select("stem", "content").mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from sonogrid import schemas
 from sonogrid.operators.tables import insert_only
 
 
@@ -68,3 +71,46 @@ def write_results(df: DataFrame, good: str, failed: str, error: str = "error") -
     """Rows without an error to one table, and the errors to a log."""
     df.where(F.col(error).isNull()).drop(error).write.mode("append").parquet(good)
     df.where(F.col(error).isNotNull()).select("stem", error).write.mode("append").csv(failed, sep="\t")
+
+
+def write_params(params: DataFrame, stats: DataFrame, path: str, key: str = "dataset") -> None:
+    """Each dataset's parameters with its statistics over what stood there, one JSON folder a dataset, keys in order; datasets that params lacks get statistics alone."""
+    both = params.alias("p").join(stats.alias("s"), key, "full")
+    names = sorted({*params.columns, *stats.columns} - {key})
+    merged = [F.coalesce(*(F.col(f"{side}.{n}") for side, df in (("s", stats), ("p", params)) if n in df.columns)).alias(n) for n in names]
+    text = both.select(key, F.to_json(F.struct(*merged)).alias("value"))
+    text.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(path)
+
+
+def write_filtered(docs: DataFrame, path: str) -> None:
+    """Documents as JSON, as read_annotations() takes them."""
+    docs.write.mode("overwrite").json(path)
+
+
+def write_bundle(rows: DataFrame, settings: DataFrame, path: str) -> None:
+    """Arrays as rows of Parquet and the settings they were made with as JSON beside them."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    settings.write.mode("overwrite").json(f"{path}/settings")
+
+
+def append_losses(df: DataFrame, path: str) -> None:
+    """A line for each step in the order of read_losses(), null fields blank."""
+    form = {"train_loss": "%.6f", "val_loss": "%.6f", "gnorm": "%.6f", "steps_per_sec": "%.2f", "samples_per_sec": "%.1f"}
+    names = [c.split()[0] for c in schemas.LOSSES.split(", ")]
+    cells = [F.when(F.col(c).isNotNull(), F.format_string(form[c], c)) if c in form else F.col(c).cast("string") for c in names]
+    df.select(F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in cells)).alias("value")).write.mode("append").text(path)
+
+
+def archive(spark: SparkSession, path: str) -> str | None:
+    """Moves what stands at a path to archive/<name>_<UTC time> beside it, and says where; None if nothing stands there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old = hadoop.Path(path)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(old):
+        return None
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
+    new = hadoop.Path(hadoop.Path(old.getParent(), "archive"), f"{old.getName()}_{stamp}")
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"{path} can't be moved to {new}")
+    return new.toString()

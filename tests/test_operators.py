@@ -194,3 +194,22 @@ def test_encoder_hook(spark):
 
     df = spark.createDataFrame([(1, [[1.0, 3.0], [5.0, 7.0]])], "w long, spec array<array<float>>")
     assert encoded(df, "w", "spec", lambda x: x.mean(axis=1)).first()["h"] == [2.0, 6.0]
+
+
+@pytest.mark.parametrize(("x", "want"), [(0.0, "0"), (1e-4, "0.0001"), (0.00001, "1e-05"), (100000.0, "100000"), (1234567.0, "1.23457e+06"), (-2.50, "-2.5"), (999999.5, "1e+06"), (float("-inf"), "-inf"), (None, None)])
+def test_general_numbers(spark, x, want):
+    assert one(spark, names.general(F.lit(x).cast("double"))) == want
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [("/a/detect/classify/b1/train_2p5s", ("b1", "2.5")), ("/a/unit_detect", ("", "9")), ("detect/x", ("all", "9")), ("/s/b7/val", ("b7", "9")), ("", ("", "9")), ("/s/b7", ("", "9")), (None, ("", "9"))],
+)
+def test_train_folders(spark, path, want):
+    assert tuple(spark.range(1).select(*names.train_folder(F.lit(path).cast("string"), F.lit("9\n"))).first()) == want
+
+
+def test_noise_is_normal_and_the_same_again(spark):
+    df = spark.range(200).select(arrays.noisy(F.array_repeat(F.lit(1.0), 100), 0.5, 3, F.col("id")).alias("a")).select(F.explode("a").alias("x"))
+    m = df.agg(F.mean("x").alias("mean"), F.stddev("x").alias("std"), F.kurtosis("x").alias("k"), F.sum("x").alias("s")).first()
+    assert abs(m.mean - 1) < 0.02 and abs(m["std"] - 0.5) < 0.02 and abs(m.k) < 0.15 and df.agg(F.sum("x")).first()[0] == m.s

@@ -190,3 +190,44 @@ def test_wav_manifest_with_two_paths(spark, tmp_path):
     (tmp_path / "m").write_text("a\t/x/a.wav\na\t/y/a.wav\n")
     with pytest.raises(Exception, match="two paths"):
         annotations.read_wav_manifest(spark, str(tmp_path / "m")).collect()
+
+
+def test_filtered_documents(spark, doc, tmp_path):
+    d = annotations.read_annotations(spark, doc)
+    sinks.write_filtered(annotations.of_bird(d, "b1"), str(tmp_path / "f"))
+    back = annotations.read_annotations(spark, str(tmp_path / "f"))
+    assert [r.stem for r in annotations.recordings(back).collect()] == ["a"] and back.first().metadata.units == "ms"
+    assert annotations.recordings(annotations.of_bird(d, None)).count() == 3
+    with pytest.raises(ValueError, match="b9"):
+        annotations.of_bird(d, "b9")
+
+
+def test_params_take_statistics(spark, tmp_path):
+    params = spark.createDataFrame([("x", 128, 0.5), ("y", 64, None)], "dataset string, mels int, mean double")
+    stats = spark.createDataFrame([("x", 1.5, 2.0), ("z", 3.0, 4.0)], "dataset string, mean double, std double")
+    sinks.write_params(params, stats, str(tmp_path / "p"))
+    got = {r.dataset: r.value for r in spark.read.text(str(tmp_path / "p")).collect()}
+    assert got == {"x": '{"mean":1.5,"mels":128,"std":2.0}', "y": '{"mels":64}', "z": '{"mean":3.0,"std":4.0}'}
+
+
+def test_npz_bundles(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", old=np.arange(6.0).reshape(2, 3), sr=np.array(32000))
+    (tmp_path / "b.npz").write_bytes(b"no")
+    got = files.read_bundles(files.discover(spark, str(tmp_path), r"\.npz$"), {"h": ["new", "old"], "sr": ["sr"], "z": ["z"]})
+    rows = {(r.stem, r.name): r for r in got.collect()}
+    assert rows["a", "h"].shape == [2, 3] and rows["a", "h"]["values"] == [0, 1, 2, 3, 4, 5] and rows["a", "sr"]["values"] == [32000]
+    assert rows["a", "z"].error == "none of z" and rows["b", None].error
+    sinks.write_bundle(got, spark.createDataFrame([(4,)], "patch int"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/rows")).count() == 4 and spark.read.json(str(tmp_path / "out/settings")).first().patch == 4
+
+
+def test_losses_and_archive(spark, tmp_path):
+    path = str(tmp_path / "runs/r1")
+    assert sinks.archive(spark, path) is None
+    rows = spark.createDataFrame([(1, 0.5, None, 1.0, 8, None, None), (2, 0.25, 0.75, 1.0, 16, 2.0, 3.0)], annotations.schemas.LOSSES)
+    for r in (1, 2):
+        sinks.append_losses(rows.where(f"step = {r}").coalesce(1), path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["1,0.500000,,1.000000,8,,", "2,0.250000,0.750000,1.000000,16,2.00,3.0"]
+    assert annotations.read_losses(spark, path).orderBy("step").collect() == rows.collect()
+    new = sinks.archive(spark, path)
+    assert "/runs/archive/r1_" in new and spark.read.text(new).count() == 2
