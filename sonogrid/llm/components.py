@@ -40,17 +40,40 @@ def columns(x: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in x.columns]
 
 
+class Links:
+    """Links found so far, cut down to a forest whenever they are many."""
+
+    def __init__(self, names: tuple[str, str] = ("a", "b"), most: int = 1 << 20):
+        self.names, self.most, self.n, self.a, self.b = names, most, 0, [], []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.n += len(a)
+        if self.n > self.most:
+            a, b = self.forest()
+            self.a, self.b, self.n = [a], [b], 0
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in self.forest()], list(self.names))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        return forest(np.concatenate([*self.a, np.zeros(0, np.int64)]), np.concatenate([*self.b, np.zeros(0, np.int64)]))
+
+
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each batch as a forest."""
+    """Links of a partition as a forest."""
+    links = Links(("u", "v"))
     for x in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(*columns(x))], ["u", "v"])
+        links.add(*columns(x))
+    yield links.batch()
 
 
 def starred(large: bool):
     """For mapInArrow over partitions sorted by vertex and neighbour: links of neighbours with the least one. Large: of larger neighbours, with the least one or the vertex itself; else of all, and the vertex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vertex, least = None, None
+        vertex, least, links = None, None, Links(("u", "v"))
         for x in batches:
             key, other = columns(x)
             if not len(key):
@@ -66,17 +89,20 @@ def starred(large: bool):
             a, b = other[keep], to[keep]
             if not large:
                 a, b = np.concatenate([a, key[head]]), np.concatenate([b, to[head]])
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(a, b)], ["u", "v"])
+            links.add(a, b)
+        yield links.batch()
 
     return run
 
 
-def salted(both: DataFrame) -> DataFrame:
-    """u, salt and v of links told from both ends (u, v): a vertex's neighbours under salts, under each of them also the least one."""
-    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
-    least = both.groupBy("u").agg(F.min("v").alias("v"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("salts"))
+def salted(stars: DataFrame) -> DataFrame:
+    """u, salt and v of links (u, v; v is smaller): each vertex's larger neighbours under salts, under each of them also its least smaller one."""
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    down = stars.select("u", F.col("v").alias("least"), F.lit(0).cast("long").alias("salts"))
+    up = stars.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("least"), F.call_function("shiftleft", F.lit(1).cast("long"), salt("u")).alias("salts"))
+    both = down.union(up).groupBy("u").agg(F.min("least").alias("v"), F.bit_or("salts").alias("salts")).where("v IS NOT NULL AND salts <> 0")
     held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", F.col("salts"), s) == 1)
-    return both.select("u", salt.alias("salt"), "v").union(least.select("u", F.explode(held).alias("salt"), "v"))
+    return stars.select(F.col("v").alias("u"), salt("u").alias("salt"), F.col("u").alias("v")).union(both.select("u", F.explode(held).alias("salt"), "v"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -87,7 +113,7 @@ def components(links: DataFrame) -> DataFrame:
     between rounds. Rounds grow with the logarithm of the longest chain. A vertex's
     neighbours pass in order and are never held together; the larger ones, up to a whole
     component, are dealt under salts once the least is known by a sum over map tasks.
-    Of smaller ones a vertex has one for each batch of links at most.
+    Of smaller ones a vertex has one for each partition of links at most, or for each forest of a partition with very many.
     """
     spark, kind = links.sparkSession, "u long, v long"
 
@@ -100,7 +126,6 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while now != before:
         before = now
-        both = stars.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
-        large = salted(both).repartition("u", "salt").sortWithinPartitions("u", "salt", "v").select("u", "v").mapInArrow(starred(True), kind)
+        large = salted(stars).repartition("u", "salt").sortWithinPartitions("u", "salt", "v").select("u", "v").mapInArrow(starred(True), kind)
         stars, now = saved(large.repartition("u").sortWithinPartitions("u", "v").mapInArrow(starred(False), kind))
     return stars.selectExpr("u AS vertex", "v AS root").union(stars.selectExpr("v AS vertex", "v AS root")).distinct()

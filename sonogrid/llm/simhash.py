@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonogrid.llm.common import LOWER, blocks, whole, written
-from sonogrid.llm.components import components, forest
+from sonogrid.llm.components import Links, components, forest
 
 SHINGLE, RADIUS, EQUAL, TILE, SEED = 3, 3, 2, 4096, 42
 #: Words of 64 bits in a wide fingerprint, bits of a lane at least, and the share of pairs at the similarity that may have no equal lane.
@@ -131,27 +131,6 @@ def spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
         label = new[label]
 
 
-class Links:
-    """Pairs found so far, cut down to a forest whenever they are many."""
-
-    def __init__(self, most: int = 1 << 20):
-        self.most, self.n, self.a, self.b = most, 0, [], []
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.a.append(a)
-        self.b.append(b)
-        self.n += len(a)
-        if self.n > self.most:
-            a, b = self.forest()
-            self.a, self.b, self.n = [a], [b], 0
-
-    def batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in self.forest()], ["a", "b"])
-
-    def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        return forest(np.concatenate([*self.a, np.zeros(0, np.int64)]), np.concatenate([*self.b, np.zeros(0, np.int64)]))
-
-
 class Candidates:
     """Pairs found so far with their distances, cut down to the nearest that join the same values whenever they are many."""
 
