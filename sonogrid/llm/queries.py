@@ -12,6 +12,7 @@ from sonogrid.llm.language_id import language_id
 from sonogrid.llm.packing import packing
 from sonogrid.llm.quality_classifier import quality_classifier
 from sonogrid.llm.quality_rules import quality_rules
+from sonogrid.llm.runs import run_digests
 from sonogrid.llm.simhash import simhash_groups
 from sonogrid.llm.suffix_dedup import suffix_dedup
 
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": lambda s, d: simhash_groups(documents(s, d)),
     "op9_license_scans": lambda s, d: licenses.license_scans(documents(s, d)),
     "op10_secret_scans": lambda s, d: secrets.secret_scans(documents(s, d)),
+    "op11_runs": lambda s, d: run_digests(documents(s, d)),
 }
 
 ORACLES: dict[str, str] = {
