@@ -21,7 +21,7 @@ def all_runs(words: list) -> list[tuple[int, int, int]]:
     for q in range(1, len(words) // 4 + 1):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], coded[q:] == coded[:-q], [0]))))
         for start, end in edges.reshape(-1, 2).tolist():
-            length, part = end - start + q, words[start : start + q]
+            length, part = end - start + q, words[start : end + q]
             if length >= max(6, 4 * q) and not any(part[p:] == part[:-p] for p in range(1, q)):
                 found.append((start, length, q))
     return sorted(found, key=lambda r: (r[0], r[2]))
