@@ -38,6 +38,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of scratch() that a later one has replaced."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Groups that are broadcast at most (some MB), and tasks over which the rows of one group are dealt where they are more.
+GROUPS, SALTS = 1 << 16, 16
+
+
+def grouped_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, most: int = GROUPS) -> DataFrame:
+    """rows joined with groups (one row for each key): broadcast if they are counted as few, else with the rows of a key dealt over SALTS tasks by the column `spread`."""
+    groups = written(groups)
+    if groups.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(groups), key)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sonogrid.llm import decontamination, licenses, secrets, url_filters
+from sonogrid.llm.codebooks import vector_codes
 from sonogrid.llm.common import documents
 from sonogrid.llm.language_id import language_id
 from sonogrid.llm.packing import packing
@@ -35,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scans": lambda s, d: licenses.license_scans(documents(s, d)),
     "op10_secret_scans": lambda s, d: secrets.secret_scans(documents(s, d)),
     "op11_runs": lambda s, d: run_digests(documents(s, d)),
+    "op13_vector_codes": lambda s, d: vector_codes(table(s, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
