@@ -57,6 +57,14 @@ def grouped_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, most
     return dealt.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
 
 
+def copies_join(rows: DataFrame, groups: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """rows joined with groups (a written table: one row for each key, and `copies`, the number of its rows). Keys with over one row in `share`, fewer than `share` by that, are broadcast; the others meet by a shuffle."""
+    total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    heavy = F.col("copies") * share > F.lit(total)
+    hot = F.broadcast(groups.where(heavy))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups.where(~heavy), key)).drop("copies")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,6 +10,7 @@ from sonogrid.llm import decontamination, licenses, secrets, url_filters
 from sonogrid.llm.codebooks import vector_codes
 from sonogrid.llm.common import documents
 from sonogrid.llm.language_id import language_id
+from sonogrid.llm.ngram_join import ngram_groups
 from sonogrid.llm.packing import packing
 from sonogrid.llm.quality_classifier import quality_classifier
 from sonogrid.llm.quality_rules import quality_rules
@@ -36,6 +37,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scans": lambda s, d: licenses.license_scans(documents(s, d)),
     "op10_secret_scans": lambda s, d: secrets.secret_scans(documents(s, d)),
     "op11_runs": lambda s, d: run_digests(documents(s, d)),
+    "op12_ngram_join": lambda s, d: ngram_groups(documents(s, d)),
     "op13_vector_codes": lambda s, d: vector_codes(table(s, d, "embeddings")),
 }
 

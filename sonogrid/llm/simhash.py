@@ -424,6 +424,25 @@ def compare_members(similarity: float):
     return run
 
 
+def settled(loose: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, members: int = MEMBERS, known: DataFrame | None = None) -> DataFrame:
+    """vertex and joined (a number that sets linked at the similarity share) of all sets that are linked.
+
+    loose: vertex and root of candidate components, of which no link leads out. links: candidates (a, b) that join each of them; they are checked
+    by their sets (id, set). Where that leaves a component in parts, all its sets are compared. known: links that are sure beforehand.
+    """
+    left, right = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    sure = written(links.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(checked(similarity), "a long, b long"))
+    sure = sure.union(known) if known is not None else sure
+    parts = components(sure).select(F.col("vertex").alias("v"), F.col("root").alias("part"))
+    placed = written(loose.join(parts, F.col("vertex") == F.col("v"), "left").select("root", F.col("vertex").alias("id"), F.coalesce("part", "vertex").alias("part")))
+    open_roots = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("root", F.ceil(F.col("n") / members).alias("tiles"))
+    left_over = salted_join(placed, open_roots, "root", "id").join(sets, "id")
+    dealt = left_over.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "part", "tile", "set")
+    more = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare_members(similarity), "a long, b long")
+    return components(sure.union(written(more))).select("vertex", F.col("root").alias("joined"))
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = WIDE, tile: int = TILE, members: int = MEMBERS) -> DataFrame:
     """One row for each document: doc_id, key (see text_key()) and root, a number that near-duplicates share.
 
@@ -449,16 +468,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, widt
     some = sets.join(loose, F.col("id") == F.col("vertex")).select("id", F.col("key").alias("own"))
     texts = whole(docs).withColumn("key", text_key(F.col("text"))).join(some, F.col("key") == F.col("own")).groupBy("id").agg(F.first("text").alias("text"))
     shingles = written(texts.mapInArrow(listed, "id long, set binary"))
-    left, right = (shingles.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    sure = written(links.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(checked(similarity), "a long, b long"))
-    parts = components(sure).select(F.col("vertex").alias("v"), F.col("root").alias("part"))
-    placed = written(loose.join(parts, F.col("vertex") == F.col("v"), "left").select("root", F.col("vertex").alias("id"), F.coalesce("part", "vertex").alias("part")))
-    open_roots = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("root", F.ceil(F.col("n") / members).alias("tiles"))
-    left_over = salted_join(placed, open_roots, "root", "id").join(shingles, "id")
-    dealt = left_over.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = dealt.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "part", "tile", "set")
-    more = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare_members(similarity), "a long, b long")
-    found = components(sure.union(written(more))).select("vertex", F.col("root").alias("joined"))
+    found = settled(loose, links, shingles, similarity, members)
     return own.join(found, F.col("id") == F.col("vertex"), "left").select("doc_id", "key", F.coalesce("joined", "id").alias("root"))
 
 
