@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonogrid.functions.names import shuffled
+from sonogrid.operators import windows
 from sonogrid.scratch import written
 
 
@@ -38,41 +41,67 @@ def count_split(df: DataFrame, group: str, key: str, share: float, seed: int = 0
     return df.withColumn("split", F.when(k <= wanted, "train").otherwise("test"))
 
 
-def best_subset(totals: DataFrame, key: str, size: str, share: float, most: int = 16) -> DataFrame:
-    """The keys whose sizes come closest to a share of the whole; of equal subsets the smaller, then the first by the keys' order (largest first).
+def fold_budget(df: DataFrame, group: str, order: list[str], size: str, budget: float, once: list[str] | None = None) -> DataFrame:
+    """Rows taken in order while they fit: one that doesn't is passed over, later smaller ones can still be taken. Of rows that are equal in `once`, the first in order counts.
 
-    All subsets of at most `most` keys are tried; more keys raise an error.
-    """
-    listed = totals.select(F.struct((-F.col(size)).alias("o"), F.col(key).alias("k"), F.col(size).alias("s")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("all"))
-    n = totals.count()
-    if n > most:
-        raise ValueError(f"{n} keys; subsets of at most {most} can be tried")
-    bit = lambda i: F.expr(f"shiftright(m, {i}) & 1")
-    sums = sum((bit(i) * F.get("all", F.lit(i))["s"] for i in range(n)), F.lit(0))
-    whole = sum((F.get("all", F.lit(i))["s"] for i in range(n)), F.lit(0))
-    subsets = listed.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1)))).select("all", "m", F.abs(sums - whole * share).alias("off"), F.bit_count("m").alias("count"), F.array(*(F.when(bit(i) == 1, i).otherwise(99) for i in range(n))).alias("_o"))
-    best = subsets.agg(F.min_by(F.struct("all", "m"), F.struct("off", "count", F.array_sort("_o"))).alias("b")).select("b.*")
-    chosen = F.filter(F.transform("all", lambda x, i: F.struct(x["k"].alias(key), x["s"].alias(size), (F.call_function("getbit", F.col("m").cast("bigint"), i) == 1).alias("in"))), lambda x: x["in"])
-    return best.select(F.explode(chosen).alias("c")).select(f"c.{key}", f"c.{size}")
-
-
-def fold_budget(df: DataFrame, group: str, order: list[str], size: str, budget: float) -> DataFrame:
-    """Rows taken in order while they fit: one that doesn't is passed over, later smaller ones can still be taken.
-
-    In rounds: up to the first row that doesn't fit a running sum tells all; after it only rows that fit the rest stay.
+    In rounds, each for what is left of the budget: rows of more than half of it can be taken once, and until the others sum up to
+    over half of it, all these are taken. So a round settles all rows up to the first of both events and leaves less than half of what was left: rounds grow with the logarithm
+    of the budget over the smallest size. A round's rows are a table, which the next one replaces.
     """
+    if once:
+        rest = [c for c in df.columns if c not in once] or once
+        df = df.groupBy(*once).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*once, "_r.*").select(*df.columns)
     w = Window.partitionBy(group).orderBy(*order)
-    rest, taken = written(df.withColumn("_left", F.lit(float(budget))).where(F.col(size) <= budget)), None
+    until, slack = w.rowsBetween(Window.unboundedPreceding, -1), 1e-9
+    rest, rounds = written(df.withColumn("_left", F.lit(budget).cast("double")).where(F.col(size) <= budget + slack)), []
     while not rest.isEmpty():
-        summed = rest.withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_over", F.max((F.col("_sum") > F.col("_left") + 1e-9).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        round_ = written(summed)
-        now = round_.where("_over = 0").drop("_left", "_sum", "_over")
-        taken = now if taken is None else taken.unionByName(now)
-        used = round_.where("_over = 0").groupBy(group).agg(F.sum(size).alias("_used"))
-        after = round_.where("_over = 1").withColumn("_first", F.row_number().over(w)).where("_first > 1")
-        left = F.col("_left") - F.coalesce("_used", F.lit(0.0))
-        rest = written(after.join(used, group, "left").withColumn("_left", left).where(F.col(size) <= F.col("_left") + 1e-9).drop("_used", "_sum", "_over", "_first"))
-    return taken if taken is not None else df.limit(0)
+        small = F.col(size) * 2 <= F.col("_left")
+        before = F.coalesce(F.sum(F.when(small, F.col(size))).over(until), F.lit(0))
+        fits = ~small & (F.col(size) + F.col("_before") <= F.col("_left") + slack)
+        # Rows up to the event, that row too: nothing before it has left less than half.
+        seen = F.coalesce(F.max(F.when(F.col("_fits") | ((F.col("_before") + F.when(small, F.col(size)).otherwise(0)) * 2 > F.col("_left")), 1).otherwise(0)).over(until), F.lit(0))
+        marked = written(rest.withColumn("_before", before).withColumn("_fits", fits).withColumn("_over", seen).withColumn("_taken", (F.col("_over") == 0) & (small | F.col("_fits"))))
+        rounds.append(marked.where("_taken").select(*df.columns))
+        used = marked.where("_taken").groupBy(group).agg(F.sum(size).alias("_used"))
+        after = marked.where("_over = 1").join(used, group, "left").withColumn("_left", (F.col("_left") - F.coalesce("_used", F.lit(0))).cast("double"))
+        rest = written(after.where(F.col(size) <= F.col("_left") + slack).select(*df.columns, "_left"))
+    return reduce(DataFrame.unionByName, rounds, df.limit(0)) if rounds else df.limit(0)
+
+
+def unit_windows(planned: DataFrame, group: str, order: list[Column], budget: Column | int) -> DataFrame:
+    """planned with width: windows shrunk in order, never below their unit, until those of a group are within the budget or all are as small as can be.
+
+    planned: group, unit_bins, window_bins. What is too much is shared out by a running sum of what each window can give.
+    """
+    w = Window.partitionBy(group)
+    loose = F.col("window_bins") - F.col("unit_bins")
+    excess = F.sum("window_bins").over(w) - budget
+    before = F.coalesce(F.sum(loose).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return planned.withColumn("width", F.col("window_bins") - F.greatest(F.lit(0), F.least(loose, excess - before)))
+
+
+def covering_sample(planned: DataFrame, files: DataFrame, group: str, key: str, total: str, budget: int, seed: int = 0, truncate: bool = True, whole: bool = False) -> DataFrame:
+    """Parts of files (group, key, unit, start, end) within a budget of bins for each group, with every unit: a window for each, then other files in random order, the last one cut if `truncate`.
+
+    planned: group, unit, key, on, off (bins of the unit in its file), total (bins of the file), window_bins. files: group, key, total. Windows are shrunk as in unit_windows() and centred on their unit;
+    unit is null for files that fill up. With `whole`, the files of the units are taken whole, each once, in the units' order; the one that passes the budget is cut around its unit.
+    Units alone can pass the budget: all keep their span.
+    """
+    on = F.least(F.greatest("on", F.lit(0)), F.col(total) - 1)
+    units = planned.withColumn("on", on).withColumn("off", F.least(F.greatest(F.col("off"), F.col("on") + 1), F.col(total))).withColumn("unit_bins", F.col("off") - F.col("on"))
+    units = units.withColumn("window_bins", F.least(F.greatest("window_bins", "unit_bins"), F.col(total)))
+    if whole:
+        first = units.withColumn("_k", F.row_number().over(Window.partitionBy(group, key).orderBy("unit"))).where("_k = 1")
+        taken = windows.within_budget(first, [group], [F.col("unit")], total, budget, truncate)
+        start, end = around(F.col("on"), F.col("off"), F.col("taken"), F.col(total))
+    else:
+        taken = unit_windows(units, group, [shuffled(seed, F.col("unit"), F.col(key)), F.col("unit")], F.lit(budget))
+        start, end = around(F.col("on"), F.col("off"), F.col("width"), F.col(total))
+    parts = written(taken.select(group, key, "unit", start.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
+    left = files.select(group).distinct().join(parts.groupBy(group).agg(F.sum(F.col("end") - F.col("start")).alias("_used")), group, "left").select(group, (F.lit(budget) - F.coalesce("_used", F.lit(0))).alias("_room"))
+    others = files.where(F.col(total) > 0).join(units.select(group, key).distinct(), [group, key], "left_anti").join(left.where("_room > 0"), group)
+    more = windows.within_budget(others, [group], [shuffled(seed + 1, F.col(key)), F.col(key)], total, F.col("_room"), truncate)
+    return parts.unionByName(more.select(group, key, F.lit(None).cast(parts.schema["unit"].dataType).alias("unit"), F.lit(0).cast("bigint").alias("start"), F.col("taken").cast("bigint").alias("end")))
 
 
 def cover_split(files: DataFrame, units: DataFrame, group: str, key: str, size: str, test: float, train: float, seed: int = 0) -> DataFrame:
@@ -117,3 +146,11 @@ def centred(onset: Column, offset: Column, width: int, total: Column) -> tuple[C
     start = F.greatest(F.lit(0).cast("bigint"), F.least(mid - width // 2, total - width))
     start = F.when(onset < start, onset).otherwise(start)
     return start, F.least(start + width, total)
+
+
+def around(onset: Column, offset: Column, width: Column, total: Column) -> tuple[Column, Column]:
+    """A window of `width` bins (the unit's at least) around a unit, kept within the file and holding the whole unit."""
+    mid = F.floor((onset + offset) / 2)
+    start = F.greatest(F.lit(0), F.least(mid - F.floor(width / 2), total - width))
+    start = F.when(onset < start, onset).when(offset > start + width, F.greatest(F.lit(0), offset - width)).otherwise(start)
+    return start, F.least(start + width, total)

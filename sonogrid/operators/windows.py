@@ -51,7 +51,7 @@ def vote(rows: DataFrame, key: str, order: str, flag: str, width: int) -> Column
     return (F.sum(flag).over(Window.partitionBy(key).orderBy(order).rowsBetween(-half, half - 1)) > half).cast("int")
 
 
-def within_budget(rows: DataFrame, key: list[str], order: list[Column], size: str, budget: float, truncate: bool = True) -> DataFrame:
+def within_budget(rows: DataFrame, key: list[str], order: list[Column], size: str, budget: float | Column, truncate: bool = True) -> DataFrame:
     """The first rows of each key up to the budget, with taken; the row that passes it is cut, or left out, and is the last."""
     w = Window.partitionBy(*key).orderBy(*order) if key else Window.orderBy(*order)
     before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

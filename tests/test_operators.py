@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonogrid.functions import arrays, names, time
-from sonogrid.operators import intervals, metrics, sampling, tables, windows
+from sonogrid.operators import intervals, metrics, sampling, splits, tables, windows
 from sonogrid.plans import sampling as plans
 
 
@@ -149,9 +149,9 @@ def test_placed_clips_never_overlap(spark):
 
 def test_best_subset_and_its_guard(spark):
     df = spark.createDataFrame([(c, n) for c, n in zip("abcd", (9, 5, 4, 2))], "k string, n int")
-    assert sorted(r.k for r in sampling.best_subset(df, "k", "n", 0.55).collect()) == ["a", "d"]
+    assert sorted(r.k for r in splits.best_subset(df, "k", "n", 0.55).collect()) == ["a", "d"]
     with pytest.raises(ValueError, match="at most"):
-        sampling.best_subset(df, "k", "n", 0.5, most=3)
+        splits.best_subset(df, "k", "n", 0.5, most=3)
 
 
 def test_tables(spark):
