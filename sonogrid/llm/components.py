@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sonogrid.llm.common import scratch
+from sonogrid.llm.common import removed, scratch
 
 
-#: Tasks that share the neighbours of one vertex; a set of them is a long.
-SALTS = 64
+#: A vertex with more than one link in so many as its smaller end is hot: there are fewer of them.
+SHARE = 1024
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,63 +69,56 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links.batch()
 
 
-def starred(large: bool):
-    """For mapInArrow over partitions sorted by vertex and neighbour: links of neighbours with the least one. Large: of larger neighbours, with the least one or the vertex itself; else of all, and the vertex."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vertex, least, links = None, None, Links(("u", "v"))
-        for x in batches:
-            key, other = columns(x)
-            if not len(key):
-                continue
-            head = np.concatenate(([True], key[1:] != key[:-1]))
-            first = other[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-            # A vertex of very many neighbours goes on in the next batch.
-            if vertex is not None and key[0] == vertex:
-                first[key == vertex] = least
-            vertex, least = key[-1], first[-1]
-            to = np.minimum(key, first) if large else first
-            keep = other > key if large else other != to
-            a, b = other[keep], to[keep]
-            if not large:
-                a, b = np.concatenate([a, key[head]]), np.concatenate([b, to[head]])
-            links.add(a, b)
-        yield links.batch()
-
-    return run
-
-
-def salted(stars: DataFrame) -> DataFrame:
-    """u, salt and v of links (u, v; v is smaller): each vertex's larger neighbours under salts, under each of them also its least smaller one."""
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    down = stars.select("u", F.col("v").alias("least"), F.lit(0).cast("long").alias("salts"))
-    up = stars.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("least"), F.call_function("shiftleft", F.lit(1).cast("long"), salt("u")).alias("salts"))
-    both = down.union(up).groupBy("u").agg(F.min("least").alias("v"), F.bit_or("salts").alias("salts")).where("v IS NOT NULL AND salts <> 0")
-    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", F.col("salts"), s) == 1)
-    return stars.select(F.col("v").alias("u"), salt("u").alias("salt"), F.col("u").alias("v")).union(both.select("u", F.explode(held).alias("salt"), "v"))
+def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over partitions sorted by u and v: links of each u and of its smaller neighbours with the least of these."""
+    vertex, least, links = None, None, Links(("u", "v"))
+    for x in batches:
+        key, other = columns(x)
+        if not len(key):
+            continue
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        first = other[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+        # A vertex of very many neighbours goes on in the next batch.
+        if vertex is not None and key[0] == vertex:
+            first[key == vertex] = least
+        vertex, least = key[-1], first[-1]
+        rest = other != first
+        links.add(np.concatenate([other[rest], key[head]]), np.concatenate([first[rest], first[head]]))
+    yield links.batch()
+
+
+def lowered(stars: DataFrame, n: int) -> DataFrame:
+    """Of n links (u, v; v is smaller), each with the smaller end's own least neighbour in its place, if it has one.
+
+    Every link meets that neighbour once, by its smaller end. Ends of more than one link in SHARE, fewer than SHARE, are broadcast with theirs.
+    """
+    least = stars.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("least"))
+    hot = stars.groupBy("v").agg(F.count("*").alias("links")).where(F.col("links") * SHARE > n).select("v")
+    named = F.broadcast(hot.join(least, "v", "left"))
+    met = stars.join(named, "v").unionByName(stars.join(F.broadcast(hot), "v", "left_anti").join(least, "v", "left"))
+    return met.select("u", F.coalesce("least", "v").alias("v"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """vertex and root (the smallest reachable vertex) of all vertices of links (a, b: long); roots are listed with themselves.
 
-    Large and small stars in turn: each round points every vertex's larger neighbours,
-    then every vertex, at the smallest one known, and the table of links is written
-    between rounds. Rounds grow with the logarithm of the longest chain. A vertex's
-    neighbours pass in order and are never held together; the larger ones, up to a whole
-    component, are dealt under salts once the least is known by a sum over map tasks.
-    Of smaller ones a vertex has one for each partition of links at most, or for each forest of a partition with very many.
+    Large and small stars in turn: each round points every vertex's larger neighbours, then every vertex
+    and its smaller ones, at the smallest one known, and the table of links is written between rounds, in place of the one before.
+    Rounds grow with the logarithm of the longest chain. A round shuffles each link by its smaller end, by its
+    larger one, and for two sums that map tasks begin. A vertex's smaller neighbours pass in order and are never held together;
+    it has one for each partition of links at most, or for each forest of a partition with very many.
     """
     spark, kind = links.sparkSession, "u long, v long"
 
-    def saved(df: DataFrame) -> tuple[DataFrame, dict]:
+    def saved(df: DataFrame) -> tuple[DataFrame, dict, str]:
         path, seen = scratch(spark), Observation()
         df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
-        return spark.read.schema(kind).parquet(path), seen.get
+        return spark.read.schema(kind).parquet(path), seen.get, path
 
-    stars, now = saved(links.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").mapInArrow(contracted, kind))
+    stars, now, path = saved(links.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").mapInArrow(contracted, kind))
     before = None
     while now != before:
-        before = now
-        large = salted(stars).repartition("u", "salt").sortWithinPartitions("u", "salt", "v").select("u", "v").mapInArrow(starred(True), kind)
-        stars, now = saved(large.repartition("u").sortWithinPartitions("u", "v").mapInArrow(starred(False), kind))
+        before, old = now, path
+        stars, now, path = saved(lowered(stars, now["n"]).repartition("u").sortWithinPartitions("u", "v").mapInArrow(starred, kind))
+        removed(spark, old)
     return stars.selectExpr("u AS vertex", "v AS root").union(stars.selectExpr("v AS vertex", "v AS root")).distinct()

@@ -32,15 +32,13 @@ from pyspark.sql import functions as F
 
 from sonogrid.llm.common import LOWER, blocks, copies_join, whole, written
 from sonogrid.llm.components import components
-from sonogrid.llm.simhash import Candidates, checked, dense_spanning, mixed, nearest, settled
+from sonogrid.llm.simhash import FEW, Candidates, checked, dense_spanning, mixed, nearest, settled, spread_links, texts_of
 
 SHINGLE, PERCENT = 4, 85
 #: Documents that hold a common token at least, and common tokens that are sent to all tasks at most (nine bytes each): where they are more, the least common ones count as rare.
 RARE, COMMON = 16, 1 << 20
 #: Sets of a tile of a bucket, and rows of a component's tile where all pairs are compared.
 TILE, MEMBERS = 512, 512
-#: Sets whose texts are looked up by a broadcast at most.
-FEW = 1 << 20
 #: Tokens that are counted together in a task.
 COUNTED = 1 << 22
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -340,12 +338,8 @@ def tiled(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, some: DataFrame, few: int = FEW) -> DataFrame:
-    """id and set (its tokens) of some sets (id, key: a hash of one of its texts). Of equal texts, one for each task is shuffled."""
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    if some.limit(few + 1).count() <= few:
-        found = texts.join(F.broadcast(some), "key").groupBy("id").agg(F.first("text").alias("text"))
-    else:
-        found = texts.groupBy("key").agg(F.first("text").alias("text")).join(some, "key").select("id", "text")
+    """id and set (its tokens) of some sets (id, key: a hash of one of its texts)."""
+    found = texts_of(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")), some, few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
@@ -364,10 +358,10 @@ def similar_sets(docs: DataFrame, least: int = RARE, most: int = COMMON, tile: i
     sets = written(table.groupBy("id").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     keyed = table.where(F.length("rare") > 0).select("id", "n", "rare").mapInArrow(rare_rows, "key long, id long, n long, place long")
     found = written(keyed.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(rare_pairs, "a long, b long").distinct())
-    dealt = tiled(table.where(F.size("pairs") > 0).select("id", "n", F.explode("pairs").alias("p")).select("id", "n", "p.keys", "p.sketch").mapInArrow(pair_rows, "key long, id long, n long, sketch binary"), tile)
-    links = written(dealt.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(near_in_buckets, "a long, b long, far long"))
+    pairs = tiled(table.where(F.size("pairs") > 0).select("id", "n", F.explode("pairs").alias("p")).select("id", "n", "p.keys", "p.sketch").mapInArrow(pair_rows, "key long, id long, n long, sketch binary"), tile)
+    links = written(pairs.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(near_in_buckets, "a long, b long, far long"))
     loose = written(components(links))
-    links = written(links.repartition("a").mapInArrow(nearest, "a long, b long, far long"))
+    links = written(spread_links(links).mapInArrow(nearest, "a long, b long, far long"))
     ids = found.select(F.explode(F.array("a", "b")).alias("id")).union(loose.select("vertex")).distinct()
     tokens = token_sets(docs, written(sets.join(ids, "id", "left_semi").select("id", "key")), few)
     left, right = (tokens.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")

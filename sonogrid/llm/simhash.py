@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonogrid.llm.common import LOWER, blocks, whole, written
+from sonogrid.llm.common import LOWER, blocks, copies_join, whole, written
 from sonogrid.llm.components import Links, components, forest
 
 SHINGLE, RADIUS, EQUAL, TILE, SEED = 3, 3, 2, 4096, 42
@@ -38,8 +38,8 @@ WIDE, LANE, MISS = 10, 12, 6e-4
 COMPARED = 4
 #: Shingles of a set that is compared by its first ones too, and rows of a component's tile.
 SMALL, MEMBERS = 24, 512
-#: Tasks over which the rows of one component are dealt where they are joined by its root.
-SALTS = 16
+#: Tasks over which the rows of one component or vertex are dealt, and sets whose texts are looked up by a broadcast at most.
+SALTS, FEW = 16, 1 << 18
 
 
 def shingle_hashes(text: str, shingle: int) -> list[int]:
@@ -316,12 +316,12 @@ def grouped(own: DataFrame, keys: list[Column], width: int, radius: int, tile: i
     """own (doc_id and a fingerprint) with component_id, the smallest doc_id that links of distinct fingerprints reach."""
     columns = names(width)
     number = F.col("fp0") if width == 1 else F.xxhash64(*columns)
-    fps = written(own.groupBy(*columns).agg(F.min("doc_id").alias("first")).withColumn("id", number))
+    fps = written(own.groupBy(*columns).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("id", number))
     members = components(written(close(fps, keys, width, radius, tile)))
-    members = fps.select("id", "first").join(members, F.col("id") == F.col("vertex"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    members = fps.select("id", "first", "copies").join(members, F.col("id") == F.col("vertex"), "left").select("id", "first", "copies", F.coalesce("root", "id").alias("root"))
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = salted_join(members, smallest, "root", "id").select("id", "component_id")
-    return own.withColumn("id", number).join(found, "id")
+    found = written(salted_join(members, smallest, "root", "id").select("id", "copies", "component_id"))
+    return copies_join(own.withColumn("id", number), found, "id")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal: int = EQUAL, tile: int = TILE) -> DataFrame:
@@ -341,6 +341,13 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
+def texts_of(texts: DataFrame, some: DataFrame, few: int = FEW) -> DataFrame:
+    """id and text of some sets (a written table of id and key), out of texts with their keys. Of copies, one for each task is shuffled."""
+    if some.limit(few + 1).count() <= few:
+        return texts.select("key", "text").join(F.broadcast(some), "key").groupBy("id").agg(F.first("text").alias("text"))
+    return texts.groupBy("key").agg(F.first("text").alias("text")).join(some, "key").select("id", "text")
+
+
 def set_fingerprints(docs: DataFrame, shingle: int, similarity: float, width: int) -> DataFrame:
     """doc_id, key (of the text), id (a hash of the set of shingles), the set's fingerprint and, of small sets, the first shingles."""
     columns = ["doc_id", "key", "id", *names(width), "first"]
@@ -358,6 +365,11 @@ def set_fingerprints(docs: DataFrame, shingle: int, similarity: float, width: in
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, id long, " + ", ".join(f"{c} long" for c in names(width)) + ", first array<long>")
 
 
+def spread_links(links: DataFrame) -> DataFrame:
+    """Candidates dealt out so that those of one pair meet, however many keys told of it, and those of a vertex in SALTS tasks at most."""
+    return links.repartition(F.col("a"), F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+
+
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the links (a, b, far) of a partition, the nearest that join the same: those of all partitions still hold the nearest that join all."""
     links = Candidates()
@@ -455,21 +467,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, widt
     bits, p = 64 * COMPARED, math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius, columns = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))), names(width)
     own = written(set_fingerprints(docs, shingle, similarity, width))
-    sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in columns), F.first("first").alias("first"), F.min("key").alias("key")))
+    sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in columns), F.first("first").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies")))
     links = written(close(sets, lane_keys(sets.count(), p, width), COMPARED, radius, tile, "first"))
     loose = written(components(links))
-    # Links of a vertex meet in one task, not those of a component, however many pairs of lanes told of them.
-    links = written(links.repartition("a").mapInArrow(nearest, "a long, b long, far long"))
+    links = written(spread_links(links).mapInArrow(nearest, "a long, b long, far long"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, most=1 << 20):
             yield pa.RecordBatch.from_arrays([part["id"], pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], ["id", "set"])
 
-    some = sets.join(loose, F.col("id") == F.col("vertex")).select("id", F.col("key").alias("own"))
-    texts = whole(docs).withColumn("key", text_key(F.col("text"))).join(some, F.col("key") == F.col("own")).groupBy("id").agg(F.first("text").alias("text"))
-    shingles = written(texts.mapInArrow(listed, "id long, set binary"))
+    some = written(sets.join(loose, F.col("id") == F.col("vertex")).select("id", "key"))
+    shingles = written(texts_of(whole(docs).withColumn("key", text_key(F.col("text"))), some).mapInArrow(listed, "id long, set binary"))
     found = settled(loose, links, shingles, similarity, members)
-    return own.join(found, F.col("id") == F.col("vertex"), "left").select("doc_id", "key", F.coalesce("joined", "id").alias("root"))
+    named = written(sets.select("id", "copies").join(found, F.col("id") == F.col("vertex"), "left").select("id", "copies", F.coalesce("joined", "id").alias("root")))
+    return copies_join(own.select("doc_id", "key", "id"), named, "id").select("doc_id", "key", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = WIDE, tile: int = TILE) -> DataFrame:

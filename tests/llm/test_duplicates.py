@@ -338,3 +338,18 @@ def test_quality_stage_judges_each_row(spark):
     both = source.unionByName(no_ids.where("doc_id IS NULL"))
     kept = pipeline.quality(spark, both, d).collect()
     assert len(kept) == source.count() - len(bad) and all(r.doc_id is not None for r in kept)
+
+
+def test_a_round_of_components_tells_each_link_once(spark):
+    """Hot vertices, chains and rings: each link gets one row, its smaller end's least neighbour in its place."""
+    from sonogrid.llm.components import lowered
+
+    random.seed(8)
+    pairs = {(max(p), min(p)) for p in [(k, 0) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5400)] + [random.sample(range(9000), 2) for _ in range(1500)]}
+    stars = spark.createDataFrame(sorted(pairs), "u long, v long")
+    least = {}
+    for u, v in pairs:
+        least[u] = min(v, least.get(u, v))
+    assert sorted(map(tuple, lowered(stars, len(pairs)).collect())) == sorted((u, least.get(v, v)) for u, v in pairs)
+    got = {r.vertex: r.root for r in components(stars.selectExpr("v AS a", "u AS b")).collect()}
+    assert got == roots(pairs, {x for p in pairs for x in p})
