@@ -15,7 +15,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from sonogrid.llm.common import scratch, whole, written
 
@@ -27,15 +26,16 @@ BASE = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 KEY_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-# A key runs to its END line; where that is missing, over its lines of base64.
-KEY_BODY = r"""(?:[A-Za-z0-9+/=\s:,.@_()\\"'>#*;-]{0,65536}?-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{40,}={0,2}){1,400}(?:(?:\s|\\[nr])*[A-Za-z0-9+/]+={1,2})?)?"""
+# A key runs to its END line, over nothing that looks like another header; where that is missing, over its lines of base64. Of whatever
+# length: possessive groups are matched in a loop, without recursion, and never a second time.
+KEY_BODY = r"""(?:(?:[A-Za-z0-9+/=\s:,.@_()\\"'>#*;]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2}+)++(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]++={1,2}+)?+)?+"""
 ADDED = [
     ("key_block", KEY_HEADER + KEY_BODY, 0, 1),
     ("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
 ]
 KINDS = BASE + ADDED
-RULE_VERSION = 2
+RULE_VERSION = 3
 FOUND = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -67,12 +67,10 @@ def scan(blobs: DataFrame) -> DataFrame:
 
 
 def read_ledger(docs: DataFrame, path: str) -> DataFrame:
-    try:
-        return docs.sparkSession.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return docs.sparkSession.createDataFrame([], f"sha binary, rule_version int, spans {FOUND}")
+    spark, kind = docs.sparkSession, f"sha binary, rule_version int, spans {FOUND}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
 
 
 def ledger_scan(docs: DataFrame, ledger: str | None = None, rule_version: int = RULE_VERSION, keep: list[str] | None = None) -> DataFrame:

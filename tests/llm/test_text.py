@@ -502,6 +502,24 @@ def test_whole_private_keys_are_redacted(spark):
     assert f"key_block:0:{len(cases[5][1])}" in spans[6].split(",")
 
 
+def test_keys_of_any_length_are_redacted(spark):
+    """Keys of 100,000 characters and more, with and without their END line, many headers in a row, and dashes within a key."""
+    import corpus_pipeline as pipeline
+
+    random.seed(12)
+    lines = lambda n: "\n".join("".join(random.choices("ABCDwxyz0189+/", k=64)) for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    cases = [
+        (1, f"a {begin}\n{lines(2000)}\nAb==\n{end} b", "a [secret] b"),
+        (2, f"a {begin}\n{lines(2000)}\nAb==\nThen prose.", "a [secret]\nThen prose."),
+        (3, f"{begin} " * 20_000 + "x", "[secret] " * 20_000 + "x"),
+        (4, f"{begin}\n" + "\n".join("- " + x for x in lines(3000).split("\n")) + f"\n{end}!", "[secret]!"),
+        (5, f"{begin} no key here {begin}\n{lines(5)}\n{end}", "[secret] no key here [secret]"),
+    ]
+    d = docs(spark, [(i, t) for i, t, _ in cases]).select(*pipeline.COLUMNS)
+    assert {r.doc_id: r.text for r in pipeline.secrets_out(spark, d, "").collect()} == {i: want for i, _, want in cases}
+
+
 def test_decontamination(spark):
     random.seed(9)
     word = lambda: "".join(random.choices("abcdefghij", k=6))
