@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonogrid.llm.common import blocks, fold, whole
+from sonogrid.llm.common import blocks, fold, sums, whole
 
 #: Bytes of labelled text for each language, and documents that are looked at for them.
 SAMPLE, SAMPLE_DOCS = 32_768, 64
@@ -41,7 +41,7 @@ def samples(docs: DataFrame, size: int = SAMPLE, rows: int = SAMPLE_DOCS) -> lis
 
     Different texts chosen by a hash of the text, short ones (an eighth of the size) first, of long ones the first
     `size` characters, while they fit; if even the first is too long, its start. Every language has its text of the
-    smallest hash at least. At most about twice the size reaches the driver for each language.
+    smallest hash at least; one whose texts have no letter isn't learned. At most about twice the size reaches the driver for each language.
     """
     known = docs.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & (F.length("text") > 0))
     known = known.select("lang", F.xxhash64("text", F.lit(11)).alias("order"), F.substring("text", 1, size).alias("text"))
@@ -58,7 +58,7 @@ def samples(docs: DataFrame, size: int = SAMPLE, rows: int = SAMPLE_DOCS) -> lis
             out[lang] = raw[:size]
         elif len(out[lang]) + len(raw) < size:
             out[lang] += b"\0" + raw
-    return sorted(out.items())
+    return sorted((lang, text) for lang, text in out.items() if text)
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -167,9 +167,15 @@ def phrases(texts: list[bytes], learned: tuple[bytes, ...], block: int = BLOCK,
     return out
 
 
-def bits(sample: bytes) -> float:
-    """What a phrase costs: a place in the sample, or a byte."""
-    return float(np.log2(len(sample) + 256))
+def costs(texts: list[bytes], learned: tuple[bytes, ...]) -> np.ndarray:
+    """What each text costs with each automaton: for a phrase, a place in the sample or a byte; for a byte that the sample doesn't have, the same in all languages, more than a phrase of the largest sample."""
+    known = np.zeros((len(learned), 256), bool)
+    for k, sample in enumerate(learned):
+        known[k, list(set(sample) - {0})] = True
+    raw, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], dtype=np.int64)
+    strange = np.stack([sums(~known[k][raw], lengths) for k in range(len(learned))])
+    place = np.log2(np.array([len(t) + 256 for t in learned], dtype=float))
+    return (phrases(texts, learned) - strange) * place[:, None] + strange * (8 + place.max())
 
 
 def language_id(docs: DataFrame, size: int = SAMPLE, rows: int = SAMPLE_DOCS) -> DataFrame:
@@ -188,7 +194,7 @@ def language_id(docs: DataFrame, size: int = SAMPLE, rows: int = SAMPLE_DOCS) ->
             lettered = np.array([any(map(str.isalpha, t)) for t in texts])
             pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if names and lettered.any():
-                cost = phrases([letters(t) for t in texts], texts_by_lang) * np.array([[bits(t)] for t in texts_by_lang])
+                cost = costs([letters(t) for t in texts], texts_by_lang)
                 pred = np.where(lettered, np.array(names, object)[np.argmin(cost, axis=0)], UNKNOWN)
                 two = np.sort(cost, axis=0)[:2]
                 score = np.where(lettered, two[1] / np.maximum(two.sum(axis=0), 1e-9) if len(two) > 1 else 1.0, 0.0)
