@@ -174,15 +174,17 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, folds:
     """Texts (null: empty) and labels of at most `rows` labelled documents of the folds, chosen by hashes of the id and the text.
 
     Rows without an id or label, labels without a document, and texts of more than `chars` characters don't count; equal rows count once.
+    Labels meet the ids of documents before any are chosen, so that those of other documents take no place.
     """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
     chosen = (
         labels.select("doc_id", F.col(column).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & fold(F.col("doc_id")).isin(*folds))
         .distinct()
+        .join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label")
         .limit(rows)
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
     found = texts.join(F.broadcast(chosen), "doc_id").withColumn("order", F.xxhash64("doc_id", "text", "label", F.lit(7)))
     # Documents can repeat an id: the bound holds for what the join gives.
     once = found.groupBy("order").agg(F.min(F.struct("doc_id", "text", "label")).alias("x"))

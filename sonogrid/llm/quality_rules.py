@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sonogrid.llm.common import blocks, sums, whole
-from sonogrid.llm.linear import ODD, Features, fit, labelled, sigmoid
+from sonogrid.llm.linear import FIT_CHARS, ODD, Features, fit, labelled, sigmoid
 
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 4000
@@ -63,14 +63,14 @@ def counts(texts: list[str]) -> dict[str, np.ndarray]:
     return columns | {"n_repeat_words": repeated_words(np.array(words, dtype=np.int64), columns["n_words"])}
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP, fit_chars: int = FIT_CHARS) -> DataFrame:
     """One row for each document: doc_id, the base figures, base_failed, score and kept.
 
     Null texts count as empty: no words, base_failed. Rows with a null or repeated
     doc_id are judged one by one like any other. Other columns are not read.
-    Without usable labels the model has score 0.5 for all, which is kept.
+    The model learns from texts of at most fit_chars characters. Without usable labels it has score 0.5 for all, which is kept.
     """
-    weights, bias, a, b = fit(labelled(docs, labels, "quality", fit_rows, (0, 1, 2, 3)), True, "adagrad", True)
+    weights, bias, a, b = fit(labelled(docs, labels, "quality", fit_rows, (0, 1, 2, 3), fit_chars), True, "adagrad", True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(True)

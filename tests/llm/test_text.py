@@ -520,6 +520,27 @@ def test_keys_of_any_length_are_redacted(spark):
     assert {r.doc_id: r.text for r in pipeline.secrets_out(spark, d, "").collect()} == {i: want for i, _, want in cases}
 
 
+def test_labels_that_outnumber_documents_take_no_place(spark):
+    d = spark.createDataFrame([(k, f"text {k}", 3) for k in range(300)] + [(300, "x" * 90, 3)], "doc_id long, text string, label int")
+    many = spark.createDataFrame([(k, k % 2, "a", 9) for k in range(301)] + [(k, 1, "a", 9) for k in range(1000, 31_000)], "doc_id long, quality int, text string, label int")
+    folds = {k for k in range(300) if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert {r.doc_id for r in linear.labelled(d, many, "quality", 4000, chars=80).collect()} == folds
+    assert len(linear.labelled(d, many, "quality", 100).collect()) == 100
+    assert {300} == {r.doc_id for r in linear.labelled(d, many, "quality", 4000, (0, 1, 2, 3)).collect()} - set(range(300))
+
+
+def test_unknown_letters_do_not_favour_small_samples(spark):
+    """A language of two letters, and one without a letter, get no text of a script that was not learned."""
+    random.seed(13)
+    words = {k: ["".join(random.choices(a, k=random.randrange(2, 8))) for _ in range(300)] for k, a in {"de": "abcdefghinrstuü", "en": "abdefghiklnorstwy"}.items()}
+    prose = lambda k, n: " ".join(random.choices(words[k], k=n))
+    rows = [(i, prose(k, 400), k) for k in words for i in range(8)] + [(i, "ab", "xx") for i in range(8)] + [(i, "12 34", "yy") for i in range(8)]
+    asked = ["Η γλώσσα αυτή δεν είναι γνωστή εδώ και πουθενά αλλού", "これは学習されていない言語の文です。とても長い文章です。", "Совсем другой язык"]
+    d = spark.createDataFrame(rows + [(100 + k, t, None) for k, t in enumerate(asked)] + [(200, prose("de", 30), None), (201, prose("en", 30), None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in lid.language_id(d).where("doc_id >= 100").collect()}
+    assert {got[100 + k] for k in range(len(asked))} <= {"de", "en"} and got[200] == "de" and got[201] == "en"
+
+
 def test_decontamination(spark):
     random.seed(9)
     word = lambda: "".join(random.choices("abcdefghij", k=6))
