@@ -8,10 +8,13 @@ import wave
 import numpy as np
 
 
-def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples between -1 and 1, and the rate, of 8, 16, 24 or 32 bit PCM."""
+def decode_wav(data: bytes, start: float = 0.0, seconds: float | None = None) -> tuple[np.ndarray, int]:
+    """Mono samples between -1 and 1, and the rate, of 8, 16, 24 or 32 bit PCM; of a part, only its frames are decoded, as far as the file goes."""
     with wave.open(io.BytesIO(data)) as w:
-        width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+        first = min(w.getnframes(), int(max(start, 0.0) * rate))
+        w.setpos(first)
+        raw = w.readframes(w.getnframes() - first if seconds is None else max(0, min(w.getnframes() - first, int(round(seconds * rate)))))
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
     elif width == 3:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonogrid.functions import names
-from sonogrid.operators import metrics, tables
+from sonogrid.operators import metrics, order_stats, tables
 from sonogrid.sources import testviews as v
 
 OK = "num_classes = num_classes_train AND num_classes = num_classes_val"
@@ -195,7 +195,8 @@ EXPERIMENT_CROSS = f"WITH {v.METRICS} SELECT species, rank, lr_no, replace(lower
 def manifest_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts and durations by species, with exact percentiles."""
     m = v.manifest(spark, d).withColumn("sec", F.col("end") - F.col("start"))
-    return m.groupBy("species").agg(F.count("*").alias("rows"), F.count_distinct("recording").alias("recordings"), F.sum("sec").alias("total"), _r(F.avg("sec")).alias("mean"), F.percentile("sec", F.lit(0.5)).alias("median"), _r(F.percentile("sec", F.lit(0.95))).alias("p95"))
+    ranked = order_stats.percentiles(m, ["species"], "sec", {"median": 0.5, "p95": 0.95}).select("species", "median", _r(F.col("p95")).alias("p95"))
+    return m.groupBy("species").agg(F.count("*").alias("rows"), F.count_distinct("recording").alias("recordings"), F.sum("sec").alias("total"), _r(F.avg("sec")).alias("mean")).join(ranked, "species")
 
 
 MANIFEST_SUMMARY = f"""WITH {v.MANIFEST}, m AS (SELECT *, "end" - start AS sec FROM v_manifest) SELECT species, count(*) AS rows, count(DISTINCT recording) AS recordings, sum(sec) AS total, round(avg(sec), 6) AS mean, quantile_cont(sec, 0.5) AS median, round(quantile_cont(sec, 0.95), 6) AS p95 FROM m GROUP BY species"""
@@ -290,8 +291,9 @@ CLASS_WEIGHTS = f"WITH {TRUTH}, n AS (SELECT truth, count(*) AS n FROM t GROUP B
 
 def loss_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Mean value of every 500 steps, and the median."""
-    e = v.table(spark, d, "events").select((F.col("event_id") + 1).alias("step"), "value").groupBy(F.floor((F.col("step") - 1) / 500).alias("k"))
-    return e.agg(F.max("step").alias("step"), _r(F.avg("value")).alias("loss"), _r(F.percentile("value", F.lit(0.5))).alias("median"), F.count("*").alias("n"))
+    e = v.table(spark, d, "events").select((F.col("event_id") + 1).alias("step"), "value").withColumn("k", F.floor((F.col("step") - 1) / 500))
+    medians = order_stats.percentiles(e, ["k"], "value", {"median": 0.5}).select("k", _r(F.col("median")).alias("median"))
+    return e.groupBy("k").agg(F.max("step").alias("step"), _r(F.avg("value")).alias("loss"), F.count("*").alias("n")).join(medians, "k")
 
 
 LOSS_TUMBLING = "SELECT event_id // 500 AS k, max(event_id + 1) AS step, round(avg(value), 6) AS loss, round(quantile_cont(value, 0.5), 6) AS median, count(*) AS n FROM events GROUP BY 1"

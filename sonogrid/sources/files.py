@@ -76,6 +76,36 @@ def audio_to_specs(files: DataFrame, rate: int = 32_000, n_fft: int = 1024, hop:
     return mapped(files, make)
 
 
+def audio_windows(files: DataFrame, windows: DataFrame, rate: int = 32_000, n_fft: int = 1024, hop: int = 64, n_mels: int | None = 128) -> DataFrame:
+    """A spectrogram for each window (stem, start_s, end_s) of audio files; only its frames are decoded, and a file is read once for all its windows.
+
+    A window is cut to its file; one without a sample, or a file that can't be decoded, is an error in its row. Windows without a file give none.
+    """
+    schema = "stem string, start_s double, end_s double, n_mels int, n_timebins bigint, spec array<array<float>>, error string"
+    kinds = pa.schema([("stem", pa.string()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n_mels", pa.int32()), ("n_timebins", pa.int64()), ("spec", pa.list_(pa.list_(pa.float32()))), ("error", pa.string())])
+
+    def made(data: bytes, start: float, end: float) -> dict:
+        try:
+            x, own = signal.decode_wav(data, start, end - max(start, 0.0))
+            if not len(x):
+                raise ValueError("no samples")
+            spec = signal.spectrogram(signal.resample(x, own, rate), rate, n_fft, hop, n_mels)
+            return {"n_mels": spec.shape[0], "n_timebins": spec.shape[1], "spec": list(spec)}
+        except Exception as e:
+            return {"error": f"{type(e).__name__}: {e}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data = batch["content"][k].as_py()
+                for w in batch["_windows"][k].as_py():
+                    row = {"stem": batch["stem"][k].as_py(), "start_s": w["start_s"], "end_s": w["end_s"]}
+                    yield pa.RecordBatch.from_pylist([row | made(data, w["start_s"], w["end_s"])], kinds)
+
+    wanted = windows.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct(F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s")))).alias("_windows"))
+    return files.join(wanted, "stem").select("stem", "content", "_windows").mapInArrow(run, schema)
+
+
 def npy_to_specs(files: DataFrame) -> DataFrame:
     """Arrays (mel, time) of .npy files. An array that is not two-dimensional is an error in its row."""
 
