@@ -188,30 +188,31 @@ PATCHIFY = f"WITH {v.PATCHES}, l AS (SELECT patch_ix, unnest(h) AS x, unnest(ran
 
 
 def voronoi_mask_cells(spark: SparkSession, d: str) -> DataFrame:
-    """a mask of three quarters of an 8 by 16 grid for each of 20 images: cells by their distance to the nearest of some seeds, ties by a hash.
+    """a mask of three quarters of an 8 by 16 grid for each image of 32 patches: cells by their distance to the nearest of some seeds, ties by a hash.
 
     Seeds are few and their number is fixed by the grid, so each cell has them as an array.
     """
-    images = spark.range(20).withColumnRenamed("id", "image")
+    images = v.patches(spark, d).select(F.floor(F.col("patch_ix") / 32).alias("image")).distinct()
     cells = images.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(127)))).withColumn("y", F.floor(F.col("c") / 16)).withColumn("x", F.col("c") % 16)
     rank = F.row_number().over(Window.partitionBy("image").orderBy(names.shuffled(1, F.col("image"), F.col("c"))))
     seeds = cells.withColumn("k", rank).where("k <= 6").groupBy("image").agg(F.collect_list(F.struct("y", "x")).alias("seeds"))
     near = F.array_min(F.transform("seeds", lambda s: (s["y"] - F.col("y")) * (s["y"] - F.col("y")) * 4 + (s["x"] - F.col("x")) * (s["x"] - F.col("x"))))
     order = Window.partitionBy("image").orderBy("near", names.shuffled(2, F.col("image"), F.col("c")))
-    return cells.join(F.broadcast(seeds), "image").withColumn("near", near).withColumn("k", F.row_number().over(order)).select("image", F.col("c").cast(LONG).alias("c"), "near", (F.col("k") <= 96).alias("masked"))
+    return cells.join(seeds, "image").withColumn("near", near).withColumn("k", F.row_number().over(order)).select("image", F.col("c").cast(LONG).alias("c"), "near", (F.col("k") <= 96).alias("masked"))
 
 
-VORONOI = """WITH c AS (SELECT i.range AS image, c.range AS c, c.range // 16 AS y, c.range % 16 AS x FROM range(0, 20) i, range(0, 128) c), s AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY md5('1|' || image || '|' || c)) AS k FROM c),
+VORONOI = """WITH c AS (SELECT image, c.range AS c, c.range // 16 AS y, c.range % 16 AS x FROM (SELECT DISTINCT vec_id // 32 AS image FROM embeddings) i, range(0, 128) c), s AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY md5('1|' || image || '|' || c)) AS k FROM c),
 n AS (SELECT c.image, c.c, min((s.y - c.y) * (s.y - c.y) * 4 + (s.x - c.x) * (s.x - c.x)) AS near FROM c JOIN s ON c.image = s.image AND s.k <= 6 GROUP BY c.image, c.c)
 SELECT image, c, near, row_number() OVER (PARTITION BY image ORDER BY near, md5('2|' || image || '|' || c)) <= 96 AS masked FROM n"""
 
 
 def learning_rates(spark: SparkSession, d: str) -> DataFrame:
-    """F32: a rate that warms up and falls by a cosine."""
-    return spark.range(0, 2000, 10).select(F.col("id").alias("step"), F.round(arrays.warmup_cosine(F.col("id"), 2e-4, 200, 2000, 1e-6) * 1e6, 6).alias("lr"))
+    """F32: the rate of each logged step, which warms up and falls by a cosine."""
+    step = F.col("event_id")
+    return v.table(spark, d, "events").select(step.alias("step"), F.round(arrays.warmup_cosine(step, 2e-4, 200, 2000, 1e-6) * 1e6, 6).alias("lr"))
 
 
-LEARNING_RATES = "SELECT range AS step, round(CASE WHEN range < 200 THEN 2e-4 * range / 200 ELSE 1e-6 + (2e-4 - 1e-6) * 0.5 * (1 + cos(3.141592653589793 * least((range - 200) / 1800.0::DOUBLE, 1))) END * 1e6, 6) AS lr FROM range(0, 2000, 10)"
+LEARNING_RATES = "SELECT event_id AS step, round(CASE WHEN event_id < 200 THEN 2e-4 * event_id / 200 ELSE 1e-6 + (2e-4 - 1e-6) * 0.5 * (1 + cos(3.141592653589793 * least((event_id - 200) / 1800.0::DOUBLE, 1))) END * 1e6, 6) AS lr FROM events"
 
 
 def colours(spark: SparkSession, d: str) -> DataFrame:

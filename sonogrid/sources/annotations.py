@@ -91,14 +91,17 @@ def ordered(a: Column, b: Column) -> tuple[Column, Column]:
 def read_units_csv(spark: SparkSession, path: str) -> DataFrame:
     """Label, audio_file and times in ms or s under several names; tab or comma by the header; the bird is the file's stem; a byte order mark is dropped.
 
-    Lines are split by the separator that their own file's header holds, so that many files of both kinds are read at once.
+    Lines are split by the separator that their own file's header holds, so that many files of both kinds are read at once. Fields can be quoted, with separators
+    and doubled quotes within; a line break within a field is not supported.
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("file"))
     header = lines.where(F.lower("line").contains("label") & F.lower("line").contains("audio_file"))
     header = header.groupBy("file").agg(F.min("line").alias("header")).withColumn("sep", F.when(F.col("header").contains("\t"), "\t").otherwise(","))
-    rows = lines.join(header, "file").where((F.col("line") != F.col("header")) & (F.trim("line") != ""))
-    cells = F.map_from_arrays(F.transform(F.split("header", F.col("sep")), lambda x: F.lower(F.trim(x))), F.transform(F.slice(F.split("line", F.col("sep"), -1), 1, F.size(F.split("header", F.col("sep")))), lambda x: F.trim(x)))
-    rows = rows.where(F.size(F.split("line", F.col("sep"), -1)) >= F.size(F.split("header", F.col("sep")))).withColumn("c", cells)
+    # A separator with an even number of quotes after it stands outside of them.
+    fields = lambda c: F.transform(F.split(c, F.concat("sep", F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)')), F.lit(-1)), lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    rows = lines.join(header, "file").where((F.col("line") != F.col("header")) & (F.trim("line") != "")).withColumn("_names", F.transform(fields("header"), F.lower)).withColumn("_cells", fields("line"))
+    whole = F.size("_cells") >= F.size("_names")
+    rows = rows.where(whole).withColumn("c", F.when(whole, F.map_from_arrays("_names", F.slice("_cells", F.lit(1), F.size("_names")))))
     get = lambda k: F.try_element_at("c", F.lit(k)).try_cast("double")
     on = F.coalesce(get("onset_ms"), get("onset_s") * 1000, get("start_s") * 1000)
     off = F.coalesce(get("offset_ms"), get("offset_s") * 1000, get("end_s") * 1000)

@@ -106,6 +106,22 @@ def audio_windows(files: DataFrame, windows: DataFrame, rate: int = 32_000, n_ff
     return files.join(wanted, "stem").select("stem", "content", "_windows").mapInArrow(run, schema)
 
 
+def mean_std(specs: DataFrame) -> DataFrame:
+    """Cells, mean and population std over all cells of spectrograms; a batch is summed as one array, and a row without a spectrogram has no cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, squares = 0, 0.0, 0.0
+        for batch in batches:
+            x = batch["spec"].flatten().flatten().to_numpy(zero_copy_only=False)
+            x = x[~np.isnan(x)].astype(np.float64)
+            n, total, squares = n + len(x), total + float(x.sum()), squares + float(x @ x)
+        yield pa.RecordBatch.from_pydict({"n": [n], "s": [total], "q": [squares]})
+
+    sums = specs.select("spec").mapInArrow(run, "n long, s double, q double").agg(F.sum("n").alias("cells"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.nullif("cells", F.lit(0))
+    return sums.select("cells", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.nullif("cells", F.lit(0)) - mean * mean)).alias("std"))
+
+
 def npy_to_specs(files: DataFrame) -> DataFrame:
     """Arrays (mel, time) of .npy files. An array that is not two-dimensional is an error in its row."""
 

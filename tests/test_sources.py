@@ -231,3 +231,18 @@ def test_losses_and_archive(spark, tmp_path):
     assert annotations.read_losses(spark, path).orderBy("step").collect() == rows.collect()
     new = sinks.archive(spark, path)
     assert "/runs/archive/r1_" in new and spark.read.text(new).count() == 2
+
+
+def test_quoted_fields_keep_their_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"label",audio_file,onset_ms,"offset_ms"\n"a, b","x, ""y"".wav",1,2\nc,z.wav,"5",3\nshort,z\n')
+    (tmp_path / "b.tsv").write_text('label\taudio_file\tonset_s\toffset_s\n"a\tb"\tx,y.wav\t1\t2\n')
+    got = annotations.read_units_csv(spark, str(tmp_path)).orderBy("bird_id", "label").collect()
+    assert [(r.bird_id, r.label, r.audio_file, r.onset_ms, r.offset_ms) for r in got] == [("a", "a, b", 'x, "y".wav', 1, 2), ("a", "c", "z.wav", 3, 5), ("b", "a\tb", "x,y.wav", 1000, 2000)]
+
+
+def test_mean_and_std_of_all_cells(spark):
+    specs = [np.arange(6, dtype=np.float32).reshape(2, 3), np.full((1, 4), -3, np.float32)]
+    df = spark.createDataFrame([(s.tolist(),) for s in specs] + [(None,), ([],)], "spec array<array<float>>").repartition(3)
+    cells = np.concatenate([s.ravel() for s in specs])
+    r = files.mean_std(df).first()
+    assert r.cells == 10 and np.allclose([r["mean"], r["std"]], [cells.mean(), cells.std()]) and files.mean_std(df.limit(0)).first()["mean"] is None
