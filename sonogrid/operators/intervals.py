@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Runs that a task of a painting holds before it hands them on.
+BATCH = 16_384
+
+
+def clip(units: DataFrame, chunks: DataFrame, key: str, onset: str = "onset_ms", offset: str = "offset_ms", start: str = "chunk_start", end: str = "chunk_end", width: float | None = None) -> DataFrame:
+    """Units in each chunk of their key, cut to it and counted from its start. Half-open: a touch is no overlap. A null end is open.
 
-def clip(units: DataFrame, chunks: DataFrame, key: str, onset: str = "onset_ms", offset: str = "offset_ms", start: str = "chunk_start", end: str = "chunk_end") -> DataFrame:
-    """Units in each chunk of their key, cut to it and counted from its start. Half-open: a touch is no overlap. A null end is open."""
+    With a width, units meet chunks by key and bucket of time (units without length then meet none), so that the work of
+    a key grows with its overlaps; open chunks, of which a key has few, meet the units by key.
+    """
     limit = F.coalesce(F.col(end), F.lit(float("inf")))
-    hit = units.join(chunks, key).where((F.col(offset) > F.col(start)) & (F.col(onset) < limit))
+    if width is None:
+        hit = units.join(chunks, key).where((F.col(offset) > F.col(start)) & (F.col(onset) < limit))
+    else:
+        closed = range_join(units, chunks.where(F.col(end).isNotNull()), key, (onset, offset), (start, end), width)
+        opened = units.where(F.col(offset) > F.col(onset)).join(chunks.where(F.col(end).isNull()), key).where(F.col(offset) > F.col(start))
+        hit = closed.unionByName(opened)
     return hit.withColumns({onset: F.greatest(F.col(onset), F.col(start)) - F.col(start), offset: F.least(F.col(offset), limit) - F.col(start)})
 
 
@@ -37,29 +53,81 @@ def runs(rows: DataFrame, key: str, order: str, label: str) -> DataFrame:
     return numbered.groupBy(key, "_run", label).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
-def paint(units: DataFrame, key: str, start: str, end: str, label: str, ordinal: str, silence: int | None = 0) -> DataFrame:
-    """Who is seen where intervals are painted over each other in the order of ordinal: runs (key, start, end, label) of whole units.
+def paint(units: DataFrame, key: str | list[str], start: str, end: str, label: str, ordinal: str, silence: int | None = 0, width: float = 1000) -> DataFrame:
+    """Who is seen where intervals are painted over each other in the order of ordinal: runs (key, start, end, label).
 
-    The boundaries of a key cut it into segments, a segment shows the covering interval of the highest ordinal, and
-    equal neighbours are joined. Nothing is expanded to bins. Gaps get the silence label (None: no row). Intervals that
-    are empty paint nothing. Segments meet intervals by key and bucket of time; a key's buckets are as wide as its mean
-    interval or eight times its mean distance between onsets, so that its work grows with its intervals and overlaps.
+    Intervals are dealt into buckets of time (width, in the unit of start and end), so that a key with very many is not
+    one group. One sorted pass over a bucket keeps only the intervals that can still be seen; its runs are joined over the
+    ends of buckets. Nothing is expanded to bins. Gaps get the silence label (None: no row), as do null labels. Of equal
+    ordinals the later start lies on top, then the later end, then the larger label; a null ordinal lies under all others.
+    Intervals that are empty or have a null key paint nothing.
     """
-    live = units.where(F.col(end) > F.col(start)).select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_l"), F.col(ordinal).alias("_o"))
-    whole = Window.partitionBy(key)
-    width = F.greatest(F.avg(F.col("_e") - F.col("_s")).over(whole), (F.max("_e").over(whole) - F.min("_s").over(whole)) * 8.0 / F.count("*").over(whole))
-    live = live.withColumn("_w", width)
-    points = live.select(key, "_w", F.explode(F.array("_s", "_e")).alias("_p")).distinct()
-    cuts = points.withColumn("_q", F.lead("_p").over(Window.partitionBy(key).orderBy("_p"))).where(F.col("_q").isNotNull())
-    seen = range_join(cuts, live, key, ("_p", "_q"), ("_s", "_e"), F.col("_w"), ["_w"])
-    top = seen.groupBy(key, "_p", "_q").agg(F.max_by("_l", "_o").alias("_l"))
-    cuts = cuts.drop("_w")
+    keys = [key] if isinstance(key, str) else key
+    live = units.where(F.col(end) > F.col(start)).dropna(subset=keys).select(*keys, F.col(start).alias("start"), F.col(end).alias("end"), F.col(label).alias("label"), F.col(ordinal).alias("_o"))
+    kind = live.schema["start"].dataType
+    first, last = F.floor(F.col("start") / width), F.ceil(F.col("end") / width) - 1
+    dealt = live.withColumn("_b", F.explode(F.sequence(first, F.greatest(first, last))))
+    edge = lambda b: (b * F.lit(width)).cast(kind)
+    dealt = dealt.withColumns({"start": F.greatest("start", edge(F.col("_b"))), "end": F.least("end", edge(F.col("_b") + 1))}).where("end > start")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o", "start", "end", "label"))
+    ranked = dealt.withColumn("_o", rank).sortWithinPartitions(*keys, "_b", "start")
+    seen = ranked.mapInArrow(_swept(keys), ranked.drop("_b", "_o").schema)
+    w = Window.partitionBy(*keys).orderBy("start")
     if silence is not None:
-        top = cuts.join(top, [key, "_p", "_q"], "left").withColumn("_l", F.coalesce("_l", F.lit(silence)))
-    w = Window.partitionBy(key).orderBy("_p")
-    new = F.when((F.lag("_l").over(w) == F.col("_l")) & (F.lag("_q").over(w) == F.col("_p")), 0).otherwise(1)
-    joined = top.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    return joined.groupBy(key, "_run", "_l").agg(F.min("_p").alias("start"), F.max("_q").alias("end")).select(key, "start", "end", F.col("_l").alias("label"))
+        before, piece = F.lag("end").over(w), F.struct("start", "end", F.coalesce("label", F.lit(silence).cast(live.schema["label"].dataType)).alias("label"))
+        gap = F.struct(F.col("_before").alias("start"), F.col("start").alias("end"), F.lit(silence).cast(live.schema["label"].dataType).alias("label"))
+        seen = seen.withColumn("_before", before).select(*keys, F.inline(F.when(F.col("_before") < F.col("start"), F.array(gap, piece)).otherwise(F.array(piece))))
+    new = F.when(F.lag("label").over(w).eqNullSafe(F.col("label")) & (F.lag("end").over(w) == F.col("start")), 0).otherwise(1)
+    joined = seen.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    return joined.groupBy(*keys, "_run", "label").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end", "label")
+
+
+def _swept(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Intervals sorted by key, bucket and start to what is seen of them; _o says who lies on top.
+
+    The heap holds those that can still be seen, highest first: one that ends no later than a higher one is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heap, out, group, at, schema = [], [], None, None, None
+
+        def advance(until) -> None:
+            nonlocal at
+            while heap and (until is None or at < until):
+                _, stop, name = heap[0]
+                if stop <= at:
+                    heapq.heappop(heap)
+                    continue
+                to = stop if until is None or stop < until else until
+                if out and out[-1][0] == group and out[-1][2] == at and out[-1][3] == name:
+                    out[-1][2] = to
+                else:
+                    out.append([group, at, to, name])
+                at = to
+
+        def batch(rows: list) -> pa.RecordBatch:
+            columns = [*zip(*(g[:-1] for g, _, _, _ in rows)), *list(zip(*rows))[1:]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for b in batches:
+            schema = schema or pa.schema([b.schema.field(n) for n in [*keys, "start", "end", "label"]])
+            groups = zip(*(b[n].to_pylist() for n in [*keys, "_b"]))
+            for g, s, e, name, o in zip(groups, *(b[n].to_pylist() for n in ("start", "end", "label", "_o"))):
+                if g != group:
+                    advance(None)
+                    group, heap = g, []
+                advance(s)
+                at = s
+                if not heap or -heap[0][0] < o or heap[0][1] < e:
+                    heapq.heappush(heap, (-o, e, name))
+            if len(out) > BATCH:
+                yield batch(out[:-1])
+                del out[:-1]
+        advance(None)
+        if out:
+            yield batch(out)
+
+    return run
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: float | Column | None = None, shared: list[str] | None = None) -> DataFrame:

@@ -27,12 +27,14 @@ def confusion(rows: DataFrame, keys: list[str], truth: str, pred: str, classes:
     """tp, fp and fn of every class 0 to classes - 1 for each key, also of classes that don't occur."""
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     pairs = rows.groupBy(*keys, truth, pred).agg(F.sum(w).alias("_w"))
-    sides = F.array(F.struct(F.col(truth).cast("bigint").alias("c"), F.lit("t").alias("side")), F.struct(F.col(pred).cast("bigint").alias("c"), F.lit("p").alias("side")))
-    per = pairs.withColumn("_x", F.explode(sides)).groupBy(*keys, F.col("_x.c").alias("class"))
-    hit, side = F.col(truth) == F.col(pred), F.col("_x.side")
-    found = per.agg(*(F.sum(F.when(c, F.col("_w")).otherwise(0)).cast("bigint").alias(n) for n, c in (("tp", hit & (side == "t")), ("fp", ~hit & (side == "p")), ("fn", ~hit & (side == "t")))))
-    every = pairs.select(*keys).distinct().withColumn("class", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(classes - 1).cast("bigint"))))
-    return every.join(found, [*keys, "class"], "left").na.fill(0, ["tp", "fp", "fn"])
+    side = lambda c, name: F.struct(F.col(c).cast("bigint").alias("class"), F.lit(name).alias("side"))
+    # One pair of each key also brings a row without weight for every class.
+    none = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(classes - 1).cast("bigint")), lambda c: F.struct(c.alias("class"), F.lit("none").alias("side")))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(truth, pred)) == 1
+    sides = F.concat(F.array(side(truth, "t"), side(pred, "p")), F.when(first, none).otherwise(F.slice(none, 1, 0)))
+    per = pairs.withColumn("_x", sides).withColumn("_x", F.explode("_x")).select("*", "_x.class", "_x.side").where(F.col("class").between(0, classes - 1)).groupBy(*keys, "class")
+    hit, side = F.col(truth) == F.col(pred), F.col("side")
+    return per.agg(*(F.coalesce(F.sum(F.when(c, F.col("_w")).otherwise(0)), F.lit(0)).cast("bigint").alias(n) for n, c in (("tp", hit & (side == "t")), ("fp", ~hit & (side == "p")), ("fn", ~hit & (side == "t")))))
 
 
 def macro(counts: DataFrame, keys: list[str]) -> DataFrame:

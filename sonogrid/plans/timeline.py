@@ -93,7 +93,7 @@ def clip_to_chunk(spark: SparkSession, d: str) -> DataFrame:
     u = v.units(spark, d).where("offset_ms > onset_ms")
     chunks = u.groupBy("stem").agg(F.ceil(F.max("offset_ms") / 500).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     chunks = chunks.select("stem", (F.col("k") * 500.0).alias("chunk_start"), F.when(F.col("k") < F.col("n") - 1, (F.col("k") + 1) * 500.0).alias("chunk_end"))
-    return intervals.clip(u, chunks, "stem").select("stem", "ordinal", "chunk_start", F.round("onset_ms", 4).alias("onset_ms"), F.round("offset_ms", 4).alias("offset_ms"), "id")
+    return intervals.clip(u, chunks, "stem", width=500).select("stem", "ordinal", "chunk_start", F.round("onset_ms", 4).alias("onset_ms"), F.round("offset_ms", 4).alias("offset_ms"), "id")
 
 
 CLIP_TO_CHUNK = f"""WITH {v.UNITS}, u AS (SELECT * FROM v_units WHERE offset_ms > onset_ms), n AS (SELECT stem, ceil(max(offset_ms) / 500)::BIGINT AS n FROM u GROUP BY stem), k AS (SELECT stem, n, unnest(range(0, n)) AS k FROM n),
@@ -133,7 +133,7 @@ SELECT stem, id, min(ordinal) AS first, max(ordinal) AS last, count(*) AS n FROM
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     """Units in whole milliseconds, onsets cut and offsets raised (F11), ids from 1 on."""
-    return v.units(spark, d).select("stem", F.floor("onset_ms").alias("s"), F.ceil("offset_ms").alias("e"), (F.col("id") + 1).alias("label"), F.struct("onset_ms", "ordinal").alias("o"), "ordinal", "onset_ms")
+    return v.units(spark, d).select("bird_id", "stem", F.floor("onset_ms").alias("s"), F.ceil("offset_ms").alias("e"), (F.col("id") + 1).alias("label"), F.struct("onset_ms", "ordinal").alias("o"), "ordinal", "onset_ms")
 
 
 def paint_last_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -176,8 +176,8 @@ def resolution_limit_f1(spark: SparkSession, d: str) -> DataFrame:
     resolution, each step takes the label of most milliseconds, and steps are compared with the runs by length.
     """
     r = 10
-    truth = intervals.paint(_spans(spark, d), "stem", "s", "e", "label", "o")
-    scored = metrics.at_resolution(truth, ["stem"], r).join(v.units(spark, d).select("stem", "bird_id").distinct(), "stem")
+    truth = intervals.paint(_spans(spark, d), ["bird_id", "stem"], "s", "e", "label", "o")
+    scored = metrics.at_resolution(truth, ["bird_id", "stem"], r)
     out = metrics.macro(metrics.confusion(scored, ["bird_id"], "label", "majority", len(v.TYPES) + 1, "w"), ["bird_id"])
     return out.select("bird_id", F.round("macro_f1", 6).alias("macro_f1"), F.round("error_rate", 6).alias("error_rate"))
 
@@ -211,7 +211,7 @@ SELECT bird_id, stem, k, round(min(onset_ms), 6) AS onset_ms, round(max(offset_m
 
 
 def stutter_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Units of the first bird repeated id + 1 times each, later ones moved back by what was added."""
+    """Units repeated id + 1 times each, later ones moved back by what was added."""
     u = v.units(spark, d)
     k, length = F.col("id") + 1, F.col("offset_ms") - F.col("onset_ms")
     before = F.coalesce(F.sum(F.col("id") * length).over(Window.partitionBy("stem").orderBy("onset_ms", "ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

@@ -213,3 +213,46 @@ def test_noise_is_normal_and_the_same_again(spark):
     df = spark.range(200).select(arrays.noisy(F.array_repeat(F.lit(1.0), 100), 0.5, 3, F.col("id")).alias("a")).select(F.explode("a").alias("x"))
     m = df.agg(F.mean("x").alias("mean"), F.stddev("x").alias("std"), F.kurtosis("x").alias("k"), F.sum("x").alias("s")).first()
     assert abs(m.mean - 1) < 0.02 and abs(m["std"] - 0.5) < 0.02 and abs(m.k) < 0.15 and df.agg(F.sum("x")).first()[0] == m.s
+
+
+def test_paint_equals_bins_painted_one_by_one(spark):
+    import random
+
+    rng, units = random.Random(7), []
+    for i in range(600):
+        s = rng.randrange(300)
+        units.append((rng.choice("abc"), s, s + rng.choice([0, 1, 5, 40, 200]), rng.choice([None, 0, 1, 2, 3]), rng.choice([None, *range(600)]), i))
+    units += [(None, 0, 9, 1, 1, 900), ("d", 5, 3, 1, 1, 901)]
+    df = spark.createDataFrame(units, "k string, s bigint, e bigint, l bigint, p int, i int").withColumn("o", F.struct("p", "i")).withColumn("x", F.lit(1))
+
+    def runs(silence):
+        top = {}
+        for k, s, e, label, p, i in sorted((u for u in units if u[0]), key=lambda u: (u[4] is not None, u[4] or 0, u[5])):
+            for t in range(s, e):
+                top[k, t] = silence if label is None else label
+        if silence is not None:
+            for k in {k for k, _ in top}:
+                at = [t for j, t in top if j == k]
+                for t in range(min(at), max(at)):
+                    top.setdefault((k, t), silence)
+        out = []
+        for k, t in sorted(top):
+            if out and out[-1][0] == k and out[-1][2] == t and out[-1][3] == top[k, t]:
+                out[-1][2] += 1
+            else:
+                out.append([k, t, t + 1, top[k, t]])
+        return sorted(map(tuple, out))
+
+    for width in (7, 1000):
+        for silence in (0, None):
+            got = intervals.paint(df, "k", "s", "e", "l", "o", silence, width)
+            assert sorted(map(tuple, got.collect())) == runs(silence), (width, silence)
+    empty = intervals.paint(df.where("false"), "k", "s", "e", "l", "o")
+    assert empty.collect() == [] and empty.columns == ["k", "start", "end", "label"]
+
+
+def test_clip_in_buckets_equals_plain(spark):
+    units = spark.createDataFrame([(k, i, float(i * 13 % 97), float(i * 13 % 97 + 1 + i % 30)) for i in range(200) for k in ("a", "b")], "k string, i int, onset_ms double, offset_ms double")
+    chunks = spark.createDataFrame([("a", 0.0, 50.0), ("a", 50.0, None), ("b", 20.0, 40.0), ("c", 0.0, None)], "k string, chunk_start double, chunk_end double")
+    columns = ["k", "i", "chunk_start", "chunk_end", "onset_ms", "offset_ms"]
+    assert sorted(map(str, intervals.clip(units, chunks, "k", width=9.0).select(columns).collect())) == sorted(map(str, intervals.clip(units, chunks, "k").select(columns).collect()))
