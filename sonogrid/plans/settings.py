@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonogrid.functions import names
 from sonogrid.functions.names import shuffled
-from sonogrid.operators import intervals, metrics, models, tables
+from sonogrid.operators import intervals, metrics, models, neighbours, tables
 from sonogrid.plans.timeline import DENSE, _spans
 from sonogrid.sources import testviews as v
 
@@ -161,6 +161,17 @@ def principal_axes(spark: SparkSession, d: str) -> DataFrame:
     return models.coordinates(v.patches(spark, d), "h", 2).select("patch_ix", F.round("axis0", 6).alias("axis0"), F.round("axis1", 6).alias("axis1"))
 
 
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The 15 most alike others of each vector, by hashed projections."""
+    return neighbours.neighbour_graph(v.patches(spark, d), "patch_ix", "h").withColumn("similarity", F.round("similarity", 6))
+
+
+def spectral_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Two coordinates of each vector from the graph of its nearest neighbours."""
+    graph = neighbours.neighbour_graph(v.patches(spark, d), "patch_ix", "h")
+    return neighbours.spectral_coordinates(graph, "patch_ix", rounds=10).select("patch_ix", F.round("axis0", 3).alias("axis0"), F.round("axis1", 3).alias("axis1"))
+
+
 def species_names(spark: SparkSession, d: str) -> DataFrame:
     """The species that a text names, and how it is shown; null if it names none."""
     k = F.col("c_custkey") % 6
@@ -209,5 +220,5 @@ _ALL = {
     "T13_capped_files": (capped_files, CAPPED_FILES),
 }
 #: Fitted models have no equivalent in SQL.
-QUERIES = {k: q for k, (q, _) in _ALL.items()} | {"M04_linear_probe": linear_probe, "M06_principal_axes": principal_axes}
+QUERIES = {k: q for k, (q, _) in _ALL.items()} | {"M04_linear_probe": linear_probe, "M06_principal_axes": principal_axes, "M06_neighbour_graph": neighbour_graph, "M06_spectral_axes": spectral_axes}
 ORACLES = {k: s for k, (_, s) in _ALL.items()}
