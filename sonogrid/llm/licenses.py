@@ -8,6 +8,12 @@ LONG words and more count wherever they stand, so that titles, names and copyrig
 may run into them. The identifiers of a text are matched from the left against the rules,
 longest first, and a match uses its sentences up. The rule of last resort (LAST) counts
 only if no other one matches.
+
+A tag line (SPDX-License-Identifier and an expression up to the end of the line or comment) is
+a sentence for each of the expression's terms, known by rule and not by list: a licence's
+identifier, + for "or later", and what follows WITH. Their identifiers (spdx: and the term in
+lower case) come after the others, and each is a rule of its own. An expression with anything
+but terms, AND, OR and brackets is no tag.
 """
 
 from __future__ import annotations
@@ -59,9 +65,12 @@ SENTENCES = {
     "mpl-2-title": "mozilla public license version 2.0",
     "epl-1": "are made available under the terms of the eclipse public license v 1.0",
     "epl-2": "are made available under the terms of the eclipse public license v 2.0",
+    "cddl-file": "the contents of this file are subject to the terms of the common development and distribution license",
+    "perl-terms": "you can redistribute it and or modify it under the same terms as perl itself",
+    "bsd-style": "use of this source code is governed by a bsd style license that can be found in the license file",
     "rights": "all rights reserved",
 }
-# Licences with a tag of their own.
+# Identifiers whose case in tags is mended.
 TAGS = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
 # What the notices of one family differ in: the word before "general public license", its versions, and the licence.
 GNU = [("", ("2", "3"), "GPL"), ("lesser ", ("2.1", "3"), "LGPL"), ("affero ", ("3",), "AGPL")]
@@ -110,11 +119,11 @@ RULES = [
     (("mpl-2-title",), "MPL-2.0"),
     (("epl-1",), "EPL-1.0"),
     (("epl-2",), "EPL-2.0"),
+    (("cddl-file",), "CDDL"),
+    (("perl-terms",), "Perl"),
+    (("bsd-style",), "BSD"),
     (("rights",), "proprietary"),
 ]
-for _tag in TAGS:
-    SENTENCES[f"tag-{_tag.lower()}"] = "spdx license identifier " + _tag.lower().replace("-", " ")
-    RULES.append(((f"tag-{_tag.lower()}",), _tag))
 for _word, _versions, _name in GNU:
     for _version in _versions:
         _id, _licence = f"{_name.lower()}-{_version}-later", f"{_name}-{_version if '.' in _version else _version + '.0'}-or-later"
@@ -123,6 +132,8 @@ for _word, _versions, _name in GNU:
 for _letters, _words in WORKS.items():
     SENTENCES[f"work-{_letters}-4"] = f"this work is licensed under a creative commons {_words} 4.0 international license"
     RULES.append(((f"work-{_letters}-4",), f"CC-{_letters.upper()}-4.0"))
+    SENTENCES[f"work-{_letters}-3"] = f"this work is licensed under a creative commons {_words} 3.0 unported license"
+    RULES.append(((f"work-{_letters}-3",), f"CC-{_letters.upper()}-3.0"))
 #: The licence that counts only if no other does.
 LAST = "proprietary"
 #: What a text with a known sentence has in it; texts without are not looked at further.
@@ -142,6 +153,45 @@ STEPS = [
 ]
 
 
+#: A tag line and its expression; what may stand between its terms; a term; a term that is a family's identifier of old, later versions too or not.
+TAG_LINE = r"""(?i:SPDX-License-Identifier):([A-Za-z0-9.+() \t-]+)(?:\z|[\r\n*}"'#<>;])"""
+BETWEEN = r"[ \t()]+(?:AND|OR)[ \t()]+"
+TERM = r"^[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?[+]?(?: WITH [A-Za-z0-9][A-Za-z0-9.-]*)?$"
+OLD_LATER, OLD_ONLY = r"^([AL]?GPL-[0-9.]+)[+]", r"^([AL]?GPL-[0-9.]*[0-9])( WITH .*)?$"
+
+
+def tags(text: Column) -> Column:
+    """The terms of all tag lines, in order, as current identifiers."""
+    names = F.create_map(*(F.lit(x) for n in TAGS for x in (n.lower(), n)))
+
+    def terms(line: Column) -> Column:
+        bare = F.transform(F.split(F.regexp_replace(line, r"[ \t.-]+$", ""), BETWEEN), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[ \t()]+|[ \t()]+$", ""), r"[ \t]+", " "))
+        return F.when(F.forall(bare, lambda x: x.rlike(TERM)), bare).otherwise(F.array().cast("array<string>"))
+
+    def current(x: Column) -> Column:
+        mended = F.concat(F.coalesce(F.try_element_at(names, lower_az(F.regexp_extract(x, "^[^ ]+", 0))), F.regexp_extract(x, "^[^ ]+", 0)), F.regexp_extract(x, " .*$", 0))
+        upper = F.regexp_replace(F.regexp_replace(mended, r"^(?i:gpl-)", "GPL-"), r"^(?i:lgpl-)", "LGPL-")
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(upper, r"^(?i:agpl-)", "AGPL-"), OLD_LATER, "$1-or-later"), OLD_ONLY, "$1-only$2")
+
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TAG_LINE), F.lit(1)), terms))
+    return F.when(F.contains(lower_az(text), F.lit("spdx-")), F.transform(found, current)).otherwise(F.array().cast("array<string>"))
+
+
+def tags_sql(text: str) -> str:
+    """The same in DuckDB's SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda items: "[" + ", ".join(map(quoted, items)) + "]"
+    lower = lambda x: f"translate({x}, '{UPPER_AZ}', '{LOWER_AZ}')"
+    names = f"MAP({listed(n.lower() for n in TAGS)}, {listed(TAGS)})"
+    bare = f"list_transform(regexp_split_to_array(regexp_replace(line, '[ \\t.-]+$', ''), {quoted(BETWEEN)}), lambda x: regexp_replace(regexp_replace(x, '^[ \\t()]+|[ \\t()]+$', '', 'g'), '[ \\t]+', ' ', 'g'))"
+    terms = f"CASE WHEN len(list_filter({bare}, lambda x: NOT regexp_matches(x, {quoted(TERM)}))) = 0 THEN {bare} ELSE [] END"
+    head = "regexp_extract(x, '^[^ ]+', 0)"
+    out = f"coalesce(map_extract({names}, {lower(head)})[1], {head}) || regexp_extract(x, ' .*$', 0)"
+    for pattern, by in ((r"^(?i:gpl-)", "GPL-"), (r"^(?i:lgpl-)", "LGPL-"), (r"^(?i:agpl-)", "AGPL-"), (OLD_LATER, r"\1-or-later"), (OLD_ONLY, r"\1-only\2")):
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(by)})"
+    return f"list_transform(flatten(list_transform(regexp_extract_all({text}, {quoted(TAG_LINE)}, 1), lambda line: {terms})), lambda x: {out})"
+
+
 def normal(text: Column) -> Column:
     x = F.concat(F.lit("\n"), F.translate(lower_az(text), "|~", "##"))
     for pattern, by in STEPS:
@@ -183,9 +233,10 @@ def license_scans(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     if all(any(t in s for t in TRIGGERS) for s in sentences.values()):
         some = lower_az(F.col("text"))
         ids = F.when(sum((F.contains(some, F.lit(t)).cast("int") for t in TRIGGERS), F.lit(0)) > 0, ids).otherwise(F.array().cast("array<string>"))
-    out = whole(docs, "doc_id").select("doc_id", ids.alias("ids"))
+    out = whole(docs, "doc_id").select("doc_id", ids.alias("ids"), tags(F.col("text")).alias("tags"))
     joined = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
-    out = out.withColumn("matches", F.transform(F.regexp_extract_all(joined, F.lit(rule_pattern(rules)), F.lit(0)), lambda m: F.try_element_at(told, m)))
+    out = out.withColumn("matches", F.concat(F.transform(F.regexp_extract_all(joined, F.lit(rule_pattern(rules)), F.lit(0)), lambda m: F.try_element_at(told, m)), F.col("tags")))
+    out = out.withColumn("ids", F.concat("ids", F.transform("tags", lambda x: F.concat(F.lit("spdx:"), lower_az(x)))))
     others = F.filter("matches", lambda m: m != LAST)
     counted = F.when(F.size(others) > 0, others).otherwise(F.col("matches"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_sort(F.array_distinct(counted)), ",").alias("licences"), F.size(counted).cast("long").alias("n_matches"))
@@ -202,9 +253,9 @@ def sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[tuple[str, ...]
     known = f"MAP({listed(sentences.values())}, {listed(sentences)})"
     told = f"MAP({listed(',' + ',,'.join(s) + ',' for s, _ in rules)}, {listed(n for _, n in rules)})"
     return f"""
-WITH normal AS (SELECT doc_id, '||' || regexp_replace({x}, '[. ]+$', '') || '||' AS x FROM documents),
-ids AS (SELECT doc_id, list_transform(regexp_extract_all(x, {quoted(sentence_pattern(sentences))}, 0), lambda s: map_extract({known}, trim(replace(s, '~~', ' '), '|~'))[1]) AS ids FROM normal),
-matches AS (SELECT doc_id, ids, list_transform(regexp_extract_all(',' || array_to_string(ids, ',,') || ',', {quoted(rule_pattern(rules))}, 0), lambda m: map_extract({told}, m)[1]) AS matches FROM ids),
+WITH normal AS (SELECT doc_id, '||' || regexp_replace({x}, '[. ]+$', '') || '||' AS x, {tags_sql("coalesce(text, '')")} AS tags FROM documents),
+ids AS (SELECT doc_id, list_transform(regexp_extract_all(x, {quoted(sentence_pattern(sentences))}, 0), lambda s: map_extract({known}, trim(replace(s, '~~', ' '), '|~'))[1]) AS ids, tags FROM normal),
+matches AS (SELECT doc_id, ids || list_transform(tags, lambda x: 'spdx:' || translate(x, '{UPPER_AZ}', '{LOWER_AZ}')) AS ids, list_transform(regexp_extract_all(',' || array_to_string(ids, ',,') || ',', {quoted(rule_pattern(rules))}, 0), lambda m: map_extract({told}, m)[1]) || tags AS matches FROM ids),
 counted AS (SELECT doc_id, ids, CASE WHEN len(list_filter(matches, lambda m: m <> '{LAST}')) > 0 THEN list_filter(matches, lambda m: m <> '{LAST}') ELSE matches END AS m FROM matches)
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(m)), ',') AS licences, len(m)::BIGINT AS n_matches FROM counted
 """

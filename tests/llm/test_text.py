@@ -434,6 +434,35 @@ def test_wrapped_licence_notices(spark, tmp_path):
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
+def test_tag_expressions_and_more_notices(spark, tmp_path):
+    want = {
+        "// SPDX-License-Identifier: GPL-2.0\nint x;": "GPL-2.0-only",
+        "/* spdx-license-identifier: GPL-2.0+ */": "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: (GPL-2.0 WITH Linux-syscall-note) OR  mit\r\nx": "GPL-2.0-only WITH Linux-syscall-note,MIT",
+        "<!-- SPDX-License-Identifier: MIT OR Apache-2.0 -->": "Apache-2.0,MIT",
+        "SPDX-License-Identifier: MIT-0": "MIT-0",
+        "a\nSPDX-License-Identifier: ((lgpl-2.1-or-later AND CC-BY-3.0) OR CDDL-1.0).\nSPDX-License-Identifier: LicenseRef-Own": "CC-BY-3.0,CDDL-1.0,LGPL-2.1-or-later,LicenseRef-Own",
+        "SPDX-License-Identifier: see the file\nAll rights reserved.": "proprietary",
+        "SPDX-License-Identifier: MIT\n\nAll rights reserved.": "MIT",
+        "SPDX-License-Identifier:\nMIT": "",
+        "SPDX-License-Identifier: " + " AND ".join(f"L{i}" for i in range(20_000)): ",".join(sorted(f"L{i}" for i in range(20_000))),
+        "SPDX-License-Identifier: " + "a" * 300_000 + ", b": "",
+        "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.": "BSD",
+        "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.": "Perl",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the License).": "CDDL",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+    }
+    df = docs(spark, list(enumerate(want)) + [(90, None), (91, "")])
+    ours = licenses.license_scans(df)
+    got = {r.doc_id: r for r in ours.collect()}
+    assert {t: got[i].licences for i, t in enumerate(want)} == want and got[90].licences == got[91].licences == ""
+    assert got[2].sentence_ids == "spdx:gpl-2.0-only with linux-syscall-note,spdx:mit" and (got[2].n_sentences, got[2].n_matches) == (2, 2)
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert sorted(map(str, con.execute(f"SELECT {', '.join(ours.columns)} FROM ({licenses.sql()})").fetchall())) == sorted(str(tuple(r)) for r in ours.collect())
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
