@@ -167,7 +167,7 @@ def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectral_axes(spark: SparkSession, d: str) -> DataFrame:
-    """Two coordinates of each vector from the graph of its nearest neighbours."""
+    """Two coordinates of each vector from the graph of its nearest neighbours, as ten rounds find them."""
     graph = neighbours.neighbour_graph(v.patches(spark, d), "patch_ix", "h")
     return neighbours.spectral_coordinates(graph, "patch_ix", rounds=10).select("patch_ix", F.round("axis0", 3).alias("axis0"), F.round("axis1", 3).alias("axis1"))
 

@@ -6,10 +6,13 @@ from sonogrid.plans import catalog
 from tests.parity import compare
 
 
+#: Queries that the smallest tables leave without a row.
+EMPTY = {"A16_minimax_regret"}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_duckdb(spark, data, name):
-    # The smallest tables leave some queries without a row.
-    assert compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], data) in ("", "no rows")
+    assert compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], data) == ("no rows" if name in EMPTY else "")
 
 
 def test_entry_names_its_queries(spark):
