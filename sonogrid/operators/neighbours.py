@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,19 +77,50 @@ def neighbour_graph(rows: DataFrame, key: str, vector: str, k: int = 15, trees:
     trees. Up to `leaf` vectors in one task are compared all with all. The key must be unique and vectors of one length;
     equally similar ones go by the smaller key.
     """
-    vectors = unit_steps(rows, key, vector)
+    return ranked(tree_entries(unit_steps(rows, key, vector), key, k, range(trees), leaf, seed), key, k)
+
+
+def grown_graph(rows: DataFrame, key: str, vector: str, k: int = 15, target: float = 0.9, trees: int = 16, most: int = 256, leaf: int = 1024, seed: int = 0, asked: int = 512, cut: Callable[[DataFrame], DataFrame] = written) -> tuple[DataFrame, float, int]:
+    """neighbour_graph() with as many trees as a recall of `target` takes, the recall measured last, and the trees.
+
+    The recall is that of `asked` vectors, drawn by hash, against all vectors (brute_force). A tree finds a share s of the
+    neighbours, so `trees` trees leave (1 - s) to their number; from what was measured follows how many more are needed, a
+    tenth added for what the draw may be off. Trees that are there are kept and new ones merged into them. It ends at the target, or
+    with `most` trees; the recall returned tells which.
+    """
+    vectors = cut(unit_steps(rows, key, vector))
+    kind = vectors.schema[key].dataType.simpleString()
+    drawn = vectors.select(key, F.col("v").alias(vector)).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(asked)
+    exact = cut(brute_force(vectors.withColumnRenamed("v", vector), drawn, key, vector, k))
+    entries, done, wanted = None, 0, trees
+    while True:
+        new = tree_entries(vectors, key, k, range(done, wanted), leaf, seed)
+        graph = cut(ranked(new if entries is None else new.unionByName(entries), key, k))
+        found, done = recall(graph, exact, key), wanted
+        if found >= target or done >= most:
+            return graph, found, done
+        missed = max(1 - found, 1e-9) ** (1 / done)
+        need = math.log(1 - target) / math.log(missed) * 1.1 if target < 1 and missed < 1 else most
+        wanted = min(most, max(done + trees, math.ceil(need)))
+        pairs = F.array_agg(F.struct("place", "other", "similarity"))
+        lists = graph.groupBy(key).agg(F.array_sort(pairs).alias("x"))
+        entries = lists.select(key, F.col("x.other").cast(f"array<{kind}>").alias("others"), F.col("x.similarity").alias("near"))
+
+
+def tree_entries(vectors: DataFrame, key: str, k: int, numbers: range, leaf: int, seed: int) -> DataFrame:
+    """key, others and near: for each vector (key and v) and tree of the numbers given, the k most alike ones of its block. The projections of a number are the same whichever others are asked for; blocks begin where tasks do."""
     kind = vectors.schema[key].dataType.simpleString()
     sample = vectors.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     x = matrix(sample) if len(sample) else np.zeros((1, 1))
-    planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1], BITS + 1))
-    cuts = [sides(x, planes[t][:, :BITS]) for t in range(trees)]
+    planes = {t: np.random.default_rng((seed, t)).standard_normal((x.shape[1], BITS + 1)) for t in numbers}
+    cuts = {t: sides(x, planes[t][:, :BITS]) for t in numbers}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = matrix(b["v"])
-            for t in range(trees):
+            for t in numbers:
                 code, along = places(x, planes[t][:, :BITS], cuts[t]), x @ planes[t][:, BITS]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), pa.array(along), b[key], b["v"]], ["tree", "code", "along", key, "v"])
 
@@ -117,7 +149,11 @@ def neighbour_graph(rows: DataFrame, key: str, vector: str, k: int = 15, trees:
 
     order = ["tree", "code", "along", key]
     leaves = vectors.mapInArrow(placed, f"tree int, code bigint, along double, {key} {kind}, v array<smallint>").repartitionByRange(*order).sortWithinPartitions(*order)
-    found = leaves.mapInArrow(compared, f"{key} {kind}, others array<{kind}>, near array<double>")
+    return leaves.mapInArrow(compared, f"{key} {kind}, others array<{kind}>, near array<double>")
+
+
+def ranked(found: DataFrame, key: str, k: int) -> DataFrame:
+    """The k most alike others of each key, out of lists of them."""
     # At most trees times k entries a key; similarities are exact, so an entry found twice is equal.
     entries = F.transform(F.arrays_zip("near", "others"), lambda x: F.struct((-x["near"]).alias("far"), x["others"].alias("other")))
     best = found.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(entries)))), 1, k).alias("best"))
