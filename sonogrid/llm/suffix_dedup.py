@@ -37,6 +37,8 @@ SHARD_BYTES, HOT = 4 << 20, 8192
 BLOCK_BYTES, FINER = 1 << 16, 8
 #: Texts of more than this share of all rows (one in so many) are broadcast: there are at most as many of them.
 HEAVY = 10_000
+#: Shards whose anchors tell which ones are common: those seen so many times there and that many times, at that rate, in all shards. They are few (a shard has a bounded number of anchors) and broadcast.
+SEEN_SHARDS, SEEN, COMMON = 8, 16, 16_384
 #: Suffix shards of hot anchors have numbers from here on.
 HOT_BUCKET = 1 << 62
 PRIMES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -384,6 +386,7 @@ def found_ranges(length: int):
     return run
 
 
+PACKED = "shard long, doc_id long, raw binary, tag long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -431,6 +434,28 @@ def whole_copies(rows: DataFrame, length: int, heavy: int) -> DataFrame:
     return found.where("doc_id > first").select("shard", F.col("tag").alias("copy"))
 
 
+def common_anchors(seen: DataFrame, shards: int) -> DataFrame:
+    """hash and expected (rows in all shards) of anchors that are common, by what SEEN_SHARDS of the shards have."""
+    expected = F.floor(F.col("seen") * max(1.0, shards / SEEN_SHARDS)).alias("expected")
+    return seen.groupBy("hash").agg(F.count("*").alias("seen")).where(F.col("seen") >= SEEN).select("hash", expected).where(F.col("expected") >= COMMON)
+
+
+def shared_anchors(found: DataFrame, common: DataFrame, hot: int) -> DataFrame:
+    """doc, hash, context and salts of the rows of found (hash, context, doc: one for each shard, anchor and context) whose strings other documents may have; see contexts().
+
+    The rows of an anchor meet in a task, but those of common ones (hash, expected) by context, of which a shard has one row;
+    these are taken to have other contexts, and their number is the expected one: that only deals the work.
+    """
+    common = F.broadcast(common)
+    rows = found.join(common.select("hash", F.lit(True).alias("_often")), "hash", "left").select("hash", "context", "doc", F.when(F.col("_often"), F.col("context")).alias("apart"))
+    anchor, same = Window.partitionBy("hash", "apart"), Window.partitionBy("hash", "apart", "context")
+    told = rows.select("hash", "context", "doc", "apart", F.count("*").over(anchor).alias("n"), F.min("context").over(anchor).alias("c1"), F.max("context").over(anchor).alias("c2"), F.min("doc").over(same).alias("least"))
+    # Whoever has the smallest document of a context stands for it where the anchor has others.
+    told = told.where("apart IS NOT NULL OR (n > 1 AND (doc > least OR c1 <> c2))").join(common, "hash", "left")
+    salts = F.when(F.col("doc") > F.col("least"), 0).otherwise(F.ceil(F.coalesce("expected", "n") / hot)).cast("int")
+    return told.select("doc", "hash", "context", salts.alias("salts"))
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans and kept_sha256; with keep_text also the bytes kept.
 
@@ -446,14 +471,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD
     shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
     some = rows.where("doc_id IS NOT NULL").select(shard_of("doc_id"), "doc_id", "raw", F.xxhash64("doc_id", "raw").alias("tag"))
     copies = written(whole_copies(some, length, n // HEAVY))
-    some = some.mapInArrow(packed, "shard long, doc_id long, raw binary, tag long")
-    found = some.groupBy("shard").cogroup(copies.groupBy("shard")).applyInArrow(own_anchors(length), "hash long, context long, doc long")
-    anchor, same = Window.partitionBy("hash"), Window.partitionBy("hash", "context")
-    told = found.select("hash", "context", "doc", F.count("*").over(anchor).alias("n"), F.min("context").over(anchor).alias("c1"), F.max("context").over(anchor).alias("c2"), F.min("doc").over(same).alias("least"))
-    # Whoever has the smallest document of a context stands for it where the anchor has others.
-    told = told.where((F.col("n") > 1) & ((F.col("doc") > F.col("least")) | (F.col("c1") != F.col("c2"))))
-    salts = F.when(F.col("doc") > F.col("least"), 0).otherwise(F.ceil(F.col("n") / hot)).cast("int")
-    shared = told.select(shard_of("doc"), F.col("hash").bitwiseXOR(F.col("context")).alias("key"), salts.alias("salts")).unionByName(copies, allowMissingColumns=True)
+    anchors_of = lambda x: x.groupBy("shard").cogroup(copies.groupBy("shard")).applyInArrow(own_anchors(length), "hash long, context long, doc long")
+    common = written(common_anchors(anchors_of(some.where(F.col("shard") < SEEN_SHARDS).mapInArrow(packed, PACKED)), shards))
+    some = some.mapInArrow(packed, PACKED)
+    told = shared_anchors(anchors_of(some), common, hot)
+    shared = told.select(shard_of("doc"), F.col("hash").bitwiseXOR(F.col("context")).alias("key"), "salts").unionByName(copies, allowMissingColumns=True)
     cut = some.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(contexts(length, FINER * shards), CONTEXT)
     strings = cut.groupBy("bucket").applyInArrow(hot_strings(length), "bucket long, string binary, least long")
     # A string that one shard alone has needs no merging.

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sonogrid.llm import simhash, suffix_dedup
 from sonogrid.llm.components import components
@@ -231,6 +232,9 @@ def test_suffix_dedup(spark, monkeypatch):
     for kw in ({}, {"shard_bytes": 3000, "hot": 3}):
         # With one row in so many, every repeated text is a heavy one.
         monkeypatch.setattr(suffix_dedup, "HEAVY", 10_000 if kw else 1 << 40)
+        # Some anchors are common ones.
+        monkeypatch.setattr(suffix_dedup, "SEEN", 2 if kw else 16)
+        monkeypatch.setattr(suffix_dedup, "COMMON", 4 if kw else 16_384)
         got = suffix_dedup.suffix_dedup(d, **kw).collect()
         assert sorted(tuple(r) for r in got if r.doc_id is not None) == want
         assert [r.n_removed for r in got if r.doc_id is None] == [0]
@@ -253,6 +257,26 @@ def test_suffix_dedup_of_long_runs(spark):
     assert len(found[0]) > 90_000 and len(np.unique(found[0] ^ found[2])) < 400
 
 
+def test_common_anchors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(h), int(c), int(d)) for h, c, d in zip(rng.zipf(1.4, 4000) % 300, rng.integers(-9, 9, 4000), rng.integers(0, 10**6, 4000), strict=True)]
+    table = spark.createDataFrame(rows, "hash long, context long, doc long")
+    own = {}
+    for h, c, d in rows:
+        own.setdefault(h, []).append((c, d))
+    assert suffix_dedup.common_anchors(table, 80).collect() == []
+    monkeypatch.setattr(suffix_dedup, "COMMON", 200)
+    for common in (table.select("hash", F.lit(1).alias("expected")).limit(0), suffix_dedup.common_anchors(table, 80), table.select("hash", F.lit(95).cast("long").alias("expected")).distinct()):
+        often = {r.hash: r.expected for r in common.collect()}
+        want = []
+        for h, c, d in rows:
+            least = min(y for x, y in own[h] if x == c)
+            if h in often or len(own[h]) > 1 and (d > least or len({x for x, _ in own[h]}) > 1):
+                want.append((d, h, c, 0 if d > least else -(-often.get(h, len(own[h])) // 10)))
+        assert sorted(tuple(r) for r in suffix_dedup.shared_anchors(table, common, 10).collect()) == sorted(want)
+    assert 0 < suffix_dedup.common_anchors(table, 80).count() < len(own)
+
+
 def test_suffix_arrays_and_prefixes():
     random.seed(5)
     for k in range(60):
