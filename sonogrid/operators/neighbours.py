@@ -33,17 +33,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def nearest(near: np.ndarray, ids: list, k: int) -> tuple[list[list], list[np.ndarray]]:
-    """For each row of similarities the ids of the k largest, the smaller id first among equal ones, and the similarities; those at -inf are left out."""
-    names, values = [], []
-    order = np.argsort(np.argsort(np.array(ids, dtype=object), kind="stable"), kind="stable")
-    for row in near:
-        cut = np.partition(row, -k)[-k] if k < len(row) else -np.inf
-        at = np.flatnonzero((row >= cut) & (row > -np.inf))
-        at = at[np.lexsort((order[at], -row[at]))][:k]
-        names.append([ids[j] for j in at])
-        values.append(row[at] / STEPS**2)
-    return names, values
+def nearest(near: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of similarities (whole numbers) how many it has of its k largest above -inf, and of all rows in order their places and similarities; of equal ones the smaller id comes first."""
+    m = len(ids)
+    rank = np.argsort(np.argsort(np.array(ids, dtype=object), kind="stable"), kind="stable")
+    # Similarities and ranks as one whole number, which tells all places apart and float64 holds exactly.
+    both = rank - near * m
+    top = np.argpartition(both, k - 1, axis=1)[:, :k] if k < m else np.broadcast_to(np.arange(m), near.shape)
+    top = np.take_along_axis(top, np.argsort(np.take_along_axis(both, top, 1), axis=1), 1)
+    values = np.take_along_axis(near, top, 1)
+    some = values > -np.inf
+    return some.sum(axis=1), top[some], values[some] / STEPS**2
 
 
 def sides(sample: np.ndarray, planes: np.ndarray) -> list[np.ndarray]:
@@ -144,8 +144,9 @@ def tree_entries(vectors: DataFrame, key: str, k: int, numbers: range, leaf: int
         near = x @ x.T
         near[tree[:, None] != tree[None, :]] = -np.inf
         np.fill_diagonal(near, -np.inf)
-        names, values = nearest(near, ids, k)
-        yield pa.RecordBatch.from_arrays([part[key].combine_chunks(), pa.array(names, pa.list_(part.schema.field(key).type)), pa.array(values, pa.list_(pa.float64()))], [key, "others", "near"])
+        sizes, at, values = nearest(near, ids, k)
+        keys, ends = part[key].combine_chunks(), pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, keys.take(pa.array(at))), pa.ListArray.from_arrays(ends, pa.array(values))], [key, "others", "near"])
 
     order = ["tree", "code", "along", key]
     leaves = vectors.mapInArrow(placed, f"tree int, code bigint, along double, {key} {kind}, v array<smallint>").repartitionByRange(*order).sortWithinPartitions(*order)
@@ -177,8 +178,8 @@ def brute_force(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: i
                 for i, q in enumerate(ids):
                     if q in where:
                         near[i, where[q]] = -np.inf
-                names, values = nearest(near, others, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), [len(n) for n in names])), pa.array([n for one in names for n in one], b.schema.field(key).type), pa.array(np.concatenate(values))], ["q", "other", "similarity"])
+                sizes, places, values = nearest(near, others, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), sizes)), b[key].take(pa.array(places)), pa.array(values)], ["q", "other", "similarity"])
 
     found = vectors.mapInArrow(run, f"q bigint, other {kind}, similarity double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "other"))
