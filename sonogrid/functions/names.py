@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,11 +132,11 @@ def train_folder(path: Column, noted: Column | None = None) -> tuple[Column, Col
 
 
 def general(x: Column, digits: int = 6) -> Column:
-    """A number as %g writes it: so many significant digits, no trailing zeros, with an exponent below 1e-4 and from 10^digits on. Halves of the last digit go up, as in Java, and not to even."""
-    sci = F.format_string(f"%.{digits - 1}e", x.cast("double"))
-    power = F.regexp_extract(sci, "e([+-][0-9]+)$", 1).try_cast("int")
-    fixed = F.call_function("format_string", F.concat(F.lit("%."), (digits - 1 - power).cast("string"), F.lit("f")), x.cast("double"))
-    short = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
-    mantissa, exponent = F.regexp_extract(sci, "^(.*)e", 1), F.regexp_extract(sci, "(e.*)$", 1)
-    rest = F.when(power.isNull(), F.replace(F.lower(sci), F.lit("infinity"), F.lit("inf"))).otherwise(F.concat(short(mantissa), exponent))
-    return F.when(x.isNotNull(), F.when(power.between(-4, digits - 1), short(fixed)).otherwise(rest))
+    """A number as C's %g writes it: so many significant digits, no trailing zeros, with an exponent below 1e-4 and from 10^digits on. What is rounded is the binary number itself, halves to even; Java's formats round its shortest decimal digits, halves up."""
+    form = f"%.{digits}g"
+
+    @F.arrow_udf("string")
+    def text(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if n is None else form % n for n in numbers.to_pylist()], pa.string())
+
+    return text(x.cast("double"))

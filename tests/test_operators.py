@@ -201,6 +201,11 @@ def test_general_numbers(spark, x, want):
     assert one(spark, names.general(F.lit(x).cast("double"))) == want
 
 
+@pytest.mark.parametrize(("x", "want"), [(1000005.0, "1e+06"), (1000015.0, "1.00002e+06"), (-1000025.0, "-1.00002e+06"), (8700125 / 7.0 * 1e-6, "1.24287"), (2.5e-7, "2.5e-07"), (float("nan"), "nan")])
+def test_general_rounds_the_binary_number(spark, x, want):
+    assert one(spark, names.general(F.lit(x).cast("double"))) == want
+
+
 @pytest.mark.parametrize(
     ("path", "want"),
     [("/a/detect/classify/b1/train_2p5s", ("b1", "2.5")), ("/a/unit_detect", ("", "9")), ("detect/x", ("all", "9")), ("/s/b7/val", ("b7", "9")), ("", ("", "9")), ("/s/b7", ("", "9")), (None, ("", "9"))],
