@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,6 +102,12 @@ def shuffled(seed: int, *key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key)))
 
 
+def drawn(share: float, seed: int, *key: Column) -> Column:
+    """Whether a row is among a share of rows, by shuffled(): whether its first 32 bits, as a number, are below share * 2^32. Hexadecimal digits stand in the order of their values, so the text is compared."""
+    least = math.ceil(share * 2**32)
+    return shuffled(seed, *key) < f"{least:08x}" if 0 < least < 2**32 else F.lit(least > 0)
+
+
 #: Species by name, with how they are shown.
 SPECIES = {"Canary": "Canary", "Zebra_Finch": "Zebra Finch", "Bengalese_Finch": "Bengalese Finch"}
 

@@ -201,6 +201,19 @@ def test_general_numbers(spark, x, want):
     assert one(spark, names.general(F.lit(x).cast("double"))) == want
 
 
+def test_drawn_hashes_once(spark, data):
+    """As the number does, and each bin is hashed once, by tasks that got equal shares."""
+    from sonogrid.plans import settings
+
+    p = F.conv(F.substring(names.shuffled(37, F.col("id")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    for share in (0.0, 1e-9, 0.25, 1 / 3, 0.9, 1.0):
+        assert spark.range(3000).where(names.drawn(share, 37, F.col("id")) != (p < share)).count() == 0
+    df = settings.bernoulli_mask(spark, data)
+    df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "RepartitionByExpression" in plan
+
+
 @pytest.mark.parametrize(("x", "want"), [(1000005.0, "1e+06"), (1000015.0, "1.00002e+06"), (-1000025.0, "-1.00002e+06"), (8700125 / 7.0 * 1e-6, "1.24287"), (2.5e-7, "2.5e-07"), (float("nan"), "nan")])
 def test_general_rounds_the_binary_number(spark, x, want):
     assert one(spark, names.general(F.lit(x).cast("double"))) == want
