@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonogrid.operators import tables
+
 #: Runs that a task of a painting holds before it hands them on.
 BATCH = 16_384
 
@@ -155,9 +157,9 @@ def densest_window(units: DataFrame, key: str, onset: str, width: float, last: C
 
     Starts and onsets stand in one line: the onsets of a window are a count over a range of it.
     """
-    starts = units.select(key, F.greatest(F.lit(0.0), F.least(F.col(onset), last - width)).alias("start"))
-    points = units.select(key, F.col(onset).alias("start"), F.lit(1).alias("_one")).union(starts.withColumn("_one", F.lit(0)))
+    start = F.greatest(F.lit(0.0), F.least(F.col(onset), last - width))
+    both = F.array(F.struct(F.col(onset).alias("start"), F.lit(1).alias("_one")), F.struct(start.alias("start"), F.lit(0).alias("_one")))
+    points = tables.dealt(units.select(key, F.inline(both)), key)
     within = F.sum("_one").over(Window.partitionBy(key).orderBy("start").rangeBetween(0, width))
     counted = points.withColumn("n", within).where("_one = 0")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "start"))
-    return counted.withColumn("_k", first).where("_k = 1").select(key, "start", "n")
+    return counted.groupBy(key).agg(F.min(F.struct(-F.col("n"), "start")).alias("_x")).select(key, "_x.start", (-F.col("_x.col1")).alias("n"))

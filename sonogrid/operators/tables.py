@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many parts as spark.sql.shuffle.partitions says. Spark joins small parts of other exchanges, by their size as they are; so this is for rows that become many more in the stage that reads them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def consistent(runs: DataFrame) -> Column:
     """All three class counts are there and equal."""
     return (F.col("num_classes") == F.col("num_classes_train")) & (F.col("num_classes") == F.col("num_classes_val"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonogrid.functions import names, time
-from sonogrid.operators import intervals, metrics
+from sonogrid.operators import intervals, metrics, tables
 from sonogrid.sources import testviews as v
 
 SR, HOP = 32_000, 64
@@ -151,8 +151,8 @@ SELECT stem, min(t) AS start, max(t) + 1 AS "end", label FROM r GROUP BY stem, l
 
 def dense_window(spark: SparkSession, d: str) -> DataFrame:
     """The two seconds of each recording with most onsets."""
-    u = v.units(spark, d)
-    u = u.join(u.groupBy("stem").agg(F.max("offset_ms").alias("last")), "stem")
+    u = tables.dealt(v.units(spark, d).select("stem", "onset_ms", "offset_ms"), "stem")
+    u = u.withColumn("last", F.max("offset_ms").over(Window.partitionBy("stem")))
     return intervals.densest_window(u, "stem", "onset_ms", 2000, F.col("last")).select("stem", F.round("start", 6).alias("start"), "n")
 
 

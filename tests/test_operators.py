@@ -201,6 +201,16 @@ def test_general_numbers(spark, x, want):
     assert one(spark, names.general(F.lit(x).cast("double"))) == want
 
 
+def test_dense_window_reads_once(spark, data):
+    """One scan, one exchange and one sort by time, in as many parts as are asked for, however small the parts are before."""
+    from sonogrid.plans import timeline
+
+    df = timeline.dense_window(spark, data)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and "Union" not in plan and plan.count("Window [") == 2
+
+
 def test_drawn_hashes_once(spark, data):
     """As the number does, and each bin is hashed once, by tasks that got equal shares."""
     from sonogrid.plans import settings
