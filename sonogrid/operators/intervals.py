@@ -73,7 +73,8 @@ def paint(units: DataFrame, key: str | list[str], start: str, end: str, label: s
     dealt = dealt.withColumns({"start": F.greatest("start", edge(F.col("_b"))), "end": F.least("end", edge(F.col("_b") + 1))}).where("end > start")
     rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o", "start", "end", "label"))
     ranked = dealt.withColumn("_o", rank).sortWithinPartitions(*keys, "_b", "start")
-    seen = ranked.mapInArrow(_swept(keys), ranked.drop("_b", "_o").schema)
+    # The windows over keys and what a caller groups by them work on these parts, without another exchange.
+    seen = tables.dealt(ranked.mapInArrow(_swept(keys), ranked.drop("_b", "_o").schema), *keys)
     w = Window.partitionBy(*keys).orderBy("start")
     if silence is not None:
         before, piece = F.lag("end").over(w), F.struct("start", "end", F.coalesce("label", F.lit(silence).cast(live.schema["label"].dataType)).alias("label"))

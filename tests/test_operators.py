@@ -211,6 +211,15 @@ def test_dense_window_reads_once(spark, data):
     assert plan.count("Relation [") == 1 and "Join" not in plan and "Union" not in plan and plan.count("Window [") == 2
 
 
+def test_painted_runs_are_dealt_by_key(spark, data):
+    """What follows a painting makes many rows of few, so its parts are not joined by their size."""
+    from sonogrid.plans import timeline
+
+    df = timeline.paint_last_wins(spark, data)
+    df.collect()
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_drawn_hashes_once(spark, data):
     """As the number does, and each bin is hashed once, by tasks that got equal shares."""
     from sonogrid.plans import settings
