@@ -46,25 +46,37 @@ def fold_budget(df: DataFrame, group: str, order: list[str], size: str, budget:
 
     In rounds, each for what is left of the budget: rows of more than half of it can be taken once, and until the others sum up to
     over half of it, all these are taken. So a round settles all rows up to the first of both events and leaves less than half of what was left: rounds grow with the logarithm
-    of the budget over the smallest size. A round's rows are a table, which the next one replaces.
+    of the budget over the smallest size. The rows are sorted once, into parts that share a group's rows; a round sums the others by part and
+    looks closer only at the parts up to the one in which they pass the half. What is left and the last settled row of each group are a small table, which the next round replaces.
     """
     if once:
         rest = [c for c in df.columns if c not in once] or once
         df = df.groupBy(*once).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*once, "_r.*").select(*df.columns)
-    w = Window.partitionBy(group).orderBy(*order)
-    until, slack = w.rowsBetween(Window.unboundedPreceding, -1), 1e-9
-    rest, rounds = written(df.withColumn("_left", F.lit(budget).cast("double")).where(F.col(size) <= budget + slack)), []
-    while not rest.isEmpty():
-        small = F.col(size) * 2 <= F.col("_left")
-        before = F.coalesce(F.sum(F.when(small, F.col(size))).over(until), F.lit(0))
-        fits = ~small & (F.col(size) + F.col("_before") <= F.col("_left") + slack)
+    slack, parts = 1e-9, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = df.where(F.col(size) <= budget + slack).repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
+    base = written(line.withColumn("_k", F.monotonically_increasing_id()))
+    until = Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    parts_before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    small = F.col(size) * 2 <= F.col("_left")
+    counted = F.when(small, F.col(size)).otherwise(0)
+    state = written(base.select(F.col(group).alias("_g")).distinct().select("_g", F.lit(budget).cast("double").alias("_left"), F.lit(-1).cast("bigint").alias("_at")))
+    rounds = []
+    while not state.isEmpty():
+        rest = base.join(state, F.col(group).eqNullSafe(F.col("_g"))).where((F.col("_k") > F.col("_at")) & (F.col(size) <= F.col("_left") + slack))
+        rest = rest.withColumn("_part", F.shiftright("_k", 33))
+        sums = rest.groupBy("_g", "_left", "_part").agg(F.sum(counted).alias("_sum")).withColumn("_sums", F.coalesce(F.sum("_sum").over(parts_before), F.lit(0)))
+        head = sums.where(F.col("_sums") * 2 <= F.col("_left")).select(F.col("_g").alias("_h"), F.col("_part").alias("_p"))
+        near = rest.join(head, (F.col("_part") == F.col("_p")) & F.col("_g").eqNullSafe(F.col("_h")), "left_semi")
+        near = near.withColumn("_before", F.coalesce(F.sum(counted).over(until), F.lit(0)))
+        near = near.withColumn("_fits", ~small & (F.col(size) + F.col("_before") <= F.col("_left") + slack))
+        near = near.withColumn("_event", F.col("_fits") | ((F.col("_before") + counted) * 2 > F.col("_left")))
         # Rows up to the event, that row too: nothing before it has left less than half.
-        seen = F.coalesce(F.max(F.when(F.col("_fits") | ((F.col("_before") + F.when(small, F.col(size)).otherwise(0)) * 2 > F.col("_left")), 1).otherwise(0)).over(until), F.lit(0))
-        marked = written(rest.withColumn("_before", before).withColumn("_fits", fits).withColumn("_over", seen).withColumn("_taken", (F.col("_over") == 0) & (small | F.col("_fits"))))
+        near = near.withColumn("_settled", ~F.coalesce(F.max("_event").over(until), F.lit(False)))
+        marked = written(near.where("_settled").withColumn("_taken", small | F.col("_fits")))
         rounds.append(marked.where("_taken").select(*df.columns))
-        used = marked.where("_taken").groupBy(group).agg(F.sum(size).alias("_used"))
-        after = marked.where("_over = 1").join(used, group, "left").withColumn("_left", (F.col("_left") - F.coalesce("_used", F.lit(0))).cast("double"))
-        rest = written(after.where(F.col(size) <= F.col("_left") + slack).select(*df.columns, "_left"))
+        used = F.coalesce(F.sum(F.when(F.col("_taken"), F.col(size))), F.lit(0))
+        # Sums that are off by a trifle leave nothing, not less, so that rows of size 0 are still small.
+        state = written(marked.groupBy("_g").agg(F.greatest(F.lit(0.0), F.max("_left") - used).alias("_left"), F.max("_k").alias("_at")))
     return reduce(DataFrame.unionByName, rounds, df.limit(0)) if rounds else df.limit(0)
 
 

@@ -62,6 +62,25 @@ def test_fold_takes_few_rounds(spark, monkeypatch):
     assert len(tables) <= 2 * (10_000).bit_length() + 3
 
 
+def test_fold_looks_at_few_rows(spark, monkeypatch):
+    """A round hands on what it settled, not all rows that could still be taken; a null group is a group."""
+    rng = random.Random(5)
+    rows = {g: [float(rng.randrange(100, 200)) for _ in range(3000)] for g in ("a", None)}
+    df = spark.createDataFrame([(g, i, n) for g, v in rows.items() for i, n in enumerate(v)], "g string, i int, n double")
+    sizes, written = [], sampling.written
+    monkeypatch.setattr(sampling, "written", lambda x: sizes.append((y := written(x)).count()) or y)
+    got = sampling.fold_budget(df, "g", ["i"], "n", 2000.0).collect()
+    for g, v in rows.items():
+        assert sorted(r.i for r in got if r.g == g) == folded(list(enumerate(v)), 2000.0)
+    assert sizes[0] == 6000 and sum(sizes[1:]) < 6000 + 100
+
+
+def test_fold_takes_rows_of_size_zero_when_nothing_is_left(spark):
+    """0.1 + 0.7 + 0.2 is over 1 in some orders of addition."""
+    df = spark.createDataFrame([("a", i, n) for i, n in enumerate([0.1, 0.7, 0.2, 0.0, 0.5, 0.0, 0.0])], "g string, i int, n double")
+    assert sorted(r.i for r in sampling.fold_budget(df, "g", ["i"], "n", 0.9999999999999999).collect()) == [0, 1, 2, 3, 5, 6]
+
+
 def test_fold_counts_equal_events_once(spark):
     df = spark.createDataFrame([("a", 1, 5, 3), ("a", 1, 5, 1), ("a", 1, 5, 2), ("a", 2, 5, 9), ("b", 1, 5, 4)], "g string, place int, n int, i int")
     assert sorted(r.i for r in sampling.fold_budget(df, "g", ["i"], "n", 100.0, ["g", "place", "n"]).collect()) == [1, 4, 9]
