@@ -164,13 +164,13 @@ def principal_axes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The 15 most alike others of each vector, by as many trees of hashed projections as a recall of 0.9 takes."""
-    return neighbours.grown_graph(v.patches(spark, d), "patch_ix", "h")[0].withColumn("similarity", F.round("similarity", 6))
+    """The 15 most alike others of each vector: of all pairs, or by as many trees of hashed projections as a recall of 0.9 takes where that is less work."""
+    return neighbours.grown_graph(v.patches(spark, d), "patch_ix", "h", pairs=neighbours.TREE_PAIRS)[0].withColumn("similarity", F.round("similarity", 6))
 
 
 def spectral_axes(spark: SparkSession, d: str) -> DataFrame:
     """Two coordinates of each vector from the graph of its nearest neighbours, as ten rounds find them."""
-    graph = neighbours.grown_graph(v.patches(spark, d), "patch_ix", "h")[0]
+    graph = neighbours.grown_graph(v.patches(spark, d), "patch_ix", "h", pairs=neighbours.TREE_PAIRS)[0]
     return neighbours.spectral_coordinates(graph, "patch_ix", rounds=10).select("patch_ix", F.round("axis0", 3).alias("axis0"), F.round("axis1", 3).alias("axis1"))
 
 
